@@ -1,6 +1,7 @@
 """The registered queries and their SQL."""
 
-from . import orphan_queries
+from . import chat_queries, graph_queries, orphan_queries, score_queries, search_queries
 
-CORE_QUERIES = {**orphan_queries.QUERIES}
-CORE_ORACLES = {**orphan_queries.ORACLES}
+_ALL = (orphan_queries, graph_queries, search_queries, chat_queries, score_queries)
+CORE_QUERIES = {name: f for m in _ALL for name, f in m.QUERIES.items()}
+CORE_ORACLES = {name: text for m in _ALL for name, text in m.ORACLES.items()}
