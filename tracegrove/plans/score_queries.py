@@ -37,22 +37,9 @@ def indent_depth(spark, d):
 
 def _word_hits():
     """Logic words in the lines of ``code``: a line counts each word it contains."""
-    out = F.lit(0)
-    for language, words in LOGIC_WORDS.items():
-        own = [e for e, name in LOGIC_LANGUAGE.items() if name == language]
-        if own:
-            out = F.when(F.col("ext").isin(*own), F.aggregate(F.transform("code", _counter(words)), F.lit(0), lambda a, x: a + x)).otherwise(out)
-    return out
-
-
-def _counter(words):
-    def count(x):
-        total = F.lit(0)
-        for w in words:
-            total = total + F.contains(F.trim(x), F.lit(w)).cast("int")
-        return total
-
-    return count
+    lists = F.create_map(*[x for e, language in LOGIC_LANGUAGE.items() for x in (F.lit(e), F.array(*[F.lit(w) for w in LOGIC_WORDS[language]]))])
+    words = F.coalesce(lists[F.col("ext")], F.array().cast("array<string>"))
+    return F.aggregate(F.transform("code", lambda x: F.size(F.filter(words, lambda w: F.contains(F.trim(x), w)))), F.lit(0), lambda a, x: a + x)
 
 
 def _holds(text):
