@@ -35,7 +35,7 @@ LIMITS = {
 }
 _WHITE, _DIGITS = b" \t\r\n\f\v", b"0123456789"
 _ALNUM = bytes(c for c in range(256) if chr(c).isalnum() and c < 128)
-_ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{120,}|(?:\\x[0-9a-fA-F]{2}){40,}|(?:0x[0-9a-fA-F]{1,8},\s*){40,}|(?:-?\d[\d.]*,\s*){60,}")
+_ENCODED = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{120,}+|(?:\\x[0-9a-fA-F]{2}){40,}+|(?<![\w.,-])(?:0x[0-9a-fA-F]{1,8},\s*+){40,}+|(?<![\w.,-])(?:-?\d[\d.]*+,\s*+){60,}+")
 _LITERAL = re.compile(r"(?<![\w.])(?:0[xX][0-9a-fA-F]+|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w.])|\"[^\"\n]*\"|'[^'\n]*'")
 _WORDISH = re.compile(r"[A-Za-z_]\w*")
 _COMMENT = {"python": r"#[^\n]*", "ruby": r"#[^\n]*", "sql": r"--[^\n]*|/\*(?s:.*?)\*/"}
@@ -83,9 +83,11 @@ def reason(path: str, text: str | None) -> str | None:
     head = _LEADING[language].match(text.removeprefix("﻿")).group()
     if language in ("javascript", "typescript") and (mean > mean_allowed and white < 0.1 and longest > longest_allowed or _BUNDLE_NAME.search(name) and white < 0.15):
         return "minified"
-    literals = sum(m.end() - m.start() for m in _LITERAL.finditer(body) if m.group().count(" ") < 8)  # a sentence is no datum
-    words = sum(m.end() - m.start() for m in _WORDISH.finditer(_LITERAL.sub("", body)))
-    solid = max(1, len(body.translate(_NO_SPACE)))
+    literals = words = 0
+    if digits > 0.08 or body.count('"') + body.count("'") > len(body) / 40:  # else most of it cannot be literals
+        literals = sum(m.end() - m.start() for m in _LITERAL.finditer(body) if m.group().count(" ") < 8)  # a sentence is no datum
+        words = sum(m.end() - m.start() for m in _WORDISH.finditer(_LITERAL.sub("", body)))
+    solid = max(1, len(body) * (1 - white))
     if digits > digits_allowed and len(body) > 500 or encoded > 400 and encoded > 0.5 * len(body) or len(body) > 800 and literals > 0.6 * solid and words < 0.12 * solid:
         return "data"
     if not _BY_HAND.search(head) and _GENERATED.search(head):
@@ -101,9 +103,6 @@ def reason(path: str, text: str | None) -> str | None:
     return None
 
 
-_NO_SPACE = {ord(c): None for c in " \t\r\n\f\v"}
-
-
 def shingles(language: str | None, text: str) -> np.ndarray:
     """Sorted distinct hashes of five successive words of the code, comments and spacing aside."""
     code = _ANY_COMMENT[language].sub(" ", text) if language in _ANY_COMMENT else text
@@ -119,7 +118,7 @@ def shingles(language: str | None, text: str) -> np.ndarray:
     return np.unique(total)
 
 
-_WORD = re.compile(r"\w+|[^\w\s]")
+_WORD = re.compile(r"\w+|[^\w\s]", re.A)
 
 
 def _reasons(known):
