@@ -236,7 +236,7 @@ file <- (extern / using)* attrs_global* (namespace_line? decl* / stmt*) EOF
 decl <- ';' / 'namespace' dotted '{{' using* decl* '}}' ';'? / attrs mods type_decl
 -attrs <- ('[' (NAME ':' / 'return' ':')? attr (',' attr)* ','? ']')*
 -attr <- type ('(' args? ')')?
--mods <- ('public' / 'private' / 'protected' / 'internal' / 'static' / 'readonly' / 'abstract' / 'sealed' / 'virtual' / 'override' / 'extern' / 'unsafe' / 'volatile' / 'new' / 'const' / 'ref' / 'fixed' / NAME &(NAME / 'class' / 'struct' / 'interface' / 'static' / 'void' / 'public' / prim / 'event' / 'readonly' / 'enum' / 'delegate' / 'override' / '('))*
+-mods <- ('public' / 'private' / 'protected' / 'internal' / 'static' / 'readonly' / 'abstract' / 'sealed' / 'virtual' / 'override' / 'extern' / 'unsafe' / 'volatile' / 'new' / 'const' / 'ref' / 'fixed' / 'async' / 'partial')*
 -type_decl <- ('class' / 'struct' / 'interface' / NAME ('class' / 'struct')?) NAME typarams? ('(' params? ')')? (':' type ('(' args? ')')? (',' type)*)? wheres (body / ';') ';'? / 'enum' NAME (':' type)? '{{' (attrs NAME ('=' expr)? (',' attrs NAME ('=' expr)?)* ','?)? '}}' ';'? / 'delegate' ref_type NAME typarams? '(' params? ')' wheres ';'
 -wheres <- (NAME NAME ':' constraint (',' constraint)*)*
 -constraint <- 'class' '?'? / 'struct' / 'new' '(' ')' / 'default' / type
@@ -247,7 +247,7 @@ member <- ';' / attrs modset (type_decl / '~'? NAME '(' params? ')' (':' ('base'
   / ref_type 'operator' ('true' / 'false' / '!' / '~' / '++' / '--' / '==' / '!=' / binop) '(' params ')' tailbody
   / ref_type (type '.')? 'this' '[' params ']' (accessors / '=>' expr ';')
   / ref_type membername (typarams? '(' params? ')' wheres tailbody / accessors ('=' expr ';')? / '=>' expr ';' / ('=' (expr / init))? (',' NAME ('=' (expr / init))?)* ';'))
--modset <- ('public' / 'private' / 'protected' / 'internal' / 'static' / 'readonly' / 'abstract' / 'sealed' / 'virtual' / 'override' / 'extern' / 'unsafe' / 'volatile' / 'new' / 'const' / 'fixed' / NAME &('class' / 'struct' / 'interface' / 'static' / 'void' / 'public' / prim / 'event' / 'readonly' / 'override' / NAME NAME))*
+-modset <- ('public' / 'private' / 'protected' / 'internal' / 'static' / 'readonly' / 'abstract' / 'sealed' / 'virtual' / 'override' / 'extern' / 'unsafe' / 'volatile' / 'new' / 'const' / 'fixed' / 'async' / 'partial')*
 -membername <- NAME typarams? ('.' NAME typarams?)*
 -ref_type <- 'void' '*'* / 'ref' 'readonly'? type / type
 -accessors <- '{{' (attrs ('public' / 'private' / 'protected' / 'internal' / 'readonly')* NAME (';' / block / '=>' expr ';'))+ '}}'
@@ -265,7 +265,7 @@ stmt <- block / ';' / 'if' '(' expr ')' stmt ('else' stmt)? / 'while' '(' expr '
   / 'switch' '(' expr ')' '{{' ((('case' casepat (NAME expr)? / 'default') ':')+ stmt+)* '}}'
   / NAME? 'using' ('(' (local / expr) ')' stmt / local ';') / 'lock' '(' expr ')' stmt / ('checked' / 'unchecked' / 'unsafe') block / 'fixed' '(' local ')' stmt
   / NAME ':' stmt / 'const' local ';' / localfn / local ';' / NAME ('return' expr? / 'break') ';' / exprs ';'
--localfn <- attrs ('static' / 'unsafe' / 'extern' / NAME &(NAME NAME / 'void' / prim))* ref_type NAME typarams? '(' params? ')' wheres tailbody
+-localfn <- attrs ('static' / 'unsafe' / 'extern' / 'async')* ref_type NAME typarams? '(' params? ')' wheres tailbody
 -local <- ('ref' 'readonly'?)? type NAME ('=' ('ref'? expr / init))? (',' NAME ('=' (expr / init))?)*
 init <- '{{' ((expr / init) (',' (expr / init))*)? ','? '}}'
 -casepat <- pattern
@@ -273,7 +273,7 @@ pattern <- pat1 (NAME pat1)*
 -pat1 <- NAME pat1 / ('<=' / '>=' / '<' / '>') binary / '(' pattern ')' / type NAME / type? '{{' (NAME ('.' NAME)* ':' pattern (',' NAME ('.' NAME)* ':' pattern)* ','?)? '}}' NAME? / type '(' (pattern (',' pattern)*)? ')' NAME? / binary
 exprs <- expr (',' expr)*
 expr <- lambda / cond (({_ASSIGN} / '??=' / '>' '>=') ('ref'? expr))? / 'throw' expr
--lambda <- ('static' / NAME &(NAME / '('))* (NAME / '(' (params / NAME (',' NAME)*)? ')') '=>' (block / 'ref'? expr) / NAME? 'delegate' ('(' params? ')')? block
+-lambda <- ('static' / 'async')* (NAME / '(' (params / NAME (',' NAME)*)? ')') '=>' (block / 'ref'? expr) / NAME? 'delegate' ('(' params? ')')? block
 cond <- binary ('?' expr ':' expr)?
 binary <- unary ('is' 'not'? pattern / 'as' type / 'switch' '{{' (pattern (NAME expr)? '=>' expr (',' pattern (NAME expr)? '=>' expr)* ','?)? '}}' / NAME '{{' inits '}}' / binop unary)*
 -binop <- '??' / '..' / {_BRACE_BINARY}

@@ -18,7 +18,7 @@ KEYWORDS = {
     "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",
     "rust": "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while",
     "c": "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while",
-    "csharp": "abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern false finally fixed float for foreach goto if implicit in int interface internal is lock long namespace new null object operator out override params private protected public readonly ref return sbyte sealed short sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked unsafe ushort using virtual void volatile while",
+    "csharp": "abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern false finally fixed float for foreach goto if implicit in int interface internal is lock long namespace new null object operator out override params private protected public readonly ref return sbyte sealed short sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked unsafe ushort using virtual void volatile while async partial",
     "ruby": "BEGIN END alias and begin break case class def defined? do else elsif end ensure false for if in module next nil not or redo rescue retry return self super then true undef unless until when while yield",
     "sql": "select from where group by having order limit offset union intersect except all distinct insert into values update set delete create table view index on as and or not in is null like ilike between exists case when then else end join inner left right full outer cross using primary key foreign references unique check default constraint alter add drop column with asc desc cast replace temp temporary if begin commit rollback truncate grant revoke to over partition rows range unbounded preceding following current row returning recursive materialized natural true false",
 }
@@ -55,8 +55,9 @@ _SHAPE = {
     "sql": (r"--[^\n]*|" + _BLOCK, r"(?i:[enbx])?'(?:[^']|'')*'|\$\$(?s:.*?)\$\$", r"\"(?:[^\"]|\"\")+\"|`[^`]+`|[^\W\d][\w$]*|[@:$]\w+"),
 }
 _SHAPE["typescript"] = _SHAPE["javascript"]
+_POINT_FIRST = r"|\.[0-9][0-9_]*"  # .5 is no number in Rust and Ruby
 _SCAN = {
-    k: re.compile(rf"(?P<skip>[ \t\r\f\v ]+|{skip})|(?P<nl>\n)|(?P<str>{string})|(?P<num>{_NUM})|(?P<name>{name})|(?P<op>{_OPS[k]})")
+    k: re.compile(rf"(?P<skip>[ \t\r\f\v ]+|{skip})|(?P<nl>\n)|(?P<str>{string})|(?P<num>{_NUM.replace(_POINT_FIRST, "") if k in ("rust", "ruby") else _NUM})|(?P<name>{name})|(?P<op>{_OPS[k]})")
     for k, (skip, string, name) in _SHAPE.items()
 }
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")

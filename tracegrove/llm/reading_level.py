@@ -13,6 +13,8 @@ thousand numbers. All documents are scored whole.
 Prose is what remains without fenced and indented code, tables, headings, logs, lists of names and change
 entries; hard-wrapped lines are joined, bullets are sentences. Text that is a source file has none.
 
+A full sentence begins with a capital, ends with . ! ? or :, and has at least three words.
+
 Defined cases: a document with fewer than ``LEAST`` full English sentences, null, empty or blank text has level
 null and is not found. Equal posteriors: the lower level.
 """
