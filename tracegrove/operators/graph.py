@@ -24,15 +24,14 @@ class Adjacency:
             pairs = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         elif direction == "both":
             pairs = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        pairs = pairs.where("src is not null and dst is not null").distinct()
+        pairs = pairs.where("src is not null and dst is not null").distinct().repartition("src").persist()
+        # The pairs lie by src already: counting them moves nothing.
         self.hot = cut(pairs.groupBy("src").count().where(F.col("count") > hot).select(F.col("src").alias("hot")))
         self.any_hot = bool(self.hot.take(1))
         if self.any_hot:
             salt = F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.lit(SALTS))).cast("int")
-            pairs = pairs.join(self.hot, F.col("src") == F.col("hot"), "left").select("src", "dst", salt.alias("salt"))
-            self.pairs = pairs.repartition("src", "salt").persist()
-        else:
-            self.pairs = pairs.repartition("src").persist()
+            pairs = pairs.join(self.hot, F.col("src") == F.col("hot"), "left").select("src", "dst", salt.alias("salt")).repartition("src", "salt").persist()
+        self.pairs = pairs
 
     def step(self, frontier: DataFrame, carry: list[str] | None = None) -> DataFrame:
         """Neighbours of ``frontier`` (id and carried columns): id, carried columns and ``via``."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import resolve
 from ..sources import extract, scan
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .base import all_edges, edges, files, functions, nodes, sql
 from .graph_queries import path_of
 
@@ -47,7 +47,7 @@ def list_directory(spark, d):
 
 def python_extract(spark, d):
     """Symbols read from Python files."""
-    found = extract.extract_python(files(spark, d, "content"))
+    found = extract.extract_python(spread(files(spark, d, "content")))
     return found.select("path", "kind", "name", "class_name", "line_start", "line_end", F.col("docstring").isNotNull().alias("documented"))
 
 
@@ -57,7 +57,7 @@ def declarations_extract(spark, d):
 
 def symbols_per_language(spark, d):
     found = extract.extract_declarations(files(spark, d, "content")).select("ext", "kind")
-    python = extract.extract_python(files(spark, d, "content")).select(F.lit("py").alias("ext"), F.when(F.col("kind") == "class", "class").otherwise("function").alias("kind"))
+    python = extract.extract_python(spread(files(spark, d, "content"))).select(F.lit("py").alias("ext"), F.when(F.col("kind") == "class", "class").otherwise("function").alias("kind"))
     return found.unionByName(python).groupBy("ext", "kind").agg(F.count("*").alias("n"))
 
 
