@@ -109,8 +109,11 @@ def shingles(language: str | None, text: str) -> np.ndarray:
     words = _WORD.findall(code)
     if not words:
         return np.zeros(0, np.uint64)
-    code_of = {w: zlib.crc32(w.encode("utf-8", "replace")) for w in set(words)}
-    codes = np.array([code_of[w] for w in words] + [0] * max(0, SHINGLE - len(words)), np.uint64)
+    if len(_CODES) > 500_000:
+        _CODES.clear()
+    codes = np.fromiter(map(_CODES.__getitem__, words), np.uint64, len(words))
+    if len(codes) < SHINGLE:
+        codes = np.concatenate([codes, np.zeros(SHINGLE - len(codes), np.uint64)])
     n = len(codes) - SHINGLE + 1
     total = np.zeros(n, np.uint64)
     for k in range(SHINGLE):  # a polynomial over the word codes, modulo 2**64
@@ -121,6 +124,17 @@ def shingles(language: str | None, text: str) -> np.ndarray:
 _WORD = re.compile(r"\w+|[^\w\s]", re.A)
 
 
+class _Codes(dict):
+    """A number for each word, the same in every task."""
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = zlib.crc32(word.encode("utf-8", "replace"))
+        return code
+
+
+_CODES = _Codes()
+
+
 def _reasons(known):
     """known: None, or a broadcast of (sorted shingles, the upstream file of each, shingles of each upstream file)."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import conversations, invalid_sources, islands, layout, packing, reading_level, tokens
 
 
@@ -17,55 +17,55 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return invalid_sources.invalid_files(table(spark, d, "files"))
+    return invalid_sources.invalid_files(spread(table(spark, d, "files")))
 
 
 def p2_failures(spark: SparkSession, d: str) -> DataFrame:
-    return invalid_sources.check_files(table(spark, d, "files")).where("invalid")
+    return invalid_sources.check_files(spread(table(spark, d, "files"))).where("invalid")
 
 
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:
-    return invalid_sources.invalid_rates(table(spark, d, "files"))
+    return invalid_sources.invalid_rates(spread(table(spark, d, "files")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return islands.documented(table(spark, d, "nodes"), table(spark, d, "files")).select("id")
+    return islands.documented(table(spark, d, "nodes"), spread(table(spark, d, "files"))).select("id")
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return islands.pairs(table(spark, d, "nodes"), table(spark, d, "files"))
+    return islands.pairs(table(spark, d, "nodes"), spread(table(spark, d, "files")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return layout.not_hand_written(table(spark, d, "files"), table(spark, d, "upstream_files"))
+    return layout.not_hand_written(spread(table(spark, d, "files")), table(spark, d, "upstream_files"))
 
 
 def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return layout.reason_counts(table(spark, d, "files"), table(spark, d, "upstream_files"))
+    return layout.reason_counts(spread(table(spark, d, "files")), table(spark, d, "upstream_files"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode(table(spark, d, "documents"), ["doc_id"])
+    return tokens.encode(spread(table(spark, d, "documents")), ["doc_id"])
 
 
 def p6_counts_by_source(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.counts_by(table(spark, d, "documents"), "source")
+    return tokens.counts_by(spread(table(spark, d, "documents")), "source")
 
 
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(table(spark, d, "documents"), table(spark, d, "containers"))
+    return packing.pack(spread(table(spark, d, "documents")), table(spark, d, "containers"))
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packing_report(table(spark, d, "documents"), table(spark, d, "containers"))
+    return packing.packing_report(spread(table(spark, d, "documents")), table(spark, d, "containers"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return reading_level.reading_levels(table(spark, d, "documents"), table(spark, d, "level_samples")).where("level is not null").select("doc_id", "level")
+    return reading_level.reading_levels(spread(table(spark, d, "documents")), table(spark, d, "level_samples")).where("level is not null").select("doc_id", "level")
 
 
 def p8_profile(spark: SparkSession, d: str) -> DataFrame:
-    return reading_level.level_profile(table(spark, d, "documents"), table(spark, d, "level_samples"))
+    return reading_level.level_profile(spread(table(spark, d, "documents")), table(spark, d, "level_samples"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_failures, p2_rates, p3_found, p3_pairs, p4_found, p4_reasons, p6_ids, p6_counts_by_source, p7_packing, p7_report, p8_found, p8_profile)}
