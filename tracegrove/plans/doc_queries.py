@@ -21,7 +21,7 @@ def sections(spark, d):
     headings inside fenced code count; content is cut at SECTION_CHARS with a mark.
     """
     source = files(spark, d, "content").where((T.extension(F.col("relative_path")) == "md") & F.col("content").isNotNull())
-    lines = source.select(F.col("relative_path").alias("path"), F.posexplode(T.lines(F.regexp_replace("content", "^﻿", ""))).alias("pos", "line"))
+    lines = source.select(F.col("relative_path").alias("path"), F.posexplode(T.lines(F.regexp_replace("content", "^\ufeff", ""))).alias("pos", "line"))
     heading = F.col("line").rlike(r"^#{1,6}[ \t]+[^ \t]")
     w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = lines.withColumn("section", F.sum(heading.cast("int")).over(w)).withColumn("any", F.max(heading.cast("int")).over(Window.partitionBy("path")))

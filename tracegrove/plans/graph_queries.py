@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..operators.relational import current_rows, first_by
+from ..operators.relational import current_rows, first_by, positions
 from ..schema import EDGE_WEIGHTS
 from ..sources.tables import table
 from .base import all_edges, edges, functions, nodes, sql
@@ -14,6 +14,7 @@ from .base import all_edges, edges, functions, nodes, sql
 WALK = ("imports", "contains", "calls")
 DEPTH = 4
 PAGERANK_ROUNDS = 10
+BUDGET = 1600
 
 
 def path_of() -> F.Column:
@@ -199,16 +200,19 @@ def repo_map_budget_cut(spark, d):
     """Per repository the classes and functions of highest degree until the token budget overflows."""
     shown = nodes(spark, d, "node_type", "name", "file_path").where("node_type in ('class', 'function', 'method') and file_path is not null")
     ranked = shown.join(graph.degrees(edges(spark, d)), "id").withColumn("repository", F.split("file_path", "/")[0])
-    cost = F.floor(F.length(F.concat_ws(" ", "node_type", "name", "file_path")) * 0.25)
-    kept = graph.budget_cut(ranked.withColumn("cost", cost), [F.desc("degree"), F.col("id")], "cost", 1600, "repository")
+    cost = F.greatest(F.lit(1), F.floor(F.length(F.concat_ws(" ", "node_type", "name", "file_path")) * 0.25))
+    order = [F.desc("degree"), F.col("id")]
+    # An entry costs one at least, so no more than BUDGET of a repository can be kept: the rest goes before the shuffle.
+    first = ranked.withColumn("n", F.row_number().over(Window.partitionBy("repository").orderBy(*order))).where(F.col("n") <= BUDGET)
+    kept = graph.budget_cut(first.withColumn("cost", cost), order, "cost", BUDGET, "repository")
     return kept.select("repository", "id", "degree", "cost", "running")
 
 
 def trace_flow_edges(spark, d):
     """Adjacent events of each user as a trace, counted per pair of types."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    steps = table(spark, d, "events").withColumn("next_type", F.lead("event_type").over(w)).where("next_type is not null")
-    return steps.groupBy(F.col("event_type").alias("src"), F.col("next_type").alias("dst")).agg(F.count("*").alias("n"))
+    placed = graph.cut(positions(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"]).select("user_id", "pos", "event_type"))
+    after = placed.select("user_id", (F.col("pos") - 1).alias("pos"), F.col("event_type").alias("dst"))
+    return placed.join(after, ["user_id", "pos"]).groupBy(F.col("event_type").alias("src"), "dst").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -288,7 +292,7 @@ ORACLES = {
     "inherits_cross_file": sql("select b.name as base, count(distinct src) subclasses, count(distinct case when a.file_path <> b.file_path then src end) cross_file from le join cn a on a.id = src join cn b on b.id = dst where edge_type = 'inherits' group by 1"),
     "table_lineage": sql("select dst as id, count(distinct case when edge_type = 'reads' then src end) readers, count(distinct case when edge_type = 'writes' then src end) writers from le where edge_type in ('reads', 'writes') group by 1"),
     "repo_map_budget_cut": sql(
-        ", dg as (select id, count(*) degree from (select src as id from le union all select dst from le) group by 1), x as (select split_part(file_path, '/', 1) repository, id, degree, cast(floor(length(node_type || ' ' || name || ' ' || file_path) * 0.25) as bigint) as cost from cn join dg using (id) where node_type in ('class', 'function', 'method') and file_path is not null) "
+        ", dg as (select id, count(*) degree from (select src as id from le union all select dst from le) group by 1), x as (select split_part(file_path, '/', 1) repository, id, degree, greatest(1, cast(floor(length(node_type || ' ' || name || ' ' || file_path) * 0.25) as bigint)) as cost from cn join dg using (id) where node_type in ('class', 'function', 'method') and file_path is not null) "
         "select * from (select *, cast(sum(cost) over (partition by repository order by degree desc, id rows between unbounded preceding and current row) as bigint) as running from x) where running <= 1600"
     ),
     "trace_flow_edges": "select event_type as src, nt as dst, count(*) n from (select event_type, lead(event_type) over (partition by user_id order by ts, event_id) nt from events) where nt is not null group by 1, 2",

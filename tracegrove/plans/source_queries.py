@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import resolve
+from ..operators.relational import positions
+from ..session import cut
 from ..sources import extract, scan
 from ..sources.tables import spread, table
 from .base import all_edges, edges, files, functions, nodes, sql
@@ -101,11 +102,17 @@ def cross_file_inheritance(spark, d):
 
 def debounce_sessions(spark, d):
     """Bursts of events per user: a gap of a minute or more ends one."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = table(spark, d, "events").select("user_id", "event_id", "ts", at.alias("us")).withColumn("gap", F.col("us") - F.lag("us").over(w))
-    placed = rows.withColumn("session", F.sum((F.col("gap").isNull() | (F.col("gap") >= 60_000_000)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return placed.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    rows = table(spark, d, "events").select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    # Neighbours meet by place, so that no task holds a user whole.
+    placed = cut(positions(rows, "user_id", ["ts", "event_id"]).select("user_id", "pos", "us"))
+    before = placed.select("user_id", (F.col("pos") + 1).alias("pos"), F.col("us").alias("before"))
+    starts = placed.join(before, ["user_id", "pos"], "left").where(F.col("before").isNull() | (F.col("us") - F.col("before") >= 60_000_000)).select("user_id", "pos", F.col("us").alias("first_us"))
+    starts = cut(positions(starts, "user_id", ["pos"], "session"))
+    ends = placed.groupBy("user_id").agg(F.max("pos").alias("final"))
+    nexts = starts.select("user_id", (F.col("session") - 1).alias("session"), (F.col("pos") - 1).alias("stop"))
+    spans = starts.join(nexts, ["user_id", "session"], "left").join(ends, "user_id").withColumn("stop", F.coalesce("stop", "final"))
+    last = placed.select("user_id", F.col("pos").alias("stop"), F.col("us").alias("last_us"))
+    return spans.join(last, ["user_id", "stop"]).select("user_id", F.col("session").cast("long").alias("session"), (F.col("stop") - F.col("pos") + 1).cast("long").alias("events"), "first_us", "last_us")
 
 
 def dangling_counts(spark, d):

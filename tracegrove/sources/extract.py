@@ -24,7 +24,7 @@ def python_symbols(text: str) -> list[tuple]:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
-            tree = ast.parse(text.removeprefix("﻿"))
+            tree = ast.parse(text.removeprefix("\ufeff"))
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             return []
     guarded = {c.func.id for n in tree.body if isinstance(n, ast.If) and "__name__" in ast.dump(n.test) for c in ast.walk(n) if isinstance(c, ast.Call) and isinstance(c.func, ast.Name)}
