@@ -33,7 +33,7 @@ from ..session import cut
 HOT = 20_000  # messages of a thread that one task may order
 # How the speakers are spelled, in lower case and trimmed.
 SPEAKERS = {"user": 1, "human": 1, "agent": 2, "assistant": 2, "bot": 2, "system": 0}
-_BLANK = r"^[\s\u0085  ᠎ -​    ⁠　﻿\x1c-\x1f]*$"
+_BLANK = r"^[\s\p{Z}\x1c-\x1f\x{85}\x{180e}\x{200b}\x{2060}\x{feff}]*$"  # white space of any kind, and what has no width
 COLUMNS = "thread_id string, pos int, message_id string, speaker int, moment long"
 
 
@@ -45,7 +45,7 @@ def moment(ts: Column) -> Column:
 
 def speaker(role: Column) -> Column:
     """0 system, 1 user, 2 agent; null if the role cannot be read."""
-    name = F.lower(F.trim(F.regexp_replace(role, r"^[\s ]+|[\s ]+$", "")))
+    name = F.lower(F.regexp_replace(role, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
     out = F.lit(None).cast("int")
     for word, code in SPEAKERS.items():
         out = F.when(name == word, code).otherwise(out)

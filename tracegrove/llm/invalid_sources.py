@@ -43,7 +43,7 @@ def syntax_error(language: str, text: str) -> tuple[int, int, str, str] | None:
     failed = grammar(language).parse(kinds, breaks)
     if failed < 0:
         return None
-    clean = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+    clean = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     offset = at[failed]
     line = clean.count("\n", 0, offset) + 1
     column = offset - (clean.rfind("\n", 0, offset) + 1) + 1

@@ -42,7 +42,7 @@ _ABOVE = re.compile(r"^[ \t]*(?:@[\w.]+(?:\([^\n]*\))?|#\[[^\n]*\]|\[[^\n]*\])[
 
 
 def _lines(text: str) -> str:
-    return text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+    return text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
 
 
 def line_count(text: str) -> int:
@@ -258,7 +258,7 @@ def documented(nodes: DataFrame, files: DataFrame) -> DataFrame:
 def pairs(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """Code and documentation of each documented function."""
     current = current_rows(files.where("relative_path is not null"), "relative_path", [F.col("mtime"), F.xxhash64("content")], ["content"])
-    lines = F.split(F.regexp_replace(F.regexp_replace("content", "^﻿", ""), r"\r\n?", "\n"), "\n")
+    lines = F.split(F.regexp_replace(F.regexp_replace("content", "^\ufeff", ""), r"\r\n?", "\n"), "\n")
     found = skew_join(documented(nodes, files), current.withColumnRenamed("relative_path", "file_path"), "file_path")
     code = F.array_join(F.slice(lines, F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
     return found.select("id", "name", "file_path", "line_start", "line_end", "documentation", code.alias("code"))

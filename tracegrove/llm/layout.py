@@ -80,7 +80,7 @@ def reason(path: str, text: str | None) -> str | None:
     longest_allowed, mean_allowed, digits_allowed = LIMITS[language]
     body = _ANY_COMMENT[language].sub("", text)  # long comments are no sign of a machine
     longest, mean, white, alnum, digits, encoded = layout(body)
-    head = _LEADING[language].match(text.removeprefix("﻿")).group()
+    head = _LEADING[language].match(text.removeprefix("\ufeff")).group()
     if language in ("javascript", "typescript") and (mean > mean_allowed and white < 0.1 and longest > longest_allowed or _BUNDLE_NAME.search(name) and white < 0.15):
         return "minified"
     literals = words = 0

@@ -57,7 +57,7 @@ _SHAPE = {
 _SHAPE["typescript"] = _SHAPE["javascript"]
 _POINT_FIRST = r"|\.[0-9][0-9_]*"  # .5 is no number in Rust and Ruby
 _SCAN = {
-    k: re.compile(rf"(?P<skip>[ \t\r\f\v ]+|{skip})|(?P<nl>\n)|(?P<str>{string})|(?P<num>{_NUM.replace(_POINT_FIRST, "") if k in ("rust", "ruby") else _NUM})|(?P<name>{name})|(?P<op>{_OPS[k]})")
+    k: re.compile(rf"(?P<skip>[ \t\r\f\v\xa0]+|{skip})|(?P<nl>\n)|(?P<str>{string})|(?P<num>{_NUM.replace(_POINT_FIRST, "") if k in ("rust", "ruby") else _NUM})|(?P<name>{name})|(?P<op>{_OPS[k]})")
     for k, (skip, string, name) in _SHAPE.items()
 }
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
@@ -135,7 +135,7 @@ _DOT_NEXT = re.compile(r"(?:\s|#[^\n]*\n)*(?:&\.|\.(?!\.))")
 
 def tokens(language: str, text: str) -> tuple[list[str], list[int], list[int]]:
     """The tokens of ``text``; a byte order mark and any line ending are accepted."""
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     if language == "python":
         kinds, breaks, at = _python(text)
         kinds.append("EOF"), breaks.append(1), at.append(len(text))
