@@ -17,7 +17,8 @@ HAND = "import a\n\n" + "\n".join(f"def f{i}(x):\n    y = x + {i}\n    return g(
         ("r/a.py", "# This module is written by hand; the generated stubs live in ../stubs.\n" + HAND, None), ("r/vendor/x/a.py", HAND, "vendored"), ("r/vendors/a.py", HAND, None),
         ("r/a.py", "# This file is part of thing.\n" + HAND, "vendored"), ("thing/a.py", "# This file is part of thing.\n" + HAND, None), ("r/a_pb2.py", HAND, "generated"), ("r/generators/a.py", HAND, None),
         ("r/a.js", "var a=function(e){return e+1};" * 200, "minified"), ("r/a.py", "DATA = [\n" + "    1234, 5678, 9012, 3456,\n" * 200 + "]\n", "data"),
-        ("r/a.py", "# " + "word " * 800 + "\n" + HAND, None), ("r/a.py", 'HINT = "' + "some words here " * 200 + '"\n' + HAND, None), ("r/a.md", "DO NOT EDIT", None), ("r/a.py", None, None), ("r/a.py", "", None),
+        ("r/a.py", "# " + "word " * 800 + "\n" + HAND, None), ("r/a.py", 'HINT = "' + "some words here " * 200 + '"\n' + HAND, None), ("r/a.sql", "".join(f"INSERT INTO t (a, b, c) VALUES ({i}, {i}.5, 'late');\n" for i in range(40)), "data"),
+        ("r/a.sql", "".join(f"CREATE TABLE t{i} (\n    a INT,\n    b DECIMAL(12, {i})\n);\n" for i in range(20)), None), ("r/a.md", "DO NOT EDIT", None), ("r/a.py", None, None), ("r/a.py", "", None),
     ],
 )
 def test_reason(path, text, want):

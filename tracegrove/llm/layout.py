@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,12 @@ def layout(text: str) -> tuple[int, float, float, float, float, int]:
     return max(map(len, lines)), sum(map(len, lines)) / len(lines), 1 - len(data.translate(None, _WHITE)) / n, 1 - len(data.translate(None, _ALNUM)) / n, 1 - len(data.translate(None, _DIGITS)) / n, encoded
 
 
+def _one_shape(body: str) -> bool:
+    """Whether nine tenths of at least a dozen lines are alike once their literals are taken out (rows of a table, inserts)."""
+    shapes = Counter(_LITERAL.sub("0", line.strip()) for line in body.splitlines() if line.strip())
+    return sum(shapes.values()) >= 12 and shapes.most_common(1)[0][1] >= 0.9 * sum(shapes.values())
+
+
 def reason(path: str, text: str | None) -> str | None:
     """minified, data, generated or vendored; null for hand-written files (copies without a sign are found by shingles)."""
     language = language_of(path)
@@ -87,6 +94,8 @@ def reason(path: str, text: str | None) -> str | None:
     if digits > 0.08 or body.count('"') + body.count("'") > len(body) / 40:  # else most of it cannot be literals
         literals = sum(m.end() - m.start() for m in _LITERAL.finditer(body) if m.group().count(" ") < 8)  # a sentence is no datum
         words = sum(m.end() - m.start() for m in _WORDISH.finditer(_LITERAL.sub("", body)))
+        if literals > 0.12 * len(body) and _one_shape(body):
+            return "data"
     solid = max(1, len(body) * (1 - white))
     if digits > digits_allowed and len(body) > 500 or encoded > 400 and encoded > 0.5 * len(body) or len(body) > 800 and literals > 0.6 * solid and words < 0.12 * solid:
         return "data"
