@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return session("local[4]", 4)
+    return session("local[8]", 2)
 
 
 @pytest.fixture(scope="session")

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tracegrove.api import INTENTS, Project
+from tracegrove.api import INTENTS, Project, render_mermaid, search_tools, summarize_hotspots
 from tracegrove.operators import orphans, resolve
 from tracegrove.operators.relational import current_rows, first_by, positions
 from tracegrove.operators.skew import skew_join
@@ -124,7 +124,7 @@ def test_streams(spark, tmp_path):
     assert {r.relative_path: r.content for r in kept.read(9).collect()} == {"a.py": "2", "b.py": "1"}
 
 
-def test_project(spark, data):
+def test_project(spark, data, tmp_path):
     p = Project(spark, data)
     first = p.edges(["CALLS"]).select("src", "dst").where("src <> dst").orderBy("src", "dst").first()
     assert first.dst in {r.id for r in p.callees_of(first.src).collect()}
@@ -137,6 +137,15 @@ def test_project(spark, data):
     assert p.semantic_search(name, 3).count() == 3
     assert p.search("", 5).count() == 5
     assert len(INTENTS) == 17
+    text = render_mermaid(nodes, edges)
+    assert text.startswith("graph TD") and "-->" in text
+    info = p.function_info(first.dst).first()
+    assert info.n_callers >= 1 and first.src in (info.callers or []) or info.n_callers > 10
+    index = str(tmp_path / "index")
+    assert p.build_index(index).count() == p.build_index(index).count() > 0
+    report = spark.createDataFrame([("a", 1.0), ("b", 9.5)], "path string, total double")
+    assert summarize_hotspots(report) == "- b: 9.50\n- a: 1.00" and summarize_hotspots(report.limit(0)) == "No hotspots."
+    assert "find_path" in search_tools("shortest path")
     assert {k for k in p.intent("symbol_lookup", query=name)} == {"symbol", "around"}
     with pytest.raises(ValueError):
         p.search("x", 501)

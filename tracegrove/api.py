@@ -134,6 +134,26 @@ class Project:
         d = F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in q]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
         return vectors.select("id", "name", d.alias("d")).orderBy("d", "id").limit(limit).withColumn("score", 1 / (1 + F.col("d")))
 
+    def function_info(self, name: str) -> DataFrame:
+        """The named functions with their callers and callees: counts, and the first ten of each."""
+        own = self.nodes("node_type", "name", "file_path", "signature", "docstring").where(F.col("node_type").isin(*CALLABLE) & ((F.col("name") == name) | (F.col("id") == name)))
+        calls = self.edges(["calls"]).select("src", "dst").distinct()
+        first = lambda c: F.slice(F.array_sort(F.collect_list(c)), 1, 10)
+        ids = own.select("id")
+        callers = calls.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_callers"), first("src").alias("callers"))
+        callees = calls.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_callees"), first("dst").alias("callees"))
+        return own.join(callers, "id", "left").join(callees, "id", "left").fillna(0, ["n_callers", "n_callees"])
+
+    def build_index(self, path: str, force: bool = False) -> DataFrame:
+        """Vectors of all symbols and sections, written once to ``path`` and again only if forced."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if force or not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
+            shown = self.nodes("node_type", "name", "docstring", "file_path").where("node_type in ('class', 'function', 'method', 'doc_section')")
+            kind = F.when(F.col("node_type") == "method", "function").otherwise(F.col("node_type"))
+            text = F.substring(F.concat_ws("\n", F.concat_ws(" ", kind, "name", "file_path"), "docstring"), 1, 4000)
+            shown.select("id", "name", "file_path", kind.alias("node_type"), text.alias("content"), hashed_vector(text).alias("vector")).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     # -- scores, docs, files
     def hotspots(self, top: int = 20) -> DataFrame:
         bounded("top_n", top)
@@ -160,6 +180,29 @@ class Project:
         return INTENTS[name](self, **args)
 
 
+def render_mermaid(nodes: DataFrame, edges: DataFrame, max_nodes: int = 200) -> str:
+    """A flow chart of a subgraph of at most ``max_nodes`` nodes, as text."""
+    bounded("subgraph_nodes", max_nodes)
+    safe = lambda c: T.mermaid_id(F.col(c))
+    held = nodes.select("id").orderBy("id").limit(max_nodes)
+    lines = [f'    {r.k}["{r.id}"]' for r in held.select("id", safe("id").alias("k")).orderBy("id").collect()]
+    lines += [f"    {r.a} --> {r.b}" for r in graph.induced(edges, held).select(safe("src").alias("a"), safe("dst").alias("b")).distinct().orderBy("a", "b").limit(max_nodes * 20).collect()]
+    return "\n".join(["graph TD", *lines])
+
+
+def summarize_hotspots(report: DataFrame, top: int = 10) -> str:
+    """The report's best lines as a list."""
+    bounded("top_n", top)
+    rows = report.orderBy(F.desc("total"), "path").limit(top).collect()
+    return "\n".join(f"- {r.path}: {r.total:.2f}" for r in rows) or "No hotspots."
+
+
+def search_tools(query: str) -> list[str]:
+    """Names of the project's tools whose name or description holds the query."""
+    found = [n for n in dir(Project) if not n.startswith("_") and query.lower() in f"{n} {getattr(Project, n).__doc__ or ''}".lower()]
+    return sorted(found)
+
+
 VECTOR = 64
 
 

@@ -33,6 +33,10 @@ class Adjacency:
             pairs = pairs.join(self.hot, F.col("src") == F.col("hot"), "left").select("src", "dst", salt.alias("salt")).repartition("src", "salt").persist()
         self.pairs = pairs
 
+    def close(self) -> None:
+        """Frees the cached pairs; what was computed from them is cut and stays."""
+        self.pairs.unpersist()
+
     def step(self, frontier: DataFrame, carry: list[str] | None = None) -> DataFrame:
         """Neighbours of ``frontier`` (id and carried columns): id, carried columns and ``via``."""
         kept = carry or []
@@ -57,6 +61,7 @@ def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = None,
         if not frontier.take(1):
             break
         seen = seen.unionByName(frontier)
+    adjacency.close()
     return seen
 
 
@@ -76,6 +81,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int = 50, dir
         if not frontier.take(1):
             break
         seen = seen.unionByName(frontier)
+    adjacency.close()
     return seen
 
 
@@ -90,6 +96,7 @@ def dependency_tree(edges: DataFrame, roots: DataFrame, depth: int = 2, directio
         if not level.take(1):
             break
         out = out.unionByName(level)
+    adjacency.close()
     return out.select(F.element_at("path", 1).alias("root"), "id", (F.size("path") - 1).alias("depth"), "recursive", "path")
 
 
@@ -178,10 +185,6 @@ def path_edges(paths: DataFrame) -> DataFrame:
     return paths.where("size(path) > 1").select("id", pairs).select("id", "pair.src", "pair.dst", F.lit("path").alias("edge_type"))
 
 
-def top(df: DataFrame, by: list, k: int) -> DataFrame:
-    return df.orderBy(*by).limit(k)
-
-
 def budget_cut(rows: DataFrame, order: list, cost: str, budget: int, group: str | None = None) -> DataFrame:
     """Rows kept before the first one whose cost overflows the budget, in ``order`` (per ``group``)."""
     w = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
