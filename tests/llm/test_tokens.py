@@ -46,6 +46,14 @@ def test_very_long_slice_and_round_trip():
     assert [T.decode(x) for x in ids] == texts
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet=" \n\tab1'sl!é", max_size=80), st.integers(1, 9))
+def test_parts_of_long_texts(text, block):
+    ids, counts = ENCODER.encode([text, "a b"], block)
+    assert "".join(T.cut_long(text, block)) == text
+    assert ids.tolist() == REFERENCE.encode_ordinary(text) + REFERENCE.encode_ordinary("a b") and counts[1] == 2
+
+
 def test_monoid_is_associative():
     table, _, leads_to, _ = T.monoid()
     rd = np.random.default_rng(0)

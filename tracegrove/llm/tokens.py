@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -262,8 +263,18 @@ class Encoder:
             self.hashes, self.numbers = hashes[order], numbers[order]
         return number
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in order, and how many each text has."""
+    def encode(self, texts: list[str], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in order, and how many each text has. Longer texts than ``block`` are scanned in parts."""
+        if not any(len(t) > block for t in texts):
+            return self._encode(texts)
+        ids, counts = [], []
+        for t in texts:
+            parts = [self._encode([p])[0] for p in cut_long(t, block)]
+            ids += parts
+            counts.append(sum(map(len, parts)))
+        return np.concatenate(ids), np.array(counts, np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.first) > CACHED:
             self._forget()
         joined, points, starts, stops, counts = self.slices(texts)
@@ -275,6 +286,21 @@ class Encoder:
         return ids, np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
 
 
+_SAFE = re.compile(r"(?<=\S)(?=[ \n\t])")
+
+
+def cut_long(text: str, block: int) -> list[str]:
+    """Parts of about ``block`` code points, cut before white space that follows something else: a slice starts there whatever comes before."""
+    parts, at = [], 0
+    while len(text) - at > block:
+        m = _SAFE.search(text, at + block)
+        if not m or m.start() >= len(text):
+            break
+        parts.append(text[at : m.start()])
+        at = m.start()
+    return [*parts, text[at:]]
+
+
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, t in enumerate(texts):
