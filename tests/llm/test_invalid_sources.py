@@ -18,7 +18,7 @@ GOOD = {
     "rust": ["#![allow(x)]\nuse a::{b, c::*};\npub(crate) struct S<'a, T: A + 'a>(&'a mut T) where T: B;\nimpl<'a, T> X for S<'a, T> {\n    type Y = Z;\n    fn m(&mut self, (a, b): (i32, &str)) -> Result<(), Box<dyn E>> {\n        let v: Vec<Vec<u8>> = vec![1u8, 2]; if let Some(x) = y.z()? { x as usize } else { 0..10 };\n        match q { A { b, .. } | C(1..=2) if b > 0 => { d() } _ => e!(\"{}\", f), }\n        for i in 0..n { s += i * 2; } 'l: loop { break 'l; }\n        let c = move |a: i32| -> i32 { a + 1 };\n        a[0].b.0 = !c;\n        Ok(())\n    }\n}\n"],
     "c": ["#include <a.h>\n#define X(a) \\\n  ((a) + 1)\ntypedef struct s { int a : 3; union { char b[4]; } *u; } s_t;\nstatic const unsigned char t[] = { 0x1, [2] = 3, };\nint (*fp)(int, char **) = 0;\nextern int f(void), g(int a, ...);\nint main(int argc, char *argv[])\n{\n    for (int i = 0; i < 3; ++i) { a->b[i] = (long) *p++ ? sizeof(int *) : -x; }\n    switch (x) { case 1: case 2: goto end; default: break; }\n    do { if (!x) return 0; else y = \"a\" \"b\"; } while (0);\nend:\n    return 0;\n}\n"],
     "csharp": ["using System;\nusing static A.B;\nnamespace N.M;\n[Attr(1)]\npublic sealed class A<T> : B, IC where T : class, new()\n{\n    private int? x = 1; public string P { get; private set; } = \"a\"; int Q => x ?? 2;\n    public event E H;\n    public A(int a) : base(a) { }\n    public async Task<int[]> M<U>(ref int a, out B b, params int[] c) { await foreach (var i in xs) { if (i is int k && k > 1) yield return k; } lock (o) { } using var z = new Z { A = 1 }; return y switch { 1 => 2, _ => throw new X() }; }\n    public static A<T> operator +(A<T> a, A<T> b) => a;\n    enum K { A = 1, B }\n}\n"],
-    "ruby": ["require 'a'\nmodule A\n  class B < C::D\n    attr_reader :x, :y\n    X = %w(a b)\n    def initialize(a, b = 1, *c, d: 2, &e)\n      @a = a if b\n      return 3 unless c.empty?\n      c.each do |i, (j, k)|\n        puts \"#{i}\" + 'x' if i =~ /a/\n      end\n      case a\n      when 1, 2 then 3\n      else 4\n      end\n      begin\n        f\n      rescue E => e\n        g\n      ensure\n        h\n      end\n      x = [1, 2].map { |v| v * 2 }.select(&:odd?)\n      while a < 3 do a += 1 end\n      h = { a: 1, 'b' => 2 }\n    end\n    def self.z; end\n  end\nend\n5.times do |i|\n  x ||= i\nend\n"],
+    "ruby": ["x = f(<<~A, <<-'B')\n  it's (\n  A\nend {\n B\ny << z\n", "require 'a'\nmodule A\n  class B < C::D\n    attr_reader :x, :y\n    X = %w(a b)\n    def initialize(a, b = 1, *c, d: 2, &e)\n      @a = a if b\n      return 3 unless c.empty?\n      c.each do |i, (j, k)|\n        puts \"#{i}\" + 'x' if i =~ /a/\n      end\n      case a\n      when 1, 2 then 3\n      else 4\n      end\n      begin\n        f\n      rescue E => e\n        g\n      ensure\n        h\n      end\n      x = [1, 2].map { |v| v * 2 }.select(&:odd?)\n      while a < 3 do a += 1 end\n      h = { a: 1, 'b' => 2 }\n    end\n    def self.z; end\n  end\nend\n5.times do |i|\n  x ||= i\nend\n"],
     "sql": ["-- c\nCREATE TABLE IF NOT EXISTS a.b (id BIGSERIAL PRIMARY KEY, n VARCHAR(40) NOT NULL DEFAULT 'x', d DECIMAL(12, 2) CHECK (d > 0), t TIMESTAMP WITH TIME ZONE, FOREIGN KEY (n) REFERENCES c (n) ON DELETE SET NULL);\nINSERT INTO a (x, y) SELECT x, SUM(y) AS t FROM b LEFT JOIN c USING (x) WHERE x <> 'it''s' AND y IN (1, 2) GROUP BY x HAVING COUNT(*) > 1 ORDER BY 2 DESC LIMIT 3;\nWITH q AS (SELECT 1) UPDATE a SET x = CASE WHEN y IS NULL THEN 1 ELSE 2 END WHERE EXISTS (SELECT * FROM q);\nSELECT row_number() OVER (PARTITION BY a ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) r, x::int FROM t; DROP TABLE IF EXISTS t"],
 }
 BAD = {
@@ -30,7 +30,7 @@ BAD = {
     "rust": ["fn f( {}", "fn f() { let x = ; }", "fn f() { if x { }", "package a", "struct S { a: i32"],
     "c": ["int f(int a) {", "int x = ;", "package a;\nimport b.c;\n", "int f() { return 1 }", "int f() { \"a; }"],
     "csharp": ["class A {", "class A { int M( { } }", "import a\n", "class A { void M() { x = ; } }"],
-    "ruby": ["def f\n  1\n", "class A\n  def f\n  end\n", "x = (1\n", "end\n", "package a;\nimport a.*;\n", "if a\n  b\nelse\n  c\nend\nend\n"],
+    "ruby": ["x = <<~A\n  text\n", "def f\n  1\n", "class A\n  def f\n  end\n", "x = (1\n", "end\n", "package a;\nimport a.*;\n", "if a\n  b\nelse\n  c\nend\nend\n"],
     "sql": ["CREATE TABLE a (", "SELECT FROM", "INSERT INTO a (b VALUES (1);", "CREATE TABLE a (x INT,\n<<<<<<< HEAD\ny INT);", "SELECT a FROM b WHERE;", "class A { }"],
 }
 

@@ -48,7 +48,7 @@ _SHAPE = {
     "javascript": (r"//[^\n]*|" + _BLOCK + r"|\A#![^\n]*", _DQ + "|" + _SQ, r"\#?[^\W\d][\w$]*|[$][\w$]*"),
     "java": (r"//[^\n]*|" + _BLOCK, r'"""(?s:.*?)(?<!\\)"""|' + _DQ + "|" + _SQ, r"[^\W\d][\w$]*|[$][\w$]*"),
     "go": (r"//[^\n]*|" + _BLOCK, r"`[^`]*`|" + _DQ + "|" + _SQ, r"[^\W\d]\w*"),
-    "rust": (r"//[^\n]*|" + _BLOCK, r'b?r(?P<h>#*)"(?s:.*?)"(?P=h)|b?"(?:[^"\\]|\\(?s:.))*"|b?\'(?:[^\'\\\n]|\\(?:u\{[0-9a-fA-F_]+\}|x[0-9a-fA-F]{2}|.))\'', r"'(?=\w)[^\W\d]\w*|(?:r\#)?[^\W\d]\w*"),
+    "rust": (r"//[^\n]*|" + _BLOCK + r"|\A\#!(?!\[)[^\n]*", r'b?r(?P<h>#*)"(?s:.*?)"(?P=h)|b?"(?:[^"\\]|\\(?s:.))*"|b?\'(?:[^\'\\\n]|\\(?:u\{[0-9a-fA-F_]+\}|x[0-9a-fA-F]{2}|.))\'', r"'(?=\w)[^\W\d]\w*|(?:r\#)?[^\W\d]\w*"),
     "c": (r"//(?:[^\n\\]|\\(?s:.))*|" + _BLOCK + r"|(?m:^)[ \t]*\#(?:[^\n\\/]|\\(?s:.)|/(?!\*)|" + _BLOCK + r")*|\\\r?\n", r"(?:u8|[uUL])?(?:" + _DQ + "|" + _SQ + ")", r"[^\W\d]\w*"),
     "csharp": (r"//[^\n]*|" + _BLOCK + r"|(?m:^)[ \t]*\#[^\n]*", r'\$?@\$?"(?:[^"]|"")*"|"""(?s:.*?)"""|\$?(?:' + _DQ + ")|" + _SQ, r"@?[^\W\d]\w*"),
     "ruby": (r"#[^\n]*|(?m:^)=begin\b(?s:.*?)(?m:^)=end\b[^\n]*|\\\r?\n", r"\"(?:[^\"\\]|\\(?s:.))*\"|'(?:[^'\\]|\\(?s:.))*'|`(?:[^`\\]|\\(?s:.))*`|%[qQwWiI]?\((?:[^()\\]|\\(?s:.))*\)|%[qQwWiI]?\[[^\]]*\]|%[qQwWiI]?\{[^}]*\}", r"[@$]{0,2}[^\W\d]\w*(?:[?!](?![=~]))?|:(?:[^\W\d]\w*[?!=]?(?![:>~=])|\")"),
@@ -61,6 +61,7 @@ _SCAN = {
     for k, (skip, string, name) in _SHAPE.items()
 }
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
+_HEREDOC = re.compile(r"<<([~-]?)(['\"]?)([A-Za-z_]\w*)\2")
 _TEMPLATE = re.compile(r"`(?:[^`\\$]|\\(?s:.)|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\})*`")
 _BEFORE_REGEX = frozenset("( , = : [ ! & | ? { } ; + - * % < > ~ ^ => == === != !== <= >= && || ?? += -= *= return typeof instanceof in of new delete void throw case do else".split())
 _OPEN, _CLOSE = frozenset("([{"), frozenset(")]}")
@@ -144,6 +145,7 @@ def tokens(language: str, text: str) -> tuple[list[str], list[int], list[int]]:
     scan, words = _SCAN[language].match, _WORDS[language]
     script, go, ruby, sql = language in ("javascript", "typescript"), language == "go", language == "ruby", language == "sql"
     pos, n, broke, closers = 0, len(text), 1, []
+    heredocs: list[str] = []
     while pos < n:
         m = scan(text, pos)
         kind = m.lastgroup if m else "bad"
@@ -163,6 +165,12 @@ def tokens(language: str, text: str) -> tuple[list[str], list[int], list[int]]:
                 kinds.append("NL"), breaks.append(0), at.append(pos)
             broke = 1
             pos += 1
+            for name in heredocs:  # their texts follow the line that opens them
+                close = re.compile(rf"^[ \t]*{name}[ \t]*$", re.M).search(text, pos)
+                pos = min(n, close.end()) if close else n
+                if not close:
+                    kinds.append("BAD"), breaks.append(1), at.append(n)
+            heredocs.clear()
             continue
         end = m.end() if m else pos + 1
         if kind == "name":
@@ -181,6 +189,9 @@ def tokens(language: str, text: str) -> tuple[list[str], list[int], list[int]]:
                 r = _REGEX.match(text, pos)
                 if r:
                     k, end = "STR", r.end()
+            elif ruby and k == "<<" and (h := _HEREDOC.match(text, pos)) and (h.group(1) or not kinds or kinds[-1] in _RUBY_GOES_ON or kinds[-1] == "NL"):
+                heredocs.append(h.group(3))
+                k, end = "STR", h.end()
             elif ruby and k in ("/", "/=") and (not kinds or kinds[-1] in _RUBY_GOES_ON or kinds[-1] in ("NL", "if", "unless", "when", "and", "or")):
                 r = _REGEX.match(text, pos)
                 if r:
