@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .tokens import token_counts
 
 OPEN = 256  # bins that a packer keeps open
@@ -128,7 +129,7 @@ def pack(documents: DataFrame, containers: DataFrame, path: str | None = None, m
         raise ValueError(f"more than {KINDS} kinds of container")
     kinds = sorted((r.container_kind, int(r.capacity)) for r in rows)
     sizes = token_counts(documents, ["doc_id"], path=path)
-    placed = sizes.mapInPandas(_first_round(kinds, most), PLACED).persist()
+    placed = cut(sizes.mapInPandas(_first_round(kinds, most), PLACED))  # read three times below: written once, so that no text is counted twice
     left = placed.where("not closed").groupBy("container_kind", "capacity", "bin").agg(F.sum("n_tokens").alias("used"))
     merged = left.repartition(F.col("container_kind"), F.pmod(F.xxhash64("bin"), F.lit(4))).mapInPandas(_second_round(most), "container_kind string, bin string, merged string")
     whole = placed.where("not closed").join(merged, ["container_kind", "bin"]).withColumn("bin", F.col("merged")).drop("merged")
