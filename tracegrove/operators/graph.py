@@ -71,11 +71,13 @@ def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int = 50, direction: str = "out") -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = 50, direction: str = "out") -> DataFrame:
     """Per reached node the least hops from any source and the smallest such path (as an array from source to node)."""
     adjacency = Adjacency(edges, direction)
     seen = frontier = cut(sources.select("id").where("id is not null").distinct().select("id", F.lit(0).alias("hops"), F.array("id").alias("path")))
-    for hops in range(1, max_hops + 1):
+    hops = 0
+    while max_hops is None or hops < max_hops:
+        hops += 1
         step = adjacency.step(frontier, ["path"]).groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti")
         frontier = cut(step.select("id", F.lit(hops).alias("hops"), F.concat("path", F.array("id")).alias("path")))
         if not frontier.take(1):

@@ -113,12 +113,36 @@ def path_to_subgraph(spark, d):
 
 def entrypoint_paths_len(spark, d):
     """Hops from each function without callers to the most called function, by one search backwards."""
+    return _entrypoint_paths(spark, d, 6)
+
+
+def _entrypoint_paths(spark, d, depth):
     calls = edges(spark, d, "calls")
     target = calls.groupBy("dst").agg(F.countDistinct("src").alias("n")).orderBy(F.desc("n"), "dst").limit(1).select(F.col("dst").alias("id"))
-    back = graph.reachable(calls, target, 6, "in")
+    back = graph.reachable(calls, target, depth, "in")
     return back.join(calls.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").select("id", F.col("depth").alias("hops"))
 
 
+# The four queries above stop at the depth that their SQL fixes; the same without a bound, until the frontier is empty.
+
+
+def reachable_set_whole(spark, d):
+    return graph.reachable(edges(spark, d), roots(spark, d))
+
+
+def reachable_typed_whole(spark, d):
+    found = graph.reachable(edges(spark, d, "imports", "calls"), roots(spark, d))
+    return found.join(nodes(spark, d, "node_type"), "id").groupBy("node_type", "depth").agg(F.count("*").alias("n"))
+
+
+def shortest_path_length_whole(spark, d):
+    return graph.shortest_paths(edges(spark, d, *WALK), roots(spark, d), None).select("id", "hops", F.size("path").alias("length"))
+
+
+def entrypoint_paths_len_whole(spark, d):
+    return _entrypoint_paths(spark, d, None)
+
+
 def dependency_tree_paths(spark, d):
     tree = graph.dependency_tree(edges(spark, d, "imports"), roots(spark, d), 2)
     return tree.select("root", "id", "depth", "recursive", F.array_join("path", " > ").alias("path"))
@@ -219,7 +243,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         nodes_by_type_counts, edges_by_type_weight, upsert_latest_node, drop_dangling_edges, callers_one_hop, callees_one_hop, callers_depth_k, file_contents, khop_subgraph_nodes, khop_induced_edges, multi_root_subgraph,
-        reachable_set, reachable_typed, shortest_path_length, path_to_subgraph, entrypoint_paths_len, dependency_tree_paths, dead_code_antijoin, file_coupling_degrees, module_graph_nodes, module_graph_edges, pagerank_module,
+        reachable_set, reachable_typed, shortest_path_length, path_to_subgraph, entrypoint_paths_len, dependency_tree_paths,
+        reachable_set_whole, reachable_typed_whole, shortest_path_length_whole, entrypoint_paths_len_whole, dead_code_antijoin, file_coupling_degrees, module_graph_nodes, module_graph_edges, pagerank_module,
         pagerank_nodes, cycle_nodes_module, cycle_components_calls, degree_rank_topk, layering_violations, inherits_cross_file, table_lineage, repo_map_budget_cut, trace_flow_edges,
     )
 }
