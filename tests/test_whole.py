@@ -1,6 +1,8 @@
 """Queries over small tables that hold what the given ones do not: deep graphs, copies of vectors."""
 
-from tracegrove.plans import CORE_QUERIES
+from pyspark.sql import functions as F
+
+from tracegrove.plans import CORE_QUERIES, search_queries
 
 NODES = "node_seq long, id string, name string, node_type string, file_path string, relative_path string, line_start int, line_end int, docstring string, removed_at timestamp"
 EDGES = "edge_seq long, src string, dst string, edge_type string, weight double"
@@ -27,3 +29,21 @@ def test_walks_reach_the_end_of_a_long_chain(spark, tmp_path):
     assert sum(r.n for r in typed) == n + 2 and max(r.depth for r in typed) == n
     assert {r.id: (r.hops, r.length) for r in run("shortest_path_length_whole")}[chain[-1]] == (n, n + 1)
     assert {r.id: r.hops for r in run("entrypoint_paths_len_whole")} == {"r/g00": n, "r/h": 1}
+
+
+def test_copies_of_vectors_are_told_apart_by_id(spark, tmp_path):
+    n = 60
+    rows = [(i, 0, [0.0, 0.0] if i % 2 == 0 else [float(i), 1.0]) for i in reversed(range(n + 1))]
+    for parts in (1, 4):
+        d = f"{tmp_path}/{parts}"
+        spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).repartition(parts).sortWithinPartitions("label", -F.col("vec_id")).write.parquet(f"{d}/embeddings.parquet")
+        for name in ("knn_l2_topk", "knn_filtered_type"):
+            got = sorted((r.rank, r.vec_id) for r in CORE_QUERIES[name](spark, d).collect())
+            assert got == [(i, 2 * i) for i in range(1, 11)]
+
+
+def test_query_vectors_in_blocks(spark, data, monkeypatch):
+    order = lambda df: sorted(map(tuple, df.collect()))
+    want = order(CORE_QUERIES["knn_l2_topk"](spark, data))
+    monkeypatch.setattr(search_queries, "BLOCK", 2)
+    assert order(CORE_QUERIES["knn_l2_topk"](spark, data)) == want

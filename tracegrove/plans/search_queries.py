@@ -8,7 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.relational import first_by
+from ..operators.relational import first_by, positions
+from ..session import cut
 from ..sources.tables import table
 from .base import files, nodes, sql
 
@@ -58,14 +59,18 @@ def grep_counts(spark, d):
 def _nearest(spark, rows, queries, k, metric, but_itself=True):
     """Exact k nearest rows of each query vector, without the query itself if so wished.
 
-    Queries are broadcast in blocks of ``BLOCK`` (their size is bounded by that); each task keeps the k best of its
-    own rows per query, and one window merges the tasks' bests.
+    Queries are taken in blocks of ``BLOCK``: one block is collected and broadcast, its result is written to the
+    shared folder, and its broadcast freed before the next is collected. Each task keeps the k best of its own rows
+    per query, and one window merges the tasks' bests. Distances equal to six places are told apart by the id at
+    every cut, so rows and ranks do not depend on how the table is split.
     """
-    shape = "query_id long, vec_id long, d double"
-    wanted = queries.select("vec_id", "embedding").where("embedding is not null").orderBy("vec_id")
+    shape = "query_id long, vec_id long, d double, r double"
+    wanted = queries.select("vec_id", "embedding").where("embedding is not null").withColumn("one", F.lit(1))
+    wanted = cut(positions(wanted, "one", ["vec_id"]).select("vec_id", "embedding", F.floor((F.col("pos") - 1) / BLOCK).alias("block")))
     total, out = wanted.count(), None
-    for block in range(0, max(total, 1), BLOCK):
-        part = wanted.offset(block).limit(BLOCK).collect()
+    w = Window.partitionBy("query_id").orderBy("r", "vec_id")
+    for block in range(-(-max(total, 1) // BLOCK)):
+        part = wanted.where(F.col("block") == block).collect()
         held = spark.sparkContext.broadcast((np.array([r.vec_id for r in part], np.int64), np.array([r.embedding for r in part], np.float64)))
 
         def best(batches, held=held):
@@ -84,23 +89,36 @@ def _nearest(spark, rows, queries, k, metric, but_itself=True):
                         dist = -np.divide(q @ m.T, norm, out=np.zeros((len(q), len(m))), where=norm > 0)
                     if but_itself:
                         dist[ids[a : a + 256][:, None] == mine[None, :]] = np.inf
-                    take = np.argsort(np.round(dist, 9) + 0.0, axis=1, kind="stable")[:, : k + 4] if len(m) > k else np.tile(np.arange(len(m)), (len(q), 1))
-                    kept.append(pd.DataFrame({"query_id": np.repeat(ids[a : a + 256], take.shape[1]), "vec_id": mine[take].ravel(), "d": np.take_along_axis(dist, take, 1).ravel()}))
+                    kept.append(_nearest_of(ids[a : a + 256], mine, dist, k))
                 if len(kept) > 50:
                     kept = [_best(pd.concat(kept), k)]
             if kept:
                 yield _best(pd.concat(kept), k)
 
         found = rows.where("embedding is not null").select("vec_id", "embedding").mapInPandas(best, shape)
+        found = cut(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+        held.destroy()
         out = found if out is None else out.unionByName(found)
-    w = Window.partitionBy("query_id").orderBy(F.round("d", 6), "vec_id")
-    return out.where("d < double('inf')").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out
+
+
+def _nearest_of(ids, mine, dist, k: int) -> pd.DataFrame:
+    """Per row of ``dist`` (queries by vectors) the k least by distance to six places, halves away from zero, then id."""
+    r = np.trunc(dist * 1e6 + np.copysign(0.5, dist)) / 1e6 + 0.0
+    near = np.isfinite(r)
+    if len(mine) > k:
+        near &= r <= np.partition(r, k - 1, axis=1)[:, k - 1 : k]
+    q, at = np.nonzero(near)
+    order = np.lexsort((mine[at], r[q, at], q))
+    q, at = q[order], at[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    q, at = q[keep], at[keep]
+    return pd.DataFrame({"query_id": ids[q], "vec_id": mine[at], "d": dist[q, at], "r": r[q, at]})
 
 
 def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best of each query, distances equal to six places told apart by the id."""
-    rows = rows.assign(r=rows["d"].round(6)).sort_values(["query_id", "r", "vec_id"], kind="stable")
-    return rows.groupby("query_id").head(k + 4)[["query_id", "vec_id", "d"]]
+    return rows.sort_values(["query_id", "r", "vec_id"], kind="stable").groupby("query_id").head(k)
 
 
 def knn_l2_topk(spark, d):
