@@ -40,3 +40,16 @@ def test_copies(spark, limit):
 def test_shingles_do_not_see_spacing_or_comments():
     assert (L.shingles("c", "int a = 1; /* x */ f(a);") == L.shingles("c", "int  a=1;\nf(a); // y")).all()
     assert len(L.shingles("c", "")) == 0 and len(L.shingles("c", "a")) == 1
+
+
+def test_whole_layout():
+    def word(i, n):
+        return "".join(chr(97 + (i * 7 + j * j * 3 + i * j) % 26) for j in range(n))
+
+    urls = "URLS = [\n" + "".join(f'    "https://{word(i, 20)}.example/{word(i + 1, 30)}/{word(i + 2, 28)}",\n' + ("" if i % 9 else f"    g{word(i, 3)}(\n") for i in range(400)) + "]\n"
+    assert L.reason("r/a.py", urls) == "data"
+    for path in ("r/a.py", "r/a.java", "r/a.go", "r/a.rs", "r/a.c", "r/a.cs", "r/a.rb", "r/a.sql"):
+        assert L.reason(path, "".join(f"{word(i, 5)}=f({word(i, 4)},x);" for i in range(200))) == "minified"
+    assert L.reason("r/a.c", "+-<>[]{}().,;:!?&|^~\n" * 60 + "int x;\n") == "data"
+    assert L.reason("r/a.py", "T = {\n" + "".join(f"    k{i}: t('\u8bf7\u8f93\u5165\u59d3\u540d') + f(x),\n    g(y, z + {i}) or h,\n" for i in range(30)) + "}\n") is None
+    assert L.reason("r/a.py", "Representational uncertainty circumscribes normalization transformations\n" + "notwithstanding parameterized hierarchies " * 40) is None

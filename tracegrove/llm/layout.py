@@ -34,8 +34,9 @@ LIMITS = {
     "javascript": (500, 150, 0.30), "typescript": (500, 150, 0.30), "python": (1000, 200, 0.30), "java": (1000, 200, 0.30),
     "go": (1000, 200, 0.30), "rust": (1000, 200, 0.30), "c": (1000, 200, 0.30), "csharp": (1000, 200, 0.30), "ruby": (1000, 200, 0.30), "sql": (1000, 250, 0.45),
 }
+ALNUM_LEAST, ALNUM_MOST = 0.25, 0.9  # fixed values: share of letters and digits in what is not white; tables of symbols have less, prose has more
 _WHITE, _DIGITS = b" \t\r\n\f\v", b"0123456789"
-_ALNUM = bytes(c for c in range(256) if chr(c).isalnum() and c < 128)
+_ALNUM = bytes(c for c in range(256) if chr(c).isalnum() or c >= 128)  # letters beyond ASCII are no symbols
 _ENCODED = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{120,}+|(?:\\x[0-9a-fA-F]{2}){40,}+|(?<![\w.,-])(?:0x[0-9a-fA-F]{1,8},\s*+){40,}+|(?<![\w.,-])(?:-?\d[\d.]*+,\s*+){60,}+")
 _LITERAL = re.compile(r"(?<![\w.])(?:0[xX][0-9a-fA-F]+|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w.])|\"[^\"\n]*\"|'[^'\n]*'")
 _WORDISH = re.compile(r"[A-Za-z_]\w*")
@@ -90,15 +91,18 @@ def reason(path: str, text: str | None) -> str | None:
     head = _LEADING[language].match(text.removeprefix("\ufeff")).group()
     if language in ("javascript", "typescript") and (mean > mean_allowed and white < 0.1 and longest > longest_allowed or _BUNDLE_NAME.search(name) and white < 0.15):
         return "minified"
-    literals = words = 0
-    if digits > 0.08 or body.count('"') + body.count("'") > len(body) / 40:  # else most of it cannot be literals
-        literals = sum(m.end() - m.start() for m in _LITERAL.finditer(body) if m.group().count(" ") < 8)  # a sentence is no datum
-        words = sum(m.end() - m.start() for m in _WORDISH.finditer(_LITERAL.sub("", body)))
-        if literals > 0.12 * len(body) and _one_shape(body):
-            return "data"
+    literals = sum(m.end() - m.start() for m in _LITERAL.finditer(body) if m.group().count(" ") < 8)  # a sentence is no datum
+    if literals > 0.12 * len(body) and _one_shape(body):
+        return "data"
     solid = max(1, len(body) * (1 - white))
-    if digits > digits_allowed and len(body) > 500 or encoded > 400 and encoded > 0.5 * len(body) or len(body) > 800 and literals > 0.6 * solid and words < 0.12 * solid:
+    if digits > digits_allowed and len(body) > 500 or encoded > 400 and encoded > 0.5 * len(body):
+        return "data"
+    if len(body) > 800 and literals > 0.6 * solid and sum(m.end() - m.start() for m in _WORDISH.finditer(_LITERAL.sub("", body))) < 0.12 * solid:
         return "data"
+    if len(body) > 500 and alnum < ALNUM_LEAST * (1 - white):
+        return "data"
+    if mean > mean_allowed and white < 0.1 and longest > longest_allowed and alnum < ALNUM_MOST * (1 - white):
+        return "minified"
     if not _BY_HAND.search(head) and _GENERATED.search(head):
         return "generated"
     if VENDOR_DIRS & set(folders):
