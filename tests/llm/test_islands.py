@@ -18,6 +18,21 @@ def test_said(doc, want):
     assert I.said("merge_open_queue", "def merge_open_queue(size: int)", doc) is want
 
 
+@pytest.mark.parametrize(
+    ("doc", "want"),
+    [
+        ("idempotent", True), ("memoized", True), ("идемпотентна", True), ("合并所有未结队列", True), ("待ち行列を結合する", True), ("costs about 3 ms", True), ("logged under `queue`", True), ("introduced together with the audit trail", True),
+        ("queue", False), ("queues", False), ("batch batch batch", False), ("~~~~~~\ntariff\n~~~~~~", False), ("int", False), ("undocumented", False), ("tbd", False), ("description", False),
+    ],
+)
+def test_short_documentation_in_any_language(doc, want):
+    assert I.said("merge_open_queue", "def merge_open_queue(size: int)", doc) is want
+
+
+def test_scripts_without_spaces_are_compared_by_character():
+    assert not I.said("合并队列", None, "队列合并") and I.said("合并队列", None, "合并空队列")
+
+
 def test_docs_by_line():
     java = "class A {\n    /** Tells. */\n    // more\n    int f() { String s = \"// no\"; }\n\n    // far\n\n    int g() { }\n    int h() { } // behind\n    int i() { }\n}\n"
     docs = I.docs_by_line("java", java)

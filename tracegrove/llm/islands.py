@@ -133,8 +133,9 @@ def docs_by_line(language: str, text: str) -> dict[int, str]:
 
 
 _MARK = re.compile(r"^\s*(?:/\*+!?|\*/|\*(?!/)|//+!?|#+!?|--+|\"\"\"|'''|<!--|=begin|=end)?\s?|\s*(?:\*+/|\"\"\"|''')\s*$")
-_REGION = re.compile(r"^\s*(?:/\*+|//+|\*+)?\s*#\s?(?:end)?(?:region|pragma|if|endif)\b[\s\w]*(?:\*/)?$")  # folding marks
-_BARE = re.compile(r"^([^\W\dA-Z]\w*)(?:\s+\1)*$")  # one word, perhaps repeated, that is no sentence
+_REGION = re.compile(r"^\s*(?:/\*+|//+|\*+|#+)?\s*#\s?(?:end)?(?:region|pragma|if|endif)\b[\s\w]*(?:\*/)?$")  # folding marks
+_REPEATED = re.compile(r"^(\w+)(?:\s+\1)+$")  # a word and nothing but itself again
+_RULER = re.compile(r"^[-=~*_#/+]{3,}$")
 _TAG = re.compile(r"^[@\\:](?:param|arg|argument|type|tparam|return|returns|throws|raises|exception|rtype)\b:?\s*(.*)$", re.I)
 _TYPE = r"(?:int|integer|i64|i32|u32|u64|usize|str|string|bool|boolean|float|double|number|void|none|null|any|object|long|self|list|dict|map|array|optional)"
 _NOTHING = re.compile(
@@ -152,12 +153,12 @@ _NOTHING = re.compile(
     r"|\(?see \S+ #?\d+\)?|#\d+|[A-Z]+-\d+"
     r"|(?:args|arguments|parameters|params|returns?|raises|throws|yields|examples?|notes?|attributes|see also)\s*:?"
     rf"|:?(?:r?type|returns?)\b[^\w]*{_TYPE}?|{_TYPE}|\(?(?:{_TYPE}[, ]*)*\)?\s*->\s*{_TYPE}"
-    r"|see the \w+ notes for the background|logged under \W?\w+\W?|introduced together with the .*|costs about \d+ \w+"
     r")[.:!;,\s]*$",
     re.I,
 )
 _CODE = re.compile(r"^[\w.\[\]]+\s*[-+*/|&]?:?=\s*\S.*$|^(?:return|if|for|while|else|elif|end|break|continue|throw|raise|import|let|var|const|def|fn|func)\b[^.]*[\w)\]>;:{}=+\-*/%<]$|^[\w.]+\([^)]*\);?$|^[{}();]+$")
-_PIECES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zß-öø-ÿ]+|[^\W\d_A-Za-zÀ-ÿ]+|\d+")
+_UNSPACED = r"฀-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"  # scripts without spaces: each character is a piece
+_PIECES = re.compile(rf"[A-Z]+(?![a-z])|[A-Z]?[a-zß-öø-ÿ]+|(?=\w)[{_UNSPACED}]|[^\W\d_A-Za-zÀ-ÿ{_UNSPACED}]+|\d+")
 # Words that tell nothing about what a function does.
 EMPTY = frozenset("a an the this that these those it its is are be of for to in on with by and or from as at into function method functions methods procedure routine helper class module returns return given which will does do just simply used uses".split())
 
@@ -174,11 +175,14 @@ def _stem(word: str) -> str:
 
 
 def clean_lines(doc: str) -> list[str]:
-    """The lines of a documentation without comment marks."""
+    """The lines of a documentation without comment marks; a word between two rulers is a heading and left out."""
+    lines = _lines(doc).split("\n")
+    texts = [_MARK.sub("", _MARK.sub("", line)).strip() for line in lines]
+    ruled = [bool(_RULER.match(text) or _RULER.match(line.strip())) for text, line in zip(texts, lines)]
     out = []
-    for line in _lines(doc).split("\n"):
-        text = _MARK.sub("", _MARK.sub("", line)).strip()
-        if text and not _REGION.match(line) and not _BARE.match(text):
+    for i, text in enumerate(texts):
+        heading = 0 < i < len(lines) - 1 and ruled[i - 1] and ruled[i + 1] and " " not in text
+        if text and not heading and not _REGION.match(lines[i]) and not _REPEATED.match(text):
             out.append(text)
     return out
 
