@@ -2,15 +2,16 @@
 
 from pyspark.sql import functions as F
 
+from tracegrove import api
 from tracegrove.plans import CORE_QUERIES, search_queries
 
-NODES = "node_seq long, id string, name string, node_type string, file_path string, relative_path string, line_start int, line_end int, docstring string, removed_at timestamp"
+NODES = "node_seq long, id string, name string, node_type string, file_path string, relative_path string, line_start int, line_end int, docstring string, removed_at timestamp, decorators array<string>, meta map<string,string>"
 EDGES = "edge_seq long, src string, dst string, edge_type string, weight double"
 
 
 def write_graph(spark, folder, nodes, pairs):
     """nodes: id and type; pairs: src, dst, type."""
-    rows = [(i, k, k, kind, "r/a.py", None, 1, 1, None, None) for i, (k, kind) in enumerate(nodes)]
+    rows = [(i, k, k, kind, "r/a.py", None, 1, 1, None, None, None, None) for i, (k, kind) in enumerate(nodes)]
     spark.createDataFrame(rows, NODES).write.parquet(f"{folder}/nodes.parquet")
     spark.createDataFrame([(i, *p, None) for i, p in enumerate(pairs)], EDGES).write.parquet(f"{folder}/edges.parquet")
 
@@ -47,3 +48,19 @@ def test_query_vectors_in_blocks(spark, data, monkeypatch):
     want = order(CORE_QUERIES["knn_l2_topk"](spark, data))
     monkeypatch.setattr(search_queries, "BLOCK", 2)
     assert order(CORE_QUERIES["knn_l2_topk"](spark, data)) == want
+
+
+def test_every_entrypoint_is_scored_with_its_base(spark, tmp_path):
+    d = str(tmp_path)
+    nodes = [("main", "function"), *[(f"g{i}", "function") for i in range(60)], ("x", "function")]
+    write_graph(spark, d, nodes, [("main", "x", "calls"), ("x", "main", "calls"), *[(f"g{i}", t, "calls") for i in range(60) for t in ("x", "main")]])
+    base = {r.id: r.base for r in CORE_QUERIES["entrypoint_candidates"](spark, d).collect()}
+    got = {r.id: (r.reach, r.score, r.place) for r in CORE_QUERIES["entrypoint_scores_whole"](spark, d).collect()}
+    assert got == {"main": (2, round(0.7 * base["main"] + 0.006, 6), 1)} and len(base) == 1
+
+
+def test_every_intent_is_routed_to(spark, tmp_path):
+    known = search_queries.INTENTS | search_queries.MORE_INTENTS
+    assert set(known) == set(api.INTENTS)
+    spark.createDataFrame([(k, v, None, 1, 1, None, None, None) for k, v in known.items()], "id string, title string, project_path string, created_at long, updated_at long, pinned_context string, summary string, deleted_at long").write.parquet(f"{tmp_path}/chat_threads.parquet")
+    assert {r.id: r.intent for r in CORE_QUERIES["token_overlap_router_whole"](spark, str(tmp_path)).collect()} == {k: k for k in known}

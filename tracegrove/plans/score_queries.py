@@ -225,22 +225,37 @@ def entrypoint_scores(spark, d):
     calls = graph.cut(edges(spark, d, "calls").select("src", "dst").distinct())
     uncalled = calls.select(F.col("src").alias("id")).distinct().join(calls.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
     best = calls.join(uncalled.withColumnRenamed("id", "src"), "src", "left_semi").groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(50)
+    reach = _reach(calls, best.select(F.col("src").alias("id")))
+    return reach.select("id", "reach", F.round(0.7 * 0.5 + 0.3 * F.least(F.lit(1.0), F.col("reach") / 100), 6).alias("score"))
+
+
+def _reach(calls, starts):
+    """Per id of ``starts`` the nodes within five calls, itself included."""
     adjacency = graph.Adjacency(calls)
-    seen = frontier = graph.cut(best.select(F.col("src").alias("root"), F.col("src").alias("id")))
+    seen = frontier = graph.cut(starts.select(F.col("id").alias("root"), "id"))
     for _ in range(5):
         frontier = graph.cut(adjacency.step(frontier, ["root"]).select("root", "id").distinct().join(seen, ["root", "id"], "left_anti"))
         if not frontier.take(1):
             break
         seen = seen.unionByName(frontier)
-    reach = seen.groupBy(F.col("root").alias("id")).agg(F.count("*").alias("reach"))
-    return reach.select("id", "reach", F.round(0.7 * 0.5 + 0.3 * F.least(F.lit(1.0), F.col("reach") / 100), 6).alias("score"))
+    adjacency.close()
+    return seen.groupBy(F.col("root").alias("id")).agg(F.count("*").alias("reach"))
+
+
+def entrypoint_scores_whole(spark, d):
+    """The score of every candidate of ``entrypoint_candidates`` with its own base, and its place."""
+    found = graph.cut(_entrypoints(spark, d).select("id", "base"))
+    reach = _reach(edges(spark, d, "calls").select("src", "dst").distinct(), found)
+    score = F.round(0.7 * F.col("base") + 0.3 * F.least(F.lit(1.0), F.col("reach") / 100), 6)
+    scored = found.join(reach, "id").select("id", "reach", score.alias("score")).withColumn("one", F.lit(1)).withColumn("down", -F.col("score"))
+    return positions(scored, "one", ["down", "id"], "place").select("id", "reach", "score", "place")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         indent_depth, keyword_density, regex_marker_hits, todo_comment_scan, lint_structural_score, churn_window_count, events_churn, pagerank_files, hotspot_total_report, hotspot_high, hotspot_in_scope_semijoin,
-        hotspot_left_join_rank, function_issue_rangejoin, axis_percentiles, calibration_threshold, stable_hash_sample, entrypoint_candidates, entrypoint_scores,
+        hotspot_left_join_rank, function_issue_rangejoin, axis_percentiles, calibration_threshold, stable_hash_sample, entrypoint_candidates, entrypoint_scores, entrypoint_scores_whole,
     )
 }
 

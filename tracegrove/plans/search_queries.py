@@ -145,10 +145,19 @@ def cosine_router(spark, d):
 
 def token_overlap_router(spark, d):
     """Threads routed to the best intent by shared words: shared / greatest(6, words of the intent)."""
+    return _route_threads(spark, d, INTENTS)
+
+
+def token_overlap_router_whole(spark, d):
+    """The same over all intents of the project."""
+    return _route_threads(spark, d, INTENTS | MORE_INTENTS)
+
+
+def _route_threads(spark, d, intents):
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""))
     threads = _threads(spark, d).select("id", words.alias("words"))
     options = []
-    for i, (intent, text) in enumerate(INTENTS.items()):
+    for i, (intent, text) in enumerate(intents.items()):
         own = F.array(*[F.lit(w) for w in sorted(set(text.split()))])
         options.append(F.struct((F.size(F.array_intersect("words", own)) / F.lit(float(max(6, len(set(text.split())))))).alias("score"), F.lit(-i).alias("order"), F.lit(intent).alias("intent")))
     best = F.greatest(*options)
@@ -170,6 +179,19 @@ INTENTS = {
     "graph_path": "path between from to how reach",
     "debug_troubleshoot": "why does fail error debug",
 }
+MORE_INTENTS = {  # the other intents of api.INTENTS; the SQL of token_overlap_router has the six above
+    "architecture_consistency": "architecture consistency layering cycles boundary violations",
+    "change_plan": "plan roadmap next phase priorities technical",
+    "codebase_overview": "codebase overview repository structure summary",
+    "entrypoints_callgraph": "entrypoints call graph callgraph starting project",
+    "execution_graph_dynamic": "runtime traces dynamic execution scenario trace",
+    "execution_graph_static": "static execution graph calls happens run feature",
+    "feature_slice": "feature slice related functions code handles",
+    "graph_dependency_tree": "dependency tree dependencies inbound outbound depends",
+    "mcp_capabilities": "capabilities tools intents available list mcp",
+    "refactor_guidance": "refactor guidance refactoring clean split",
+    "security_review": "security review authentication authorization secrets exposure",
+}
 
 
 def seed_fusion_full_outer(spark, d):
@@ -210,7 +232,7 @@ def dedupe_first_strategy(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (name_search, name_search_functions, resolve_symbol_scores, search_path_prefix, grep_documents, grep_counts, knn_l2_topk, knn_filtered_type, cosine_router, token_overlap_router, seed_fusion_full_outer, snippet_normalise, mermaid_safe_ids, context_for_query, dedupe_first_strategy)
+    for f in (name_search, name_search_functions, resolve_symbol_scores, search_path_prefix, grep_documents, grep_counts, knn_l2_topk, knn_filtered_type, cosine_router, token_overlap_router, token_overlap_router_whole, seed_fusion_full_outer, snippet_normalise, mermaid_safe_ids, context_for_query, dedupe_first_strategy)
 }
 
 _RANK = f", nm as (select *, min(node_seq) over (partition by lower(name)) first_seq, case when lower(name) = '{NAME}' then 1 else 0 end as exact from cn where contains(lower(name), '{NAME}'))"
