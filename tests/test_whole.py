@@ -1,8 +1,10 @@
 """Queries over small tables that hold what the given ones do not: deep graphs, copies of vectors."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracegrove import api
+from tracegrove.operators import orphans
 from tracegrove.plans import CORE_QUERIES, search_queries
 
 NODES = "node_seq long, id string, name string, node_type string, file_path string, relative_path string, line_start int, line_end int, docstring string, removed_at timestamp, decorators array<string>, meta map<string,string>"
@@ -64,3 +66,11 @@ def test_every_intent_is_routed_to(spark, tmp_path):
     assert set(known) == set(api.INTENTS)
     spark.createDataFrame([(k, v, None, 1, 1, None, None, None) for k, v in known.items()], "id string, title string, project_path string, created_at long, updated_at long, pinned_context string, summary string, deleted_at long").write.parquet(f"{tmp_path}/chat_threads.parquet")
     assert {r.id: r.intent for r in CORE_QUERIES["token_overlap_router_whole"](spark, str(tmp_path)).collect()} == {k: k for k in known}
+
+
+def test_cascade_does_not_end_early_in_silence(spark):
+    nodes = spark.createDataFrame([(i, k, "class", None, None) for i, k in enumerate("abc")], "node_seq long, id string, node_type string, file_path string, removed_at timestamp")
+    edges = spark.createDataFrame([(a, b, "contains") for a, b in ("?a", "ab", "bc")], "src string, dst string, edge_type string")
+    assert {r.key: r.round for r in orphans.fallen_nodes(nodes, edges).collect()} == {"a": 1, "b": 2, "c": 3}
+    with pytest.raises(RuntimeError):
+        orphans.fallen_nodes(nodes, edges, 2)

@@ -14,14 +14,14 @@ Each join is a key against one row per key; hot keys on the referring side are s
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .skew import skew_join
 
-MAX_ROUNDS = 100
-
 
 def moment(ts: Column) -> Column:
     """Epoch seconds, milliseconds, microseconds or nanoseconds, told by their size, as microseconds."""
@@ -72,7 +72,7 @@ def direct_orphans(edges: DataFrame, nodes: DataFrame, messages: DataFrame, thre
     return ends.unionByName(orphans_of(message_references(messages), thread_keys(threads)))
 
 
-def fallen_nodes(nodes: DataFrame, edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
+def fallen_nodes(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Living nodes that inherit orphanhood: key and round. Semi-joins down the parents until nothing falls.
 
     A node's parent is the node of its file (``file::`` + file_path, for nodes that are no file), and each
@@ -89,7 +89,7 @@ def fallen_nodes(nodes: DataFrame, edges: DataFrame, rounds: int = MAX_ROUNDS) -
     holders = links.where("kind = 'holder'").groupBy("key").agg(F.count("*").alias("holders"))
     down = fell.join(holders, "key", "left").where("by_file = 1 or n >= coalesce(holders, 0)").select("key", F.lit(1).alias("round"))
     down = fresh = cut(down)
-    for number in range(2, rounds + 1):
+    for number in count(2) if rounds is None else range(2, rounds + 1):
         lost = down.select(F.col("key").alias("parent"))
         touched = links.join(fresh.select(F.col("key").alias("parent")), "parent", "left_semi").select("key").distinct().join(down.select("key"), "key", "left_anti")
         state = links.join(touched, "key", "left_semi").join(lost.unionByName(dead).distinct(), "parent", "left_semi").groupBy("key").agg(F.max((F.col("kind") == "file").cast("int")).alias("by_file"), F.sum((F.col("kind") == "holder").cast("int")).alias("n"))
@@ -97,10 +97,13 @@ def fallen_nodes(nodes: DataFrame, edges: DataFrame, rounds: int = MAX_ROUNDS) -
         if not fresh.take(1):
             break
         down = cut(down.unionByName(fresh))
+    else:
+        if fresh.take(1):
+            raise RuntimeError(f"nodes still fell in the last of {rounds} rounds")
     return down
 
 
-def cascade(edges: DataFrame, nodes: DataFrame, messages: DataFrame, threads: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
+def cascade(edges: DataFrame, nodes: DataFrame, messages: DataFrame, threads: DataFrame, rounds: int | None = None) -> DataFrame:
     """Direct and inherited orphans: ref_table, ref_key, ref_field, at, kind, cause."""
     direct = direct_orphans(edges, nodes, messages, threads)
     fell = fallen_nodes(nodes, edges, rounds)
