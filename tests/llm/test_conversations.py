@@ -90,3 +90,40 @@ def test_given_parents_and_cycles(spark, hot):
 def test_kahn_breaks_ties_by_time():
     assert C.kahn(["a", "b", "c"], [3, 1, 2], [1, 1, 1], [None, "a", "a"]) == [0, 1, 2]
     assert C.kahn(["a", "b"], [1, 2], [1, 2], ["b", "a"]) is None
+
+
+def test_replies_are_linked_to_the_other_side():
+    order = [0, 1, 2, 3, 4]
+    assert C.answered([1, 2, 0, 1, 2], order) == [-1, 0, -1, 1, 3]
+    assert C.answered([1, 1, 2, 2, 1], order) == [-1, -1, 1, 1, 3]
+
+
+def forest(seed, threads=60):
+    """Random reply forests: several roots, late parents, equal moments, parents elsewhere or missing, null ids, cycles."""
+    rd, out = random.Random(seed), []
+    for t in range(threads):
+        n = rd.randint(1, 9)
+        for k in range(n):
+            parent = None if k == 0 or rd.random() < 0.15 else f"{t}.{rd.randrange(k)}" if rd.random() < 0.93 else f"{t}.{rd.randrange(n)}" if rd.random() < 0.6 else f"{rd.randrange(threads)}.0"
+            role = ["user", "agent"][k % 2] if rd.random() < 0.9 else rd.choice(["system", "user", "agent"])
+            out.append((None if rd.random() < 0.04 else f"{t}.{k}", f"t{t}", role, "hi", T0 + rd.choice([k, k, rd.randint(0, 9)]) * 1000, parent, None))
+    rd.shuffle(out)
+    return out
+
+
+PARENTS = "id string, thread_id string, role string, content string, ts long, parent string, deleted_at long"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_both_ways_of_ordering_agree_on_forests(spark, seed):
+    df = spark.createDataFrame(forest(seed), PARENTS)
+    whole = lambda hot: sorted(map(str, C.conversations(df, "parent", hot).collect()))
+    want = whole(C.HOT)
+    assert want and whole(0) == want
+
+
+def test_trees_side_by_side_keep_the_order_of_time(spark):
+    rows = [("1", "t", "user", "q", T0, None, None), ("2", "t", "agent", "r", T0 + 1, "1", None), ("3", "t", "user", "q", T0 + 2, None, None), ("4", "t", "agent", "r", T0 + 3, "3", None)]
+    df = spark.createDataFrame(rows, PARENTS)
+    for hot in (C.HOT, 1):
+        assert found(C.conversations(df, "parent", hot)) == [("t", 1, "1"), ("t", 2, "2"), ("t", 3, "3"), ("t", 4, "4")]
