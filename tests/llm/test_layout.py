@@ -53,3 +53,20 @@ def test_whole_layout():
     assert L.reason("r/a.c", "+-<>[]{}().,;:!?&|^~\n" * 60 + "int x;\n") == "data"
     assert L.reason("r/a.py", "T = {\n" + "".join(f"    k{i}: t('\u8bf7\u8f93\u5165\u59d3\u540d') + f(x),\n    g(y, z + {i}) or h,\n" for i in range(30)) + "}\n") is None
     assert L.reason("r/a.py", "Representational uncertainty circumscribes normalization transformations\n" + "notwithstanding parameterized hierarchies " * 40) is None
+
+
+def test_copies_are_the_same_on_both_sides_of_the_limit(spark):
+    """Random copies under known and unknown extensions, whole, altered and in part."""
+    rd = random.Random(5)
+    text = lambda k: "\n".join(f"call_{k}_{i}(a{i}, b) + {rd.randint(1, 999)}; // note {i}" for i in range(30))
+    names = ["x.py", "y.jsx", "z", "w.JS", "v.c", "u.unknown", "py"]
+    upstream = [(i, rd.choice(names), text(i)) for i in range(12)] + [(98, "n.py", None), (99, "e.py", "")]
+    files = [("r/none.py", 1.0, None), ("r/empty.py", 1.0, "")]
+    for i in range(60):
+        theirs = rd.choice(upstream[:12])[2].split("\n")
+        body = theirs[: rd.choice([30, 30, 27, 20, 8])] + (text(100 + i).split("\n")[: rd.choice([0, 2, 40])])
+        files.append((f"r/f{i}{rd.choice(['.py', '.jsx', '.js', '.TS', '.md', '', '.c'])}", 1.0, "\n".join(body)))
+    files, upstream = spark.createDataFrame(files, FILE_SCHEMA), spark.createDataFrame(upstream, "upstream_id int, file_name string, content string")
+    order = lambda limit: sorted(map(str, L.classify_files(files, upstream, limit).collect()))
+    want = order(L.UPSTREAM_BYTES)
+    assert sum("vendored" in r for r in want) > 10 and order(1) == want

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relational import current_rows
-from .invalid_sources import language_of
+from ..operators.skew import skew_join
+from .invalid_sources import LANGUAGES, language_of
 
 UPSTREAM_BYTES = 32_000_000  # upstream content up to which its shingles are broadcast
 SHINGLE, SIMILAR, LEAST = 5, 0.8, 20  # words, containment, shared shingles at least
@@ -174,16 +175,16 @@ def _copies_by_join(files: DataFrame, upstream: DataFrame) -> DataFrame:
     def explode(batches):
         for batch in batches:
             for row in batch.itertuples(index=False):
-                language = language_of(row.name)
-                s = shingles(language, row.content or "").view(np.int64) if language else []
+                s = shingles(language_of(row.name), row.content or "").view(np.int64)
                 if len(s):
                     yield pd.DataFrame({"name": row.name, "hash": row.hash, "shingle": s, "of": len(s)})
 
     shape = "name string, hash long, shingle long, of long"
-    ours = files.select(F.col("relative_path").alias("name"), F.col("order_hash").alias("hash"), "content").mapInPandas(explode, shape)
+    known = F.lower(F.regexp_extract("relative_path", r"([^.]*)\z", 1)).isin(*LANGUAGES)  # of ours only sources count; upstream files count whatever they are called
+    ours = files.where(known).select(F.col("relative_path").alias("name"), F.col("order_hash").alias("hash"), "content").mapInPandas(explode, shape)
     theirs = upstream.select(F.col("file_name").alias("name"), F.col("upstream_id").cast("long").alias("hash"), "content").mapInPandas(explode, shape)
     theirs = theirs.select(F.col("hash").alias("upstream"), "shingle", F.col("of").alias("their_of"))
-    shared = ours.join(theirs, "shingle").groupBy("name", "hash", "upstream").agg(F.count("*").alias("n"), F.max(F.least("of", "their_of")).alias("least"))
+    shared = skew_join(ours, theirs, "shingle").groupBy("name", "hash", "upstream").agg(F.count("*").alias("n"), F.max(F.least("of", "their_of")).alias("least"))
     return shared.where((F.col("n") >= SIMILAR * F.col("least")) & (F.col("n") >= LEAST)).select(F.col("name").alias("relative_path"), F.col("hash").alias("order_hash")).distinct()
 
 
