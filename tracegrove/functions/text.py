@@ -11,6 +11,36 @@ def lines(text: Column) -> Column:
     return F.split(F.regexp_replace(F.regexp_replace(text, r"\r\n|\r", "\n"), r"\n$", ""), "\n")
 
 
+def numbered(items: Column) -> Column:
+    """Array of (n, text), n from 1."""
+    return F.transform(items, lambda x, i: F.struct((i + 1).alias("n"), x.alias("text")))
+
+
+def sections(text: Column, most: int) -> Column:
+    """Markdown sections in order: section, title, level, line_start and content, cut at ``most`` characters with a mark.
+
+    Text before the first heading is lost; a text without heading is one section ``Document`` of level 1 with
+    number 0; headings inside fenced code count.
+    """
+    every = lines(F.regexp_replace(text, "^\ufeff", ""))
+    heads = F.filter(F.transform(every, lambda x, i: F.when(x.rlike(r"^#{1,6}[ \t]+[^ \t]"), i)), lambda i: i.isNotNull())
+    starts = F.when(F.size(heads) == 0, F.array(F.lit(0))).otherwise(heads)
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(every)))
+    bare = F.size(heads) == 0
+
+    def section(span: Column, i: Column) -> Column:
+        own = F.slice(every, span["a"] + 1, span["b"] - span["a"])
+        whole = F.array_join(own, "\n")
+        title = F.regexp_replace(F.regexp_replace(own[0], r"^#+[ \t]+", ""), r"[ \t]+$", "")
+        return F.struct(
+            F.when(bare, F.lit(0)).otherwise(i + 1).cast("long").alias("section"), F.when(bare, F.lit("Document")).otherwise(title).alias("title"),
+            F.when(bare, F.lit(1)).otherwise(F.length(F.regexp_extract(own[0], r"^(#+)", 1))).alias("level"), (span["a"] + 1).alias("line_start"),
+            F.when(F.length(whole) > most, F.concat(F.substring(whole, 1, most), F.lit("\n[cut]"))).otherwise(whole).alias("content"),
+        )
+
+    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), section)
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 

@@ -7,49 +7,52 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.relational import first_by
-from .base import edges, files, functions, nodes, sql
+from .base import edges, file_facts, files, functions, nodes, sql
 from .graph_queries import path_of
 
 STALE_SECONDS = 14 * 86400
 SECTION_CHARS = 8000
+# What names a symbol in text.
+EXPLICIT = r"\b(?:function|class|method)::[^\s`]+"
+DOTTED = r"\b[A-Z][A-Za-z0-9_]+\.[a-zA-Z_][a-zA-Z0-9_]*\b"
+TICKED = r"`([A-Za-z_][A-Za-z0-9_]*)`"
 
 
-def sections(spark, d):
-    """path, section, title, level, anchor, line_start and content of every Markdown section.
-
-    Text before the first heading is lost; a file without heading is one section ``Document`` of level 1;
-    headings inside fenced code count; content is cut at SECTION_CHARS with a mark.
-    """
-    source = files(spark, d, "content").where((T.extension(F.col("relative_path")) == "md") & F.col("content").isNotNull())
-    lines = source.select(F.col("relative_path").alias("path"), F.posexplode(T.lines(F.regexp_replace("content", "^\ufeff", ""))).alias("pos", "line"))
-    heading = F.col("line").rlike(r"^#{1,6}[ \t]+[^ \t]")
-    w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    placed = lines.withColumn("section", F.sum(heading.cast("int")).over(w)).withColumn("any", F.max(heading.cast("int")).over(Window.partitionBy("path")))
-    kept = placed.where("section > 0 or any = 0")
-    rows = kept.groupBy("path", "section").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"), F.min("pos").alias("first"))
-    top = F.col("rows")[0]["line"]
-    whole = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
-    title = F.when(F.col("section") == 0, "Document").otherwise(F.regexp_replace(F.regexp_replace(top, r"^#+[ \t]+", ""), r"[ \t]+$", ""))
-    level = F.when(F.col("section") == 0, 1).otherwise(F.length(F.regexp_extract(top, r"^(#+)", 1)))
-    content = F.when(F.length(whole) > SECTION_CHARS, F.concat(F.substring(whole, 1, SECTION_CHARS), F.lit("\n[cut]"))).otherwise(whole)
-    return rows.select("path", F.col("section").cast("long").alias("section"), title.alias("title"), level.alias("level"), T.anchor(title).alias("anchor"), (F.col("first") + 1).alias("line_start"), content.alias("content"))
+def _sections(spark, d, fact):
+    """path and, of each Markdown section, what ``fact`` makes of it; read where the file is."""
+    is_md = (T.extension(F.col("relative_path")) == "md") & F.col("content").isNotNull()
+    rows = file_facts(spark, d, found=F.when(is_md, F.transform(T.sections(F.col("content"), SECTION_CHARS), fact)))
+    return rows.select(F.col("relative_path").alias("path"), F.explode("found").alias("s")).select("path", "s.*")
 
 
 def doc_sections(spark, d):
-    return sections(spark, d).select("path", "section", "title", "level", "anchor", "line_start", F.length("content").alias("n_chars"), F.substring(F.md5("content"), 1, 12).alias("content_hash"))
+    def fact(s):
+        return F.struct(s["section"].alias("section"), s["title"].alias("title"), s["level"].alias("level"), T.anchor(s["title"]).alias("anchor"), s["line_start"].alias("line_start"), F.length(s["content"]).alias("n_chars"), F.substring(F.md5(s["content"]), 1, 12).alias("content_hash"))
+
+    return _sections(spark, d, fact)
 
 
 def doc_links_tiered(spark, d):
-    """Symbols that documentation names: ``[[id]]`` 1.0, ``Class.method`` 0.9, a unique name in back ticks 0.7; several meanings are dropped."""
-    ticks = sections(spark, d).select("path", "section", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"`([A-Za-z_]\w*(?:\.\w+)?)(?:\(\))?`"), 1))).alias("token"))
-    explicit = sections(spark, d).select("path", "section", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\[\[([^\]\n]+)\]\]"), 1))).alias("token"))
-    known = nodes(spark, d, "node_type", "name", "class_name").where("node_type in ('class', 'function', 'method')")
-    by_id = explicit.join(known.select(F.col("id").alias("token")), "token", "left_semi").select("path", "section", F.col("token").alias("id"), F.lit(1.0).alias("confidence"), F.lit("explicit").alias("reason"))
-    dotted = known.where("class_name is not null").groupBy(F.concat_ws(".", "class_name", "name").alias("token")).agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1")
-    single = known.groupBy(F.col("name").alias("token")).agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1")
-    by_dot = ticks.join(dotted, "token").select("path", "section", "id", F.lit(0.9).alias("confidence"), F.lit("dotted").alias("reason"))
-    by_name = ticks.join(single, "token").select("path", "section", "id", F.lit(0.7).alias("confidence"), F.lit("unique").alias("reason"))
-    return first_by(by_id.unionByName(by_dot).unionByName(by_name), ["path", "section", "id"], [F.desc("confidence")])
+    """Symbols that documentation sections name, as edges both ways.
+
+    Explicit ids 1.0, ``Class.method`` 0.9 (of several the latest node), a name in back ticks or among the refs that
+    only one symbol bears 0.7; case matters for ids only; a token counts by the first of these that knows it.
+    """
+    text = F.coalesce("content", F.lit(""))
+    named = [F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in ((EXPLICIT, 0), (DOTTED, 0), (TICKED, 1))]
+    tokens = F.array_distinct(F.concat(F.coalesce("refs", F.array().cast("array<string>")), *named))
+    docs = nodes(spark, d, "node_type", "content", "refs").where("node_type = 'doc_section'").select(F.col("id").alias("src"), F.explode(tokens).alias("token"))
+    known = nodes(spark, d, "node_type", "name", "class_name", "node_seq").where("node_type in ('class', 'function', 'method')")
+    is_id = F.col("token").rlike("^(?:function|class|method)::")
+    by_id = docs.where(is_id).join(known.select(F.col("id").alias("dst")), F.col("token") == F.col("dst")).select("src", "dst", F.lit(1.0).alias("confidence"), F.lit("explicit").alias("reason"))
+    dotted = known.where("node_type = 'method' and class_name is not null").groupBy(F.lower(F.trim(F.concat_ws(".", "class_name", "name"))).alias("key")).agg(F.max_by("id", "node_seq").alias("dotted"))
+    single = known.groupBy(F.lower(F.trim("name")).alias("key")).agg(F.min("id").alias("single"), F.count("*").alias("n"))
+    words = docs.where(~is_id).select("src", F.lower(F.trim("token")).alias("key")).distinct().join(dotted, "key", "left").join(single.where("n = 1").select("key", "single"), "key", "left")
+    by_word = words.where("dotted is not null or single is not null").select("src", F.coalesce("dotted", "single").alias("dst"), F.when(F.col("dotted").isNotNull(), 0.9).otherwise(0.7).alias("confidence"), F.when(F.col("dotted").isNotNull(), "dotted").otherwise("unique").alias("reason"))
+    links = first_by(by_id.unionByName(by_word), ["src", "dst"], [F.desc("confidence")])
+    there = links.withColumn("edge_type", F.lit("documents"))
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "confidence", "reason", F.lit("documented_by").alias("edge_type"))
+    return there.unionByName(back).select("src", "dst", "edge_type", "confidence", "reason")
 
 
 def stale_docs_thetajoin(spark, d):
@@ -105,15 +108,18 @@ mp as (select *, sum(h) over (partition by path order by pos) as section, max(h)
 mr as (select path, section, string_agg(line, chr(10) order by pos) as whole, arg_min(line, pos) as top, min(pos) as first from mp where section > 0 or anyh = 0 group by 1, 2),
 mx as (select path, cast(section as bigint) as section, case when section = 0 then 'Document' else regexp_replace(regexp_replace(top, '^#+[ \t]+', ''), '[ \t]+$', '') end as title,
   case when section = 0 then 1 else length(regexp_extract(top, '^(#+)', 1)) end as level, cast(first + 1 as integer) as line_start, case when length(whole) > {SECTION_CHARS} then substr(whole, 1, {SECTION_CHARS}) || chr(10) || '[cut]' else whole end as content from mr)"""
-_TOKENS = r"""tk as (select distinct path, section, unnest(regexp_extract_all(content, '`([A-Za-z_]\w*(?:\.\w+)?)(?:\(\))?`', 1)) as token from mx), ex as (select distinct path, section, unnest(regexp_extract_all(content, '\[\[([^\]\n]+)\]\]', 1)) as token from mx),
+_TOKENS = rf"""ds as (select id as src, unnest(list_distinct(list_concat(coalesce(refs, []), regexp_extract_all(coalesce(content, ''), '{EXPLICIT}'), regexp_extract_all(coalesce(content, ''), '{DOTTED}'), regexp_extract_all(coalesce(content, ''), '{TICKED}', 1)))) as token from cn where node_type = 'doc_section'),
 kn as (select * from cn where node_type in ('class', 'function', 'method')),
-ln as (select path, section, token as id, 1.0::double as confidence, 'explicit' as reason from ex where token in (select id from kn)
-  union all select path, section, id, 0.9::double, 'dotted' from tk join (select concat_ws('.', class_name, name) as token, min(id) as id from kn where class_name is not null group by 1 having count(*) = 1) using (token)
-  union all select path, section, id, 0.7::double, 'unique' from tk join (select name as token, min(id) as id from kn group by 1 having count(*) = 1) using (token))"""
+dt as (select lower(trim(concat_ws('.', class_name, name))) as key, arg_max(id, node_seq) as id from kn where node_type = 'method' and class_name is not null group by 1),
+sg as (select lower(trim(name)) as key, min(id) as id from kn group by 1 having count(*) = 1),
+ln as (select src, token as dst, 1.0::double as confidence, 'explicit' as reason from ds where token in (select id from kn)
+  union all select distinct src, coalesce(dt.id, sg.id), case when dt.id is not null then 0.9::double else 0.7::double end, case when dt.id is not null then 'dotted' else 'unique' end
+    from ds left join dt on dt.key = lower(trim(token)) left join sg on sg.key = lower(trim(token)) where not regexp_matches(token, '^(function|class|method)::') and coalesce(dt.id, sg.id) is not null),
+l1 as (select * from (select *, row_number() over (partition by src, dst order by confidence desc) rn from ln) where rn = 1)"""
 
 ORACLES = {
     "doc_sections": sql(f", {_SECTIONS} select path, section, title, cast(level as integer) as level, replace(trim(lower(title)), ' ', '-') as anchor, line_start, cast(length(content) as integer) as n_chars, substr(md5(content), 1, 12) as content_hash from mx"),
-    "doc_links_tiered": sql(f", {_SECTIONS}, {_TOKENS} select path, section, id, confidence, reason from (select *, row_number() over (partition by path, section, id order by confidence desc) as rn from ln) where rn = 1"),
+    "doc_links_tiered": sql(f", {_TOKENS} select src, dst, 'documents' as edge_type, confidence, reason from l1 union all select dst, src, 'documented_by', confidence, reason from l1"),
     "stale_docs_thetajoin": sql(f", wh as (select cn.id, coalesce(cf.mtime, 0) as m from cn left join cf on cf.relative_path = coalesce(cn.relative_path, cn.file_path)) select distinct src, dst from le join wh a on a.id = src join wh b on b.id = dst where edge_type = 'documents' and b.m > a.m + {STALE_SECONDS}"),
     "doc_coverage": sql("select split_part(file_path, '/', 1) repository, node_type, count(*) n, round(avg(case when trim(coalesce(docstring, '')) <> '' then 1.0 else 0.0 end), 6) coverage from cn where node_type in ('class', 'function', 'method') group by 1, 2"),
     "doc_missing_top": sql("select file_path, name, id from cn where node_type in ('function', 'method') and trim(coalesce(docstring, '')) = '' order by file_path, name, id limit 20"),

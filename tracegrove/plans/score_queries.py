@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.comments import comments
 from ..operators import graph
 from ..operators.relational import first_by, positions
 from ..operators.skew import skew_join
 from ..schema import CONCURRENCY, ENTRY_DECORATORS, ENTRY_FILES, ENTRY_META, ENTRY_NAMES, LOGIC_LANGUAGE, LOGIC_WORDS, RISK, WEIGHTS
 from ..sources.tables import table
-from .base import edges, files, functions, nodes, sql
+from .base import edges, file_facts, file_rows, files, functions, nodes, sql
 from .graph_queries import _rank, path_of
 
 CHURN_STATES = 2  # states of a file from which churn counts
@@ -18,21 +21,28 @@ PERCENTILE, RATE, SAMPLE = 95, 0.05, 800
 RANK_ROUNDS = 8
 
 
-def code_lines(spark, d):
-    """path, extension and lines of code: block comments and line comments are taken out, blank lines dropped."""
-    source = files(spark, d, "content", "mtime").where("content is not null")
+def _code():
+    """Extension and lines of code of ``content``: block comments and line comments are taken out, blank lines dropped."""
     ext = T.extension(F.col("relative_path"))
     # [\s\S] and not a dot: the block may span lines.
     bare = F.when(ext.isin("py", "rb"), F.regexp_replace("content", r"#[^\r\n]*", "")).when(ext == "sql", F.regexp_replace("content", r"--[^\r\n]*", "")).otherwise(F.regexp_replace(F.regexp_replace("content", r"/\*[\s\S]*?\*/", ""), r"//[^\r\n]*", ""))
-    lines = F.filter(T.lines(bare), lambda x: ~x.rlike(r"^[ \t]*$"))
-    return source.select(F.col("relative_path").alias("path"), ext.alias("ext"), lines.alias("code"), F.size(T.lines(F.col("content"))).alias("n_lines"))
+    return {"ext": ext, "code": F.filter(T.lines(bare), lambda x: ~x.rlike(r"^[ \t]*$"))}
+
+
+def _code_facts(spark, d, **facts):
+    """path and facts about the lines of code (``code``) of each file that can be read."""
+    rows = file_facts(spark, d, _code(), n_lines=F.size(T.lines(F.col("content"))), readable=F.col("content").isNotNull(), **facts)
+    return rows.where("readable").withColumnRenamed("relative_path", "path")
+
+
+def _depths():
+    return F.transform("code", lambda x: F.floor((F.length(x) - F.length(F.regexp_replace(x, r"^[ \t]+", ""))) / 4).cast("int"))
 
 
 def indent_depth(spark, d):
     """Deepest nesting and number of deep lines of each file, four columns a level."""
-    depth = F.transform("code", lambda x: F.floor((F.length(x) - F.length(F.regexp_replace(x, r"^[ \t]+", ""))) / 4).cast("int"))
-    rows = code_lines(spark, d).withColumn("depths", depth)
-    return rows.select("path", F.coalesce(F.array_max("depths"), F.lit(0)).alias("max_depth"), F.size(F.filter("depths", lambda x: x > 4)).alias("deep_lines"), "n_lines")
+    rows = _code_facts(spark, d, max_depth=F.coalesce(F.array_max(_depths()), F.lit(0)), deep_lines=F.size(F.filter(_depths(), lambda x: x > 4)))
+    return rows.select("path", "max_depth", "deep_lines", "n_lines")
 
 
 def _word_hits():
@@ -48,33 +58,36 @@ def _holds(text):
 
 def keyword_density(spark, d):
     """Logic words per line of code: a line counts each word it contains."""
-    rows = code_lines(spark, d)
-    hits = _word_hits()
-    n = F.size("code")
-    return rows.select("path", hits.alias("hits"), n.alias("code_lines"), F.round(F.when(n > 0, hits / n).otherwise(0.0), 6).alias("density"))
+    rows = _code_facts(spark, d, hits=_word_hits(), n=F.size("code"))
+    return rows.select("path", "hits", F.col("n").alias("code_lines"), F.round(F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(0.0), 6).alias("density"))
 
 
 def regex_marker_hits(spark, d):
-    return code_lines(spark, d).select("path", T.line_hits(F.col("code"), CONCURRENCY).alias("concurrency"), T.line_hits(F.col("code"), RISK).alias("risk"))
+    rows = _code_facts(spark, d, concurrency=T.line_hits(F.col("code"), CONCURRENCY), risk=T.line_hits(F.col("code"), RISK))
+    return rows.select("path", "concurrency", "risk")
+
 
+_MARK = re.compile("TODO|FIXME|HACK", re.I)
 
-_MARKER = r"(?i)(?:#|//|/?\*|--).*?(TODO|FIXME|HACK)"
+
+def _marks(path: str, text: str) -> list[tuple[int, str]]:
+    if not _MARK.search(text):
+        return []
+    return [(line, m.group().lower()) for line, said in comments(path, text) if (m := _MARK.search(said))]
 
 
 def todo_comment_scan(spark, d):
-    """Marked comments: path, line, kind and weight; the first mark of a line counts."""
-    source = files(spark, d, "content").where(F.col("content").rlike("(?i)TODO|FIXME|HACK"))
-    rows = source.select(F.col("relative_path").alias("path"), F.posexplode(T.lines(F.col("content"))).alias("pos", "text")).where(F.col("text").rlike(_MARKER))
-    kind = F.lower(F.regexp_extract("text", _MARKER, 1))
-    return rows.select("path", (F.col("pos") + 1).alias("line"), kind.alias("kind")).withColumn("weight", F.when(F.col("kind") == "todo", WEIGHTS["todo"]).when(F.col("kind") == "fixme", WEIGHTS["fixme"]).otherwise(WEIGHTS["hack"]))
+    """Marked comments: path, line, kind and weight; the first mark of a comment's line counts, marks in strings do not."""
+    rows = file_rows(spark, d, _marks, "line int, kind string").withColumnRenamed("relative_path", "path")
+    return rows.withColumn("weight", F.when(F.col("kind") == "todo", WEIGHTS["todo"]).when(F.col("kind") == "fixme", WEIGHTS["fixme"]).otherwise(WEIGHTS["hack"]))
 
 
 def lint(spark, d):
     """Findings in Python files: lines over 120 characters (an error) and white space at the end of a line (a warning)."""
-    source = files(spark, d, "content").where((T.extension(F.col("relative_path")) == "py") & F.col("content").isNotNull())
-    rows = source.select(F.col("relative_path").alias("path"), F.posexplode(T.lines(F.col("content"))).alias("pos", "text"))
-    code = F.when(F.length("text") > 120, "E501").when(F.col("text").rlike(r"[ \t]$"), "W291")
-    return rows.select("path", (F.col("pos") + 1).alias("line"), code.alias("code")).where("code is not null")
+    code = lambda x: F.when(F.length(x) > 120, "E501").when(x.rlike(r"[ \t]$"), "W291")
+    found = F.filter(F.transform(T.numbered(T.lines(F.col("content"))), lambda x: F.struct(x["n"].alias("line"), code(x["text"]).alias("code"))), lambda x: x["code"].isNotNull())
+    rows = file_facts(spark, d, found=F.when(T.extension(F.col("relative_path")) == "py", found))
+    return rows.select(F.col("relative_path").alias("path"), F.explode("found").alias("f")).select("path", "f.*")
 
 
 def lint_structural_score(spark, d):
@@ -110,11 +123,11 @@ def pagerank_files(spark, d):
 
 def axes(spark, d):
     """The six axes of every file and their sum."""
-    code = code_lines(spark, d)
     # one pass over the code for all that is read from it
-    depth = F.transform("code", lambda x: F.floor((F.length(x) - F.length(F.regexp_replace(x, r"^[ \t]+", ""))) / 4).cast("int"))
-    hits = _word_hits()
-    facts = code.select("path", "n_lines", F.size("code").alias("n"), hits.alias("hits"), F.coalesce(F.array_max(depth), F.lit(0)).alias("max_depth"), F.size(F.filter(depth, lambda x: x > 4)).alias("deep"), T.line_hits(F.col("code"), CONCURRENCY).alias("conc"), T.line_hits(F.col("code"), RISK).alias("risky"))
+    facts = _code_facts(
+        spark, d, n=F.size("code"), hits=_word_hits(), max_depth=F.coalesce(F.array_max(_depths()), F.lit(0)), deep=F.size(F.filter(_depths(), lambda x: x > 4)),
+        conc=T.line_hits(F.col("code"), CONCURRENCY), risky=T.line_hits(F.col("code"), RISK),
+    )
     logic = (
         F.when(F.col("n_lines") > 300, (F.col("n_lines") - 300) / 100).otherwise(0.0) + F.when(F.col("max_depth") > 5, (F.col("max_depth") - 4) * 0.5).otherwise(0.0)
         + F.when(F.col("deep") > 10, F.col("deep") * 0.1).otherwise(0.0) + F.when((F.col("n") > 10) & (F.col("hits") / F.col("n") > 0.15), (F.col("hits") / F.col("n") - 0.15) * 20).otherwise(0.0)
@@ -290,9 +303,28 @@ def _words_sql() -> str:
     return "case " + " ".join(cases) + " else 0 end"
 
 
-_TODO = rf"""td as (select path, line, kind, case kind when 'todo' then {WEIGHTS['todo']}::double when 'fixme' then {WEIGHTS['fixme']}::double else {WEIGHTS['hack']}::double end as weight from (
-  select path, line, lower(regexp_extract(text, '(?i)(?:#|//|/?\*|--).*?(TODO|FIXME|HACK)', 1)) as kind from (select relative_path as path, unnest(ls) as text, cast(generate_subscripts(ls, 1) as integer) as line from (select relative_path, {_sql_lines('content')} as ls from cf where regexp_matches(content, '(?i)TODO|FIXME|HACK')))
-  where regexp_matches(text, '(?i)(?:#|//|/?\*|--).*?(TODO|FIXME|HACK)')))"""
+_STRINGS = """"(?:[^"\\\\\\n]|\\\\[\\s\\S])*"|''(?:[^''\\\\\\n]|\\\\[\\s\\S])*''"""
+
+
+def _comment_sql() -> str:
+    """cm(path, line, said): the lines of comments, from tokens (comment, string, run of other characters) with running line numbers."""
+    long_ = '"""[\\s\\S]*?"""|' + r"''''''[\s\S]*?''''''"
+    block = r"/\*[\s\S]*?\*/"
+    scans = {"py": rf"#[^\n]*|{long_}|{_STRINGS}|[^#\"''\n]+|[\s\S]", "sql": rf"--[^\n]*|{block}|{_STRINGS}|[^-/\"''\n]+|[\s\S]", "c": rf"//[^\n]*|{block}|{_STRINGS}|`(?:[^`\\]|\\[\s\S])*`|[^/\"''`\n]+|[\s\S]"}
+    family = f"case when {_EXT} = 'py' then 'py' when {_EXT} = 'sql' then 'sql' when {_EXT} in ('js', 'mjs', 'ts', 'java', 'c', 'h', 'cs', 'go', 'rs') then 'c' else '#' end"
+    tokens = "case fam " + " ".join(f"when '{k}' then regexp_extract_all(t, '{v}')" for k, v in scans.items()) + " end"
+    return rf"""src as (select relative_path as path, {family} as fam, regexp_replace(regexp_replace(content, '\r\n|\r', chr(10), 'g'), '^\x{{FEFF}}', '') as t from cf where regexp_matches(content, '(?i)TODO|FIXME|HACK')),
+tk0 as (select path, fam, {tokens} as ts from src where fam <> '#'),
+tk1 as (select path, fam, unnest(ts) as tok, generate_subscripts(ts, 1) as k from tk0),
+tk2 as (select *, coalesce(sum(length(tok) - length(replace(tok, chr(10), ''))) over (partition by path order by k rows between unbounded preceding and 1 preceding), 0) as before_ from tk1),
+cm0 as (select path, before_, string_split(regexp_replace(regexp_replace(tok, '^(?://|/\*|#+|--)', ''), '\*/$', ''), chr(10)) as parts from tk2 where (fam = 'py' and starts_with(tok, '#')) or (fam = 'sql' and (starts_with(tok, '--') or starts_with(tok, '/*'))) or (fam = 'c' and (starts_with(tok, '//') or starts_with(tok, '/*')))),
+cm as (select path, cast(before_ + o as integer) as line, said from (select path, before_, unnest(parts) as said, generate_subscripts(parts, 1) as o from cm0)
+  union all select path, cast(o as integer), regexp_extract(line_, '#([\s\S]*)$', 1) from (select path, unnest(ls) as line_, generate_subscripts(ls, 1) as o from (select path, string_split(t, chr(10)) as ls from src where fam = '#')) where contains(line_, '#') and not (o = 1 and starts_with(line_, '#!')))"""
+
+
+_TODO = rf"""{_comment_sql()},
+td as (select path, line, kind, case kind when 'todo' then {WEIGHTS['todo']}::double when 'fixme' then {WEIGHTS['fixme']}::double else {WEIGHTS['hack']}::double end as weight
+  from (select path, line, lower(regexp_extract(said, '(?i)(TODO|FIXME|HACK)', 1)) as kind from cm where regexp_matches(said, '(?i)TODO|FIXME|HACK')))"""
 _LINT = rf"""li as (select path, line, code from (select path, line, case when length(text) > 120 then 'E501' when regexp_matches(text, '[ \t]$') then 'W291' end as code from (
   select relative_path as path, unnest(ls) as text, cast(generate_subscripts(ls, 1) as integer) as line from (select relative_path, {_sql_lines('content')} as ls from cf where {_EXT} = 'py' and content is not null))) where code is not null),
 ls as (select path, count(*) as findings, sum(case when regexp_matches(code, '^[EF]') then {WEIGHTS['error']}::double else {WEIGHTS['warning']}::double end) as structural from li group by 1)"""

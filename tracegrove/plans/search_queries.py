@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators.relational import first_by, positions
 from ..session import cut
 from ..sources.tables import table
-from .base import files, nodes, sql
+from .base import file_facts, nodes, sql
 
 NAME, TEXT, PREFER = "record", "retry", "class"
 K, BLOCK = 10, 2000  # neighbours; query vectors broadcast at once
@@ -42,18 +42,22 @@ def search_path_prefix(spark, d):
     return _ranked(spark, d, NAME).where(F.col("file_path").startswith("harborline/")).orderBy(F.desc("exact"), "first_seq", "node_seq").limit(10).select("id", "name", "file_path")
 
 
+def _hits(text):
+    """Lines of the content that hold the text, with their numbers; null where there are none."""
+    own = F.filter(T.numbered(T.lines(F.col("content"))), lambda x: F.lower(x["text"]).contains(text))
+    return F.when(F.lower("content").contains(text), own)
+
+
 def grep_documents(spark, d):
     """The first fifty lines, by file and line, that hold the text."""
-    hit = files(spark, d, "content").where(F.lower("content").contains(TEXT))
-    rows = hit.select("relative_path", F.posexplode(T.lines(F.col("content"))).alias("pos", "line")).where(F.lower("line").contains(TEXT))
-    return rows.select("relative_path", (F.col("pos") + 1).alias("line_no"), F.regexp_replace("line", r"^[ \t]+|[ \t]+$", "").alias("line")).orderBy("relative_path", "line_no").limit(50)
+    rows = file_facts(spark, d, hits=_hits(TEXT)).select("relative_path", F.explode("hits").alias("h"))
+    return rows.select("relative_path", F.col("h.n").alias("line_no"), F.regexp_replace("h.text", r"^[ \t]+|[ \t]+$", "").alias("line")).orderBy("relative_path", "line_no").limit(50)
 
 
 def grep_counts(spark, d):
     """Lines that hold the text, per repository, over all files."""
-    hit = files(spark, d, "content").where(F.lower("content").contains(TEXT))
-    n = F.size(F.filter(T.lines(F.lower("content")), lambda x: x.contains(TEXT)))
-    return hit.select(F.split("relative_path", "/")[0].alias("repository"), n.cast("long").alias("n")).groupBy("repository").agg(F.sum("n").alias("n"))
+    rows = file_facts(spark, d, n=F.size(_hits(TEXT)).cast("long")).where("n > 0")
+    return rows.groupBy(F.split("relative_path", "/")[0].alias("repository")).agg(F.sum("n").alias("n"))
 
 
 def _nearest(spark, rows, queries, k, metric, but_itself=True):

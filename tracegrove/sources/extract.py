@@ -8,15 +8,13 @@ from __future__ import annotations
 import ast
 import re
 import warnings
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-SYMBOLS = "path string, kind string, name string, class_name string, line_start int, line_end int, docstring string, bases array<string>, decorators array<string>, modifiers array<string>, is_main_guard boolean"
+SYMBOLS = "kind string, name string, class_name string, line_start int, line_end int, docstring string, bases array<string>, decorators array<string>, modifiers array<string>, is_main_guard boolean"
 
 
 def python_symbols(text: str) -> list[tuple]:
@@ -44,17 +42,8 @@ def python_symbols(text: str) -> list[tuple]:
     return out
 
 
-def _python(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in SYMBOLS.split(", ")]
-    for batch in batches:
-        rows = [(p, *s) for p, t in zip(batch["path"], batch["content"]) for s in python_symbols(t)]
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
-
-
-def extract_python(files: DataFrame) -> DataFrame:
-    source = files.where((T.extension(F.col("relative_path")) == "py") & F.col("content").isNotNull()).select(F.col("relative_path").alias("path"), "content")
-    return source.mapInPandas(_python, SYMBOLS)
+def python_rows(path: str, text: str) -> list[tuple]:
+    return python_symbols(text)
 
 
 # Declarations at the start of a line: the pattern's groups are the names of classes and of functions.
@@ -69,29 +58,64 @@ DECLARATIONS = {
 }
 
 
-def extract_declarations(files: DataFrame) -> DataFrame:
-    """path, line, kind and name of declarations in the other languages, without leaving the JVM."""
-    source = files.where("content is not null").select(F.col("relative_path").alias("path"), T.extension(F.col("relative_path")).alias("ext"), F.posexplode(T.lines(F.col("content"))).alias("pos", "line"))
-    known = [e for exts in DECLARATIONS for e in exts]
-    source = source.where(F.col("ext").isin(*known))
-    holder, function = F.lit(""), F.lit("")
-    for exts, pattern in DECLARATIONS.items():
-        holder = F.when(F.col("ext").isin(*exts), F.regexp_extract("line", pattern, 1)).otherwise(holder)
-        function = F.when(F.col("ext").isin(*exts), F.regexp_extract("line", pattern, 2)).otherwise(function)
-    rows = source.select("path", "ext", (F.col("pos") + 1).alias("line"), holder.alias("holder"), function.alias("function"))
-    rows = rows.where("holder <> '' or (function <> '' and function not in ('if', 'for', 'while', 'switch', 'catch', 'else'))")
-    return rows.select("path", "ext", "line", F.when(F.col("holder") != "", "class").otherwise("function").alias("kind"), F.when(F.col("holder") != "", F.col("holder")).otherwise(F.col("function")).alias("name"))
+def declarations(path: Column, content: Column) -> Column:
+    """Line, kind and name of the declarations of other languages, as an array; null for other files. It stays in the JVM."""
+    ext = T.extension(path)
+
+    def found(pattern: str) -> Column:
+        def one(x: Column) -> Column:
+            holder, function = F.regexp_extract(x["text"], pattern, 1), F.regexp_extract(x["text"], pattern, 2)
+            return F.struct(x["n"].alias("line"), F.when(holder != "", "class").otherwise("function").alias("kind"), F.when(holder != "", holder).otherwise(function).alias("name"))
 
+        hits = F.filter(T.numbered(T.lines(content)), lambda x: x["text"].rlike(pattern))
+        return F.filter(F.transform(hits, one), lambda x: ~x["name"].isin("", "if", "for", "while", "switch", "catch", "else"))
 
-_NAME = r"([A-Za-z_][\w.]*)"
+    out = F.lit(None)
+    for exts, pattern in DECLARATIONS.items():
+        out = F.when(ext.isin(*exts), found(pattern)).otherwise(out)
+    return out
 
 
-def sql_statements(files: DataFrame) -> DataFrame:
-    """path, ordinal, kind, writes and reads of every SQL statement; a written table is also read."""
-    source = files.where((T.extension(F.col("relative_path")) == "sql") & F.col("content").isNotNull())
-    bare = F.regexp_replace(F.regexp_replace("content", r"--[^\r\n]*", ""), r"/\*[\s\S]*?\*/", "")
-    rows = source.select(F.col("relative_path").alias("path"), F.posexplode(F.filter(F.split(bare, ";"), lambda x: ~x.rlike(r"^\s*$"))).alias("ordinal", "text"))
-    kind = F.upper(F.regexp_extract("text", r"^\s*(\w+)", 1))
-    writes = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?i)\b(?:insert\s+into|create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view)(?:\s+if\s+not\s+exists)?|update|delete\s+from)\s+{_NAME}"), 1))
-    reads = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?i)\b(?:from|join)\s+{_NAME}"), 1))
-    return rows.select("path", "ordinal", kind.alias("kind"), writes.alias("writes"), F.array_union(reads, writes).alias("reads"))
+STATEMENTS = "ordinal int, kind string, writes array<string>, reads array<string>, columns array<string>"
+_SQL_TOKEN = re.compile(r"--[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|(?P<keep>'(?:[^']|'')*'|\"[^\"\n]*\"|`[^`\n]*`)|(?P<end>;)")
+_NAME = r"((?:[A-Za-z_]\w*|\"[^\"\n]+\"|`[^`\n]+`)(?:\.(?:[A-Za-z_]\w*|\"[^\"\n]+\"|`[^`\n]+`))*)"
+_WRITES = re.compile(rf"(?i)\b(?:insert\s+(?:or\s+\w+\s+)?into|merge\s+into|create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:materialized\s+)?(?:table|view)(?:\s+if\s+not\s+exists)?|^\s*update|delete\s+from)\s+{_NAME}")
+_READS = re.compile(rf"(?i)\b(?:from|join|using)\s+(?!\s*select\b){_NAME}(?P<more>(?:\s+(?:as\s+)?\w+)?(?:\s*,\s*{_NAME}(?:\s+(?:as\s+)?(?!where\b|join\b|on\b|group\b|order\b)\w+)?)*)")
+_WITH = re.compile(r"(?i)(?:\bwith\s+(?:recursive\s+)?|\)\s*,\s*)([A-Za-z_]\w*)\s*(?:\([^()]*\)\s*)?as\s*(?:(?:not\s+)?materialized\s*)?\(")
+_COLUMN = re.compile(r"(?i)\bas\s+\w+|(?<![\w.:@$])([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)(?!\s*\(|[\w.])")
+_SOURCE = re.compile(rf"(?i)\b(?:from|join|into|update|table|view)\s+{_NAME}(?:\s+(?:as\s+)?(?!(?:where|join|on|group|order|set|left|right|inner|outer|full|cross|having|limit|union|select|values|using)\b)\w+)?")
+_EXPRESSIONS = re.compile(r"(?is)\b(?:select|where|set|on|having)\b.*")
+# Words of statements that are no columns.
+_SQL_WORDS = frozenset("select from where group by having order limit offset union intersect except all distinct insert into values update set delete create table view as and or not in is null like ilike between exists case when then else end join inner left right full outer cross on using asc desc over partition rows range unbounded preceding following current row true false with recursive default returning conflict do nothing nulls first last interval date timestamp".split())
+
+
+def _sql_parts(text: str) -> list[str]:
+    """Statements without comments, their string literals emptied; a semicolon within a string ends none."""
+    parts, at = [""], 0
+    for m in _SQL_TOKEN.finditer(text):
+        parts[-1] += text[at : m.start()]
+        at = m.end()
+        if m["end"]:
+            parts.append("")
+        else:
+            parts[-1] += "''" if (m["keep"] or "").startswith("'") else m["keep"] or " "
+    parts[-1] += text[at:]
+    return [p for p in parts if p.strip()]
+
+
+def sql_rows(path: str, text: str) -> list[tuple]:
+    """Ordinal, kind, tables written and read (common table expressions are none), and columns that expressions name, as often as they do."""
+    out = []
+    for n, part in enumerate(_sql_parts(text.removeprefix("\ufeff"))):
+        bare = lambda x: x.replace('"', "").replace("`", "")
+        own = {m.lower() for m in _WITH.findall(part)} if re.search(r"(?i)\bwith\b", part) else set()
+        writes = list(dict.fromkeys(bare(m) for m in _WRITES.findall(part)))
+        reads = []
+        for m in _READS.finditer(part):
+            reads += [m[1], *re.findall(rf",\s*{_NAME}", m["more"] or "")]
+        reads = [r for r in dict.fromkeys(map(bare, reads)) if r.lower() not in own]
+        kind = re.match(r"\s*\(*\s*(\w*)", part)[1].upper()
+        said = _EXPRESSIONS.search(part)
+        columns = [c for c in _COLUMN.findall(_SOURCE.sub(" ", said.group())) if c and c.lower() not in _SQL_WORDS] if said else []
+        out.append((n, kind, writes, [*reads, *(w for w in writes if w not in reads)], columns))
+    return out
