@@ -7,12 +7,14 @@ costs no more than a step. Null ends never match. Unknown roots are ignored wher
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .relational import running_sums
 
 HOT, SALTS = 50_000, 16
+TOLERANCE, ROUNDS, STEP = 1e-6, 100, 5  # of ranks
 
 
 class Adjacency:
@@ -30,7 +32,10 @@ class Adjacency:
         self.any_hot = bool(self.hot.take(1))
         if self.any_hot:
             salt = F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.lit(SALTS))).cast("int")
-            pairs = pairs.join(self.hot, F.col("src") == F.col("hot"), "left").select("src", "dst", salt.alias("salt")).repartition("src", "salt").persist()
+            plain = pairs
+            pairs = plain.join(self.hot, F.col("src") == F.col("hot"), "left").select("src", "dst", salt.alias("salt")).repartition("src", "salt").persist()
+            pairs.count()
+            plain.unpersist()
         self.pairs = pairs
 
     def close(self) -> None:
@@ -102,24 +107,30 @@ def dependency_tree(edges: DataFrame, roots: DataFrame, depth: int = 2, directio
     return out.select(F.element_at("path", 1).alias("root"), "id", (F.size("path") - 1).alias("depth"), "recursive", "path")
 
 
-def pagerank(edges: DataFrame, ids: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:
-    """id and rank (sum 1) after a fixed number of rounds; parallel edges count; the mass of dead ends is spread evenly."""
+def pagerank(edges: DataFrame, ids: DataFrame, damping: float = 0.85, tolerance: float = TOLERANCE, rounds: int = ROUNDS, step: int = STEP) -> DataFrame:
+    """id and rank (sum 1); parallel edges count; the mass of dead ends is spread evenly.
+
+    Since that mass goes to all nodes alike, the ranks are in proportion to the solution of y = 1 + damping * came(y),
+    which needs no sums on the driver. Rounds go on, ``step`` at a time, until the sum of what a step changes is less
+    than ``tolerance`` of all, or ``rounds`` are done (what is left to change then is under damping ** rounds).
+    """
     pairs = edges.select("src", "dst").where("src is not null and dst is not null")
     links = pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
     out = links.groupBy("src").agg(F.sum("n").alias("out"))
-    shares = links.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")).repartition("src").persist()
-    every = ids.select("id").distinct()
-    n = every.count()
-    if not n:
-        return every.withColumn("rank", F.lit(0.0))
-    nodes = cut(every.join(out.select(F.col("src").alias("id"), F.lit(True).alias("sends")), "id", "left").select("id", F.coalesce("sends", F.lit(False)).alias("sends")))
-    rank = cut(nodes.withColumn("rank", F.lit(1.0 / n)))
-    for i in range(iterations):
-        dead = rank.where("not sends").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("dead")).first()["dead"]
-        came = shares.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("came"))
-        rank = nodes.join(came, "id", "left").select("id", "sends", (F.lit((1 - damping) / n + damping * dead / n) + damping * F.coalesce("came", F.lit(0.0))).alias("rank"))
-        rank = cut(rank)
-    return rank.select("id", "rank")
+    shares = cut(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")))
+    nodes = cut(ids.select("id").where("id is not null").distinct())
+    y = nodes.withColumn("y", F.lit(1.0))
+    for _ in range(rounds // step):
+        new = y.select("id", "y")
+        for _ in range(step):
+            came = shares.join(new.select(F.col("id").alias("src"), "y"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("y") * F.col("share")).alias("came"))
+            new = nodes.join(came, "id", "left").select("id", (1 + damping * F.coalesce("came", F.lit(0.0))).alias("y"))
+        y = cut(new.join(y.select("id", F.col("y").alias("old")), "id").select("id", "y", F.abs(F.col("y") - F.col("old")).alias("change")))
+        sums = y.agg(F.sum("change").alias("change"), F.sum("y").alias("all")).first()
+        if not sums["all"] or sums["change"] < tolerance * sums["all"]:
+            break
+    total = y.agg(F.sum("y")).first()[0] or 1.0
+    return y.select("id", (F.col("y") / total).alias("rank"))
 
 
 def contract(edges: DataFrame, groups: DataFrame) -> DataFrame:
@@ -131,11 +142,11 @@ def contract(edges: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def trim(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def trim(edges: DataFrame) -> DataFrame:
     """What remains of the edges when nodes without edges in or out are taken away until there are none."""
     left = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     n = left.count()
-    for _ in range(rounds):
+    while True:
         left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
         m = left.count()
         if m == n:
@@ -144,7 +155,7 @@ def trim(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     return left
 
 
-def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Strongly connected components that hold a cycle: id and component (its greatest id).
 
     Trimming, then colouring: the greatest id that reaches a node is its colour; what reaches back to that id
@@ -152,9 +163,7 @@ def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """
     left = trim(edges)
     found = left.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
-    for _ in range(rounds):
-        if not left.take(1):
-            break
+    while left.take(1):
         colour = cut(left.select(F.col("src").alias("id")).union(left.select("dst")).distinct().withColumn("colour", F.col("id")))
         while True:
             came = left.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("c")), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("c"))
@@ -175,6 +184,21 @@ def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     return found
 
 
+def cycles(edges: DataFrame) -> DataFrame:
+    """One cycle of each strongly connected component: component, hops and path.
+
+    It is the shortest one through the component's greatest id, of several the smallest path; the path begins and
+    ends with that id.
+    """
+    found = components(edges)
+    inside = edges.select("src", "dst").distinct().join(found.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(found.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").where("a = b")
+    inside = cut(inside.select("src", "dst"))
+    out = shortest_paths(inside, found.select(F.col("component").alias("id")).distinct(), None)
+    back = out.select(F.col("id").alias("src"), "hops", "path", F.col("path")[0].alias("dst")).join(inside, ["src", "dst"])
+    best = back.groupBy(F.col("dst").alias("component")).agg(F.min(F.struct("hops", "path")).alias("b"))
+    return best.select("component", (F.col("b.hops") + 1).alias("hops"), F.concat("b.path", F.array("component")).alias("path"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """id and degree; a self-loop counts twice."""
     ends = F.explode(F.array("src", "dst")).alias("id")
@@ -187,8 +211,14 @@ def path_edges(paths: DataFrame) -> DataFrame:
     return paths.where("size(path) > 1").select("id", pairs).select("id", "pair.src", "pair.dst", F.lit("path").alias("edge_type"))
 
 
-def budget_cut(rows: DataFrame, order: list, cost: str, budget: int, group: str | None = None) -> DataFrame:
-    """Rows kept before the first one whose cost overflows the budget, in ``order`` (per ``group``)."""
-    w = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
-    running = F.sum(cost).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("running", running).where(F.col("running") <= budget)
+def budget_cut(rows: DataFrame, order: list[str], cost: str, budget: int, group: str, test: str | None = None) -> DataFrame:
+    """Rows of each ``group`` before the first that overflows the budget, in ``order`` (ascending columns that tell them apart).
+
+    ``cost`` is what a row adds, ``test`` (if another column) what must still fit. The running sum comes over range-cut
+    slices, so no task holds a group whole. ``running`` is the sum with the row itself.
+    """
+    summed = cut(running_sums(rows, group, order, cost, "running"))
+    over = F.col("running") - F.col(cost) + F.col(test or cost) > budget
+    first = summed.where(over).groupBy(group).agg(F.min(F.struct(*order)).alias("_first"))
+    kept = summed.join(first, group, "left")
+    return kept.where(F.col("_first").isNull() | (F.struct(*order) < F.col("_first"))).drop("_first")

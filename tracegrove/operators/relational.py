@@ -47,3 +47,18 @@ def positions(df: DataFrame, key: str, order: list[str], name: str = "pos", part
     ).select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), "_before")
     joined = numbered.join(before, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s")))
     return joined.withColumn(name, (F.col("_n") + F.col("_before")).cast("int")).drop("_k", "_s", "_before", "_slice", "_n")
+
+
+def running_sums(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over the row and those before it within its ``key``, in the order of ``order``.
+
+    As ``positions``: each task sums its own slice of a key, and the totals of the earlier slices are added.
+    """
+    keys = [F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order]]
+    ranged = cut(df.repartitionByRange(*keys).withColumn("_slice", F.spark_partition_id()))
+    w = Window.partitionBy(key, "_slice").orderBy(*keys[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    totals = ranged.groupBy(key, "_slice").agg(F.sum(value).alias("_c"))
+    w2 = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), F.coalesce(F.sum("_c").over(w2), F.lit(0)).alias("_before"))
+    joined = ranged.withColumn("_n", F.sum(value).over(w)).join(before, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s")))
+    return joined.withColumn(name, F.col("_n") + F.col("_before")).drop("_k", "_s", "_before", "_slice", "_n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 HOT = 100_000  # left rows of a key from which the key is spread
 SALTS = 32
 
@@ -16,7 +18,8 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", h
     copied to each. Their number is at most the left rows divided by ``hot``. Null keys join nothing.
     Without a hot key it is the plain join. Both sides may share no other column.
     """
-    keys = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > hot).select(F.col(key).alias("_hot")).persist()
+    keys = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > hot).select(F.col(key).alias("_hot"))
+    keys = cut(keys)  # few: at most the left rows divided by ``hot``
     if not keys.take(1):
         return left.join(right, key, how)
     spread = left.join(keys, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.lit(salts))).cast("int")).drop("_hot")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
@@ -12,8 +12,7 @@ from ..sources.tables import table
 from .base import all_edges, edges, functions, nodes, sql
 
 WALK = ("imports", "contains", "calls")
-DEPTH = 4
-PAGERANK_ROUNDS = 10
+DEPTH, HOPS, ENTRY_HOPS = 10, 50, 10  # default bounds of walks
 BUDGET = 1600
 
 
@@ -104,16 +103,17 @@ def reachable_typed(spark, d):
 
 
 def shortest_path_length(spark, d):
-    return graph.shortest_paths(edges(spark, d, *WALK), roots(spark, d), 5).select("id", "hops", F.size("path").alias("length"))
+    return graph.shortest_paths(edges(spark, d, *WALK), roots(spark, d), HOPS).select("id", "hops", F.size("path").alias("length"))
 
 
 def path_to_subgraph(spark, d):
-    return graph.path_edges(graph.shortest_paths(edges(spark, d, "imports"), roots(spark, d), 3)).select("src", "dst", "edge_type").distinct().groupBy("edge_type").agg(F.count("*").cast("long").alias("n"))
+    """The adjacent pairs of the shortest import paths from the roots, as edges."""
+    return graph.path_edges(graph.shortest_paths(edges(spark, d, "imports"), roots(spark, d), HOPS)).select("src", "dst", "edge_type").distinct()
 
 
 def entrypoint_paths_len(spark, d):
     """Hops from each function without callers to the most called function, by one search backwards."""
-    return _entrypoint_paths(spark, d, 6)
+    return _entrypoint_paths(spark, d, ENTRY_HOPS)
 
 
 def _entrypoint_paths(spark, d, depth):
@@ -123,7 +123,7 @@ def _entrypoint_paths(spark, d, depth):
     return back.join(calls.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").select("id", F.col("depth").alias("hops"))
 
 
-# The four queries above stop at the depth that their SQL fixes; the same without a bound, until the frontier is empty.
+# The four queries above keep to default bounds; the same without a bound, until the frontier is empty.
 
 
 def reachable_set_whole(spark, d):
@@ -181,24 +181,34 @@ def module_graph_edges(spark, d):
 def pagerank_module(spark, d):
     links = graph.cut(module_graph_edges(spark, d).select("src", "dst"))
     ids = links.select(F.col("src").alias("id")).union(links.select("dst"))
-    return graph.pagerank(links, ids, iterations=PAGERANK_ROUNDS).select("id", F.round("rank", 8).alias("rank"))
+    return graph.pagerank(links, ids).select("id", F.round("rank", 8).alias("rank"))
 
 
 def pagerank_nodes(spark, d):
-    """The hundred highest ranks of the whole graph."""
-    rank = graph.pagerank(edges(spark, d), nodes(spark, d, "node_type"), iterations=PAGERANK_ROUNDS)
-    return rank.select("id", F.round("rank", 8).alias("rank")).orderBy(F.desc("rank"), "id").limit(100)
+    """Ranks of all nodes of the whole graph."""
+    return graph.pagerank(edges(spark, d), nodes(spark, d, "node_type")).select("id", F.round("rank", 8).alias("rank"))
 
 
 def cycle_nodes_module(spark, d):
     return graph.components(module_graph_edges(spark, d)).select("id")
 
 
+def cycle_paths_module(spark, d):
+    """A shortest cycle of every group of modules that import each other in a circle."""
+    return graph.cycles(module_graph_edges(spark, d)).select("component", "hops", F.array_join("path", " > ").alias("path"))
+
+
 def cycle_components_calls(spark, d):
     """Groups of functions that call each other in a circle."""
     return graph.components(edges(spark, d, "calls")).groupBy("component").agg(F.count("*").alias("size"))
 
 
+def cycle_components_references(spark, d):
+    """Groups of nodes that edges of calls, imports, inheritance and documentation tie into circles."""
+    found = graph.components(edges(spark, d, "calls", "imports", "inherits", "documents", "documented_by"))
+    return found.groupBy("component").agg(F.count("*").alias("size"))
+
+
 def degree_rank_topk(spark, d):
     return graph.degrees(edges(spark, d)).orderBy(F.desc("degree"), "id").limit(20)
 
@@ -220,16 +230,31 @@ def table_lineage(spark, d):
     return e.groupBy(F.col("dst").alias("id")).agg(F.countDistinct(F.when(F.col("edge_type") == "reads", F.col("src"))).alias("readers"), F.countDistinct(F.when(F.col("edge_type") == "writes", F.col("src"))).alias("writers"))
 
 
+def map_entries(known):
+    """How nodes stand in a map: ``entry``, what it costs in tokens (``test``), and what it adds (``cost``: files and others nothing)."""
+    bases = F.when(F.size("bases") > 0, F.concat(F.lit("("), F.array_join("bases", ", "), F.lit(")"))).otherwise("")
+    owned = F.when((F.col("node_type") == "method") & F.col("class_name").isNotNull(), F.concat_ws(".", "class_name", "name")).otherwise(F.col("name"))
+    sign = F.when(F.col("node_type") == "method", "\U0001f539 ").otherwise("\u26a1 ")
+    entry = (
+        F.when(F.col("node_type") == "file", F.concat(F.lit("\U0001f4c4 "), path_of())).when(F.col("node_type") == "class", F.concat(F.lit("\U0001f537 class "), "name", bases))
+        .when(F.col("node_type").isin("function", "method"), F.concat(sign, F.coalesce(F.when(F.col("signature") != "", F.col("signature")), F.concat(owned, F.lit("()"))))).otherwise(F.concat(F.lit("\u2022 "), "name"))
+    )
+    rows = known.withColumn("entry", F.coalesce(entry, F.lit("")))
+    test = F.floor(F.length("entry") * 0.25).cast("long")
+    return rows.withColumn("test", test).withColumn("cost", F.when(F.col("node_type").isin("class", "function", "method"), test).otherwise(0))
+
+
+def repo_map(spark, d, budget):
+    """Per repository its nodes by rank, until an entry overflows the token budget."""
+    known = nodes(spark, d, "node_type", "name", "file_path", "relative_path", "class_name", "signature", "bases", "node_seq").where(path_of().isNotNull())
+    ranked = known.join(graph.pagerank(edges(spark, d), nodes(spark, d, "node_type")), "id")
+    rows = map_entries(ranked).withColumn("repository", F.split(path_of(), "/")[0]).withColumn("down", -F.round("rank", 8))
+    kept = graph.budget_cut(rows.select("repository", "id", "node_type", path_of().alias("path"), "entry", "test", "cost", "down", "node_seq"), ["down", "node_seq"], "cost", budget, "repository", "test")
+    return kept.where("node_type in ('file', 'class', 'function', 'method')")
+
+
 def repo_map_budget_cut(spark, d):
-    """Per repository the classes and functions of highest degree until the token budget overflows."""
-    shown = nodes(spark, d, "node_type", "name", "file_path").where("node_type in ('class', 'function', 'method') and file_path is not null")
-    ranked = shown.join(graph.degrees(edges(spark, d)), "id").withColumn("repository", F.split("file_path", "/")[0])
-    cost = F.greatest(F.lit(1), F.floor(F.length(F.concat_ws(" ", "node_type", "name", "file_path")) * 0.25))
-    order = [F.desc("degree"), F.col("id")]
-    # An entry costs one at least, so no more than BUDGET of a repository can be kept: the rest goes before the shuffle.
-    first = ranked.withColumn("n", F.row_number().over(Window.partitionBy("repository").orderBy(*order))).where(F.col("n") <= BUDGET)
-    kept = graph.budget_cut(first.withColumn("cost", cost), order, "cost", BUDGET, "repository")
-    return kept.select("repository", "id", "degree", "cost", "running")
+    return repo_map(spark, d, BUDGET).select("repository", "id", "entry", "cost", "running")
 
 
 def trace_flow_edges(spark, d):
@@ -245,7 +270,7 @@ QUERIES = {
         nodes_by_type_counts, edges_by_type_weight, upsert_latest_node, drop_dangling_edges, callers_one_hop, callees_one_hop, callers_depth_k, file_contents, khop_subgraph_nodes, khop_induced_edges, multi_root_subgraph,
         reachable_set, reachable_typed, shortest_path_length, path_to_subgraph, entrypoint_paths_len, dependency_tree_paths,
         reachable_set_whole, reachable_typed_whole, shortest_path_length_whole, entrypoint_paths_len_whole, dead_code_antijoin, file_coupling_degrees, module_graph_nodes, module_graph_edges, pagerank_module,
-        pagerank_nodes, cycle_nodes_module, cycle_components_calls, degree_rank_topk, layering_violations, inherits_cross_file, table_lineage, repo_map_budget_cut, trace_flow_edges,
+        pagerank_nodes, cycle_nodes_module, cycle_paths_module, cycle_components_calls, cycle_components_references, degree_rank_topk, layering_violations, inherits_cross_file, table_lineage, repo_map_budget_cut, trace_flow_edges,
     )
 }
 
@@ -256,30 +281,39 @@ _MOD = """fm as (select id, case when regexp_extract(p, '^(.*)/[^/]*$', 1) = ''
 me as (select a.grp as src, b.grp as dst, count(*) weight from le join fm a on a.id = le.src join fm b on b.id = le.dst where edge_type = 'imports' and a.grp <> b.grp group by 1, 2)"""
 
 
-def _bfs(name: str, start: str, where: str, depth: int, near: str = "src", far: str = "dst") -> str:
-    return f"{name}(id, depth) as (select id, 0 from {start} union select e.{far}, depth + 1 from {name} b join (select distinct src, dst from le where {where}) e on e.{near} = b.id where depth < {depth})"
+def _bfs(name: str, start: str, where: str, depth: int | None, near: str = "src", far: str = "dst") -> str:
+    """Breadth-first search; each round adds the nodes that no round before it has reached."""
+    bound = f" and depth < {depth}" if depth is not None else ""
+    return f"{name}(id, depth) using key (id) as (select distinct id, 0 from {start} union select e.{far}, min(depth) + 1 from {name} b join (select distinct src, dst from le where {where}) e on e.{near} = b.id where e.{far} not in (select id from recurring.{name}){bound} group by e.{far})"
+
+
+def _paths(name: str, start: str, links: str, hops: int | None) -> str:
+    """As ``_bfs`` with the smallest of the shortest paths."""
+    bound = f" and hops < {hops}" if hops is not None else ""
+    return f"{name}(id, hops, path) using key (id) as (select distinct id, 0, [id] from {start} union select e.dst, min(hops) + 1, list_append(min(path), e.dst) from {name} b join {links} e on e.src = b.id where e.dst not in (select id from recurring.{name}){bound} group by e.dst)"
 
 
 _W = "edge_type in ('imports', 'contains', 'calls')"
 _CALLS, _IMPORTS_CALLS = "edge_type = 'calls'", "edge_type in ('imports', 'calls')"
+_TARGET = "tg as (select dst as id from le where edge_type = 'calls' group by dst order by count(distinct src) desc, dst limit 1)"
 _CALLABLE = "(select id from cn where node_type in ('function', 'method'))"
 
 
-def _rank(links: str, ids: str, rounds: int) -> str:
-    """PageRank unrolled: links(src, dst) with repetitions, ids(id)."""
-    text = [
-        f"pl as (select src, dst, count(*) * 1.0 / sum(count(*)) over (partition by src) share from {links} group by src, dst)",
-        f"pi as (select distinct id from {ids})",
-        "pn as (select count(*) n from pi)",
-        "r0 as materialized (select id, 1.0::double / n as rank from pi, pn)",
-    ]
-    for i in range(rounds):
-        text.append(
-            f"r{i + 1} as materialized (select pi.id, 0.15 / n + 0.85 * (select coalesce(sum(rank), 0) from r{i} where id not in (select src from pl)) / n + 0.85 * coalesce(c.came, 0) as rank "
-            f"from pi cross join pn left join (select dst, sum(rank * share) came from pl join r{i} on r{i}.id = pl.src group by dst) c on c.dst = pi.id)"
-        )
-    return ", ".join(text)
+def _rank(links: str, ids: str) -> str:
+    """PageRank as in ``graph.pagerank``: links(src, dst) with repetitions, ids(id); the result is pr(id, rank)."""
+    return f"""pl as materialized (select src, dst, count(*) * 1.0::double / sum(count(*)) over (partition by src) share from {links} group by src, dst), pi as materialized (select distinct id from {ids} where id is not null),
+pk(k, id, y) as (select 0, id, 1.0::double from pi union all select g.k + 1, pi.id, 1 + 0.85::double * coalesce(c.came, 0) from pi cross join (select max(k) k from pk) g left join (select dst, sum(share * y) came from pl join pk on pk.id = pl.src group by dst) c on c.dst = pi.id where g.k < {graph.ROUNDS}),
+pe as (select a.k, sum(abs(a.y - b.y)) / sum(a.y) as change from pk a join pk b on b.id = a.id and b.k = a.k - {graph.STEP} where a.k % {graph.STEP} = 0 group by a.k),
+pr as (select id, y / sum(y) over () as rank from pk where k = (select coalesce(min(case when change < {graph.TOLERANCE} then k end), {graph.ROUNDS}) from pe))"""
+
 
+_MAP = r"""mp as (select id, split_part(coalesce(relative_path, file_path), '/', 1) as repository, node_type, node_seq, -round(rank, 8) as down,
+  coalesce(case when node_type = 'file' then chr(128196) || ' ' || coalesce(relative_path, file_path) when node_type = 'class' then chr(128311) || ' class ' || name || case when len(bases) > 0 then '(' || array_to_string(bases, ', ') || ')' else '' end
+    when node_type in ('function', 'method') then case when node_type = 'method' then chr(128313) else chr(9889) end || ' ' || coalesce(nullif(signature, ''), case when node_type = 'method' and class_name is not null then class_name || '.' || name else name end || '()') else chr(8226) || ' ' || name end, '') as entry
+  from cn join pr using (id) where coalesce(relative_path, file_path) is not null),
+mq as (select *, cast(floor(length(entry) * 0.25) as bigint) as test, case when node_type in ('class', 'function', 'method') then cast(floor(length(entry) * 0.25) as bigint) else 0 end as cost from mp),
+ms as (select *, cast(sum(cost) over w as bigint) as running, row_number() over w as rn from mq window w as (partition by repository order by down, node_seq rows between unbounded preceding and current row)),
+mo as (select repository, min(rn) as cut from ms where running - cost + test > 1600 group by 1)"""
 
 ORACLES = {
     "nodes_by_type_counts": sql("select node_type, count(*) n from cn group by 1"),
@@ -295,8 +329,16 @@ ORACLES = {
     "multi_root_subgraph": sql(f", {_ROOTS}, m as (select id from roots union select dst from le where edge_type = 'imports' and src in (select id from roots) union select src from le where edge_type = 'imports' and dst in (select id from roots)) select distinct src, dst from le where edge_type = 'imports' and src in (select id from m) and dst in (select id from m)"),
     "reachable_set": sql(f", {_ROOTS}, {_bfs('b', 'roots', 'true', DEPTH)} select id, cast(min(depth) as integer) depth from b group by id"),
     "reachable_typed": sql(f", {_ROOTS}, {_bfs('b', 'roots', _IMPORTS_CALLS, DEPTH)}, f as (select id, min(depth) depth from b group by id) select node_type, cast(depth as integer) depth, count(*) n from f join cn using (id) group by 1, 2"),
-    "shortest_path_length": sql(f", {_ROOTS}, {_bfs('b', 'roots', _W, 5)} select id, cast(min(depth) as integer) hops, cast(min(depth) + 1 as integer) as length from b group by id"),
-    "entrypoint_paths_len": sql(f", tg as (select dst as id from le where edge_type = 'calls' group by dst order by count(distinct src) desc, dst limit 1), {_bfs('b', 'tg', _CALLS, 6, 'dst', 'src')} select id, cast(min(depth) as integer) hops from b where id not in (select dst from le where edge_type = 'calls') group by id"),
+    "shortest_path_length": sql(f", {_ROOTS}, {_bfs('b', 'roots', _W, HOPS)} select id, cast(depth as integer) hops, cast(depth + 1 as integer) as length from b"),
+    "entrypoint_paths_len": sql(f", {_TARGET}, {_bfs('b', 'tg', _CALLS, ENTRY_HOPS, 'dst', 'src')} select id, cast(depth as integer) hops from b where id not in (select dst from le where edge_type = 'calls')"),
+    "reachable_set_whole": sql(f", {_ROOTS}, {_bfs('b', 'roots', 'true', None)} select id, cast(depth as integer) depth from b"),
+    "reachable_typed_whole": sql(f", {_ROOTS}, {_bfs('b', 'roots', _IMPORTS_CALLS, None)} select node_type, cast(depth as integer) depth, count(*) n from b join cn using (id) group by 1, 2"),
+    "shortest_path_length_whole": sql(f", {_ROOTS}, {_bfs('b', 'roots', _W, None)} select id, cast(depth as integer) hops, cast(depth + 1 as integer) as length from b"),
+    "entrypoint_paths_len_whole": sql(f", {_TARGET}, {_bfs('b', 'tg', _CALLS, None, 'dst', 'src')} select id, cast(depth as integer) hops from b where id not in (select dst from le where edge_type = 'calls')"),
+    "path_to_subgraph": sql(f", {_ROOTS}, ie as (select distinct src, dst from le where edge_type = 'imports'), {_paths('b', 'roots', 'ie', HOPS)} select distinct src, dst, 'path' as edge_type from (select unnest(path[:-2]) as src, unnest(path[2:]) as dst from b where len(path) > 1)"),
+    "cycle_paths_module": sql(f", {_MOD}, rr(a, b) as (select src, dst from me union select rr.a, me.dst from rr join me on me.src = rr.b), cy as (select distinct x.a as id, max(x.b) as component from rr x join rr y on x.a = y.b and x.b = y.a group by 1), ci as (select distinct me.src, me.dst from me join cy p on p.id = me.src join cy q on q.id = me.dst where p.component = q.component), st as (select distinct component as id from cy), {_paths('b', 'st', 'ci', None)}, k as (select path[1] as component, hops, path, row_number() over (partition by path[1] order by hops, path) rn from b join ci on ci.src = b.id and ci.dst = b.path[1]) select component, cast(hops + 1 as integer) as hops, array_to_string(list_append(path, component), ' > ') as path from k where rn = 1"),
+    "cycle_components_references": sql(", ce as (select distinct src, dst from le where edge_type in ('calls', 'imports', 'inherits', 'documents', 'documented_by')), rr(a, b) as (select src, dst from ce union select rr.a, ce.dst from rr join ce on ce.src = rr.b), cy as (select x.a as id, max(x.b) as component from rr x join rr y on x.a = y.b and x.b = y.a group by 1) select component, count(*) size from cy group by 1"),
+    "cycle_components_calls": sql(", ce as (select distinct src, dst from le where edge_type = 'calls'), rr(a, b) as (select src, dst from ce union select rr.a, ce.dst from rr join ce on ce.src = rr.b), cy as (select x.a as id, max(x.b) as component from rr x join rr y on x.a = y.b and x.b = y.a group by 1) select component, count(*) size from cy group by 1"),
     "dependency_tree_paths": sql(
         f", {_ROOTS}, ie as (select distinct src, dst from le where edge_type = 'imports'), p1 as (select r.id as root, e.dst as id, e.dst = r.id as rec, r.id || ' > ' || e.dst as path from roots r join ie e on e.src = r.id) "
         "select id as root, id, 0 as depth, false as recursive, id as path from roots union all select root, id, 1, rec, path from p1 union all select p1.root, e.dst, 2, e.dst in (p1.root, p1.id), p1.path || ' > ' || e.dst from p1 join ie e on e.src = p1.id where not rec"
@@ -309,16 +351,13 @@ ORACLES = {
     ),
     "module_graph_nodes": sql(f", {_MOD} select grp as module, count(*) files from fm group by 1"),
     "module_graph_edges": sql(f", {_MOD} select * from me"),
-    "pagerank_module": sql(f", {_MOD}, {_rank('me', '(select src as id from me union select dst from me)', PAGERANK_ROUNDS)} select id, round(rank, 8) as rank from r{PAGERANK_ROUNDS}"),
-    "pagerank_nodes": sql(f", {_rank('le', 'cn', PAGERANK_ROUNDS)} select id, round(rank, 8) as rank from r{PAGERANK_ROUNDS} order by round(rank, 8) desc, id limit 100"),
+    "pagerank_module": sql(f", {_MOD}, {_rank('me', '(select src as id from me union select dst from me)')} select id, round(rank, 8) as rank from pr"),
+    "pagerank_nodes": sql(f", {_rank('le', 'cn')} select id, round(rank, 8) as rank from pr"),
     "cycle_nodes_module": sql(f", {_MOD}, rr(a, b) as (select src, dst from me union select rr.a, me.dst from rr join me on me.src = rr.b) select a as id from rr where a = b"),
     "degree_rank_topk": sql("select id, count(*) degree from (select src as id from le union all select dst from le) group by 1 order by 2 desc, 1 limit 20"),
     "layering_violations": sql(f", {_MOD} select * from me where contains(src, 'core') and contains(dst, 'view')"),
     "inherits_cross_file": sql("select b.name as base, count(distinct src) subclasses, count(distinct case when a.file_path <> b.file_path then src end) cross_file from le join cn a on a.id = src join cn b on b.id = dst where edge_type = 'inherits' group by 1"),
     "table_lineage": sql("select dst as id, count(distinct case when edge_type = 'reads' then src end) readers, count(distinct case when edge_type = 'writes' then src end) writers from le where edge_type in ('reads', 'writes') group by 1"),
-    "repo_map_budget_cut": sql(
-        ", dg as (select id, count(*) degree from (select src as id from le union all select dst from le) group by 1), x as (select split_part(file_path, '/', 1) repository, id, degree, greatest(1, cast(floor(length(node_type || ' ' || name || ' ' || file_path) * 0.25) as bigint)) as cost from cn join dg using (id) where node_type in ('class', 'function', 'method') and file_path is not null) "
-        "select * from (select *, cast(sum(cost) over (partition by repository order by degree desc, id rows between unbounded preceding and current row) as bigint) as running from x) where running <= 1600"
-    ),
+    "repo_map_budget_cut": sql(f", {_rank('le', 'cn')}, {_MAP} select ms.repository, id, entry, cost, running from ms left join mo on mo.repository = ms.repository where (cut is null or rn < cut) and node_type in ('file', 'class', 'function', 'method')"),
     "trace_flow_edges": "select event_type as src, nt as dst, count(*) n from (select event_type, lead(event_type) over (partition by user_id order by ts, event_id) nt from events) where nt is not null group by 1, 2",
 }

@@ -18,7 +18,7 @@ from .graph_queries import _rank, path_of
 
 CHURN_STATES = 2  # states of a file from which churn counts
 PERCENTILE, RATE, SAMPLE = 95, 0.05, 800
-RANK_ROUNDS = 8
+
 
 
 def _code():
@@ -118,7 +118,7 @@ def pagerank_files(spark, d):
     links = graph.cut(_file_links(spark, d))
     ids = graph.cut(links.select(F.col("src").alias("id")).union(links.select("dst")).distinct())
     n = ids.count()
-    return graph.pagerank(links, ids, iterations=RANK_ROUNDS).select(F.col("id").alias("path"), F.round(F.col("rank") * n, 6).alias("centrality"))
+    return graph.pagerank(links, ids).select(F.col("id").alias("path"), F.round(F.col("rank") * n, 6).alias("centrality"))
 
 
 def axes(spark, d):
@@ -330,7 +330,7 @@ _LINT = rf"""li as (select path, line, code from (select path, line, case when l
 ls as (select path, count(*) as findings, sum(case when regexp_matches(code, '^[EF]') then {WEIGHTS['error']}::double else {WEIGHTS['warning']}::double end) as structural from li group by 1)"""
 _CHURN = f"ch as (select relative_path as path, count(distinct mtime) as n, case when count(distinct mtime) >= {CHURN_STATES} then count(distinct mtime) * {WEIGHTS['churn']}::double else 0.0::double end as behavioral from files where relative_path is not null and mtime > 0 group by 1)"
 _LINKS = "ft as (select id, coalesce(relative_path, file_path) as file from cn where coalesce(relative_path, file_path) is not null), fl as (select distinct a.file as src, b.file as dst from le join ft a on a.id = le.src join ft b on b.id = le.dst where edge_type in ('imports', 'calls') and a.file <> b.file)"
-_FILE_RANK = f"{_LINKS}, {_rank('fl', '(select src as id from fl union select dst from fl)', RANK_ROUNDS)}, fr as (select id as path, round(rank * (select n from pn), 6) as centrality from r{RANK_ROUNDS})"
+_FILE_RANK = f"{_LINKS}, {_rank('fl', '(select src as id from fl union select dst from fl)')}, fr as (select id as path, round(rank * (select count(*) from pi), 6) as centrality from pr)"
 _AXES = f"""{_CODE}, {_TODO}, {_LINT}, {_CHURN}, {_FILE_RANK},
 fa as (select path, n_lines, len(code) as n, {_words_sql()} as hits, coalesce(list_max({_DEPTHS}), 0) as max_depth, len(list_filter({_DEPTHS}, lambda x: x > 4)) as deep, {_hits_sql(CONCURRENCY)} as conc, {_hits_sql(RISK)} as risky from cl),
 fx as (select path,

@@ -224,7 +224,7 @@ def context_for_query(spark, d):
 
     found = nodes(spark, d, "name", "docstring", "node_seq").where(F.lower("name").contains(NAME) | F.lower("docstring").contains(NAME)).orderBy("node_seq").limit(10)
     cost = F.floor(F.length(F.concat_ws(": ", "name", "docstring")) / 4)
-    return budget_cut(found.withColumn("cost", cost), [F.col("node_seq")], "cost", 512).select("id", "cost", "running")
+    return budget_cut(found.withColumn("cost", cost).withColumn("one", F.lit(1)), ["node_seq"], "cost", 512, "one").select("id", "cost", "running")
 
 
 def dedupe_first_strategy(spark, d):
