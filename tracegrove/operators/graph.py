@@ -76,11 +76,16 @@ def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = 50, direction: str = "out") -> DataFrame:
-    """Per reached node the least hops from any source and the smallest such path (as an array from source to node)."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = 50, direction: str = "out", stop_at: str | None = None) -> DataFrame:
+    """Per reached node the least hops from any source and the smallest such path (as an array from source to node).
+
+    With ``stop_at`` the search ends in the round that reaches that node.
+    """
     adjacency = Adjacency(edges, direction)
     seen = frontier = cut(sources.select("id").where("id is not null").distinct().select("id", F.lit(0).alias("hops"), F.array("id").alias("path")))
     hops = 0
+    if stop_at is not None and seen.where(F.col("id") == stop_at).take(1):
+        max_hops = 0
     while max_hops is None or hops < max_hops:
         hops += 1
         step = adjacency.step(frontier, ["path"]).groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti")
@@ -88,6 +93,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None =
         if not frontier.take(1):
             break
         seen = seen.unionByName(frontier)
+        if stop_at is not None and frontier.where(F.col("id") == stop_at).take(1):
+            break
     adjacency.close()
     return seen
 

@@ -56,6 +56,12 @@ def import_edges(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
     return linked.select("path", "seq", "raw", "target_file", "imported_name", F.coalesce("symbol", F.concat(F.lit("file::"), "target_file")).alias("target"), alias.alias("alias"), kind.alias("kind"))
 
 
+def meet(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """Every point (path, line) with every span (path, first, last) around it; both keyed by blocks of lines."""
+    blocks = spans.where("first >= 1 and last >= first").withColumn("_block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor(F.col("last") / BLOCK))))
+    return points.withColumn("_block", F.floor(F.col("line") / BLOCK)).join(blocks, ["path", "_block"]).where("line between first and last").drop("_block")
+
+
 def enclosing(points: DataFrame, spans: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``points`` (path, line and others) with the first of the ``spans`` (path, first, last and others) around each in ``order``.
 
@@ -63,8 +69,7 @@ def enclosing(points: DataFrame, spans: DataFrame, keys: list[str], order: list[
     its block; points in no span are left out.
     """
     own = [c for c in spans.columns if c != "path"]
-    blocks = spans.where("first >= 1 and last >= first").withColumn("_block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor(F.col("last") / BLOCK))))
-    met = points.withColumn("_block", F.floor(F.col("line") / BLOCK)).join(blocks, ["path", "_block"]).where("line between first and last")
+    met = meet(points, spans)
     best = met.groupBy(*keys).agg(F.min(F.struct(*order, *[c for c in own if c not in order])).alias("_s"), *[F.first(c).alias(c) for c in points.columns if c not in keys])
     return best.select(*points.columns, *[F.col("_s")[c].alias(c) for c in own])
 

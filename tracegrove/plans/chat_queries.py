@@ -8,6 +8,8 @@ from ..operators.orphans import moment
 from ..operators.relational import current_rows
 from ..sources.tables import table
 
+PROJECT = "/srv/scan/b/brisk-harvest"  # the project whose chats are listed
+
 
 def all_threads(spark, d):
     fields = ["title", "project_path", "created_at", "updated_at", "pinned_context", "summary", "deleted_at"]
@@ -26,7 +28,7 @@ def messages(spark, d):
 
 def chat_list_threads(spark, d):
     """Second page of ten of the threads without or of one project, newest first."""
-    page = threads(spark, d).where("project_path is null or contains(project_path, 'harborline')").orderBy(F.desc("updated_at"), "id")
+    page = threads(spark, d).where("project_path is null or project_path = '{}'".format(PROJECT)).orderBy(F.desc("updated_at"), "id")
     return page.offset(10).limit(10).select("id", "title", "updated_at")
 
 
@@ -45,7 +47,7 @@ def chat_thread_updated_max(spark, d):
 
 def chat_list_messages(spark, d):
     """Messages of the threads of one project in order, ties by id."""
-    mine = threads(spark, d).where("contains(project_path, 'harborline')").select(F.col("id").alias("thread_id"))
+    mine = threads(spark, d).where("project_path = '{}'".format(PROJECT)).select(F.col("id").alias("thread_id"))
     rows = messages(spark, d).where("deleted_at is null").join(mine, "thread_id", "left_semi")
     return rows.select("thread_id", "id", moment(F.col("ts")).alias("moment"), F.lower("role").alias("role"))
 
@@ -88,10 +90,10 @@ ms as (select id, min(thread_id) thread_id, min(role) as role, min(content) as c
 _M = "case when abs(ts) < 100000000000 then ts * 1000000 when abs(ts) < 100000000000000 then ts * 1000 else ts end"
 
 ORACLES = {
-    "chat_list_threads": f"{_T} select id, title, updated_at from th where project_path is null or contains(project_path, 'harborline') order by updated_at desc, id limit 10 offset 10",
+    "chat_list_threads": f"{_T} select id, title, updated_at from th where project_path is null or project_path = '{PROJECT}' order by updated_at desc, id limit 10 offset 10",
     "chat_counts": f"{_T} select 'threads' as what, count(*) n, count(deleted_at) gone from alt union all select 'messages', count(*), count(deleted_at) from ms",
     "chat_thread_updated_max": f"{_T}, l as (select thread_id, max({_M} // 1000) last_ts, count(*) n from ms where deleted_at is null and thread_id is not null group by 1) select id, greatest(updated_at, coalesce(last_ts, updated_at)) updated_at, n from th join l on l.thread_id = th.id",
-    "chat_list_messages": f"{_T} select thread_id, id, {_M} as moment, lower(role) as role from ms where deleted_at is null and thread_id in (select id from th where contains(project_path, 'harborline'))",
+    "chat_list_messages": f"{_T} select thread_id, id, {_M} as moment, lower(role) as role from ms where deleted_at is null and thread_id in (select id from th where project_path = '{PROJECT}')",
     "chat_clone": f"{_T} select 'copy-' || thread_id as id, title || ' (copy)' as title, least(count(*), 1000) messages from ms join (select id as tid, title from th where summary is not null) t on t.tid = ms.thread_id where deleted_at is null group by 1, 2",
     "chat_soft_delete": f"{_T} select project_path, count(*) threads from th where id in (select thread_id from ms where deleted_at is null and thread_id is not null) group by 1",
     "chat_scope_context": f"{_T} select project_path is not null as scoped, pinned_context is not null as pinned, summary is not null as summarised, count(*) n from th group by 1, 2, 3",

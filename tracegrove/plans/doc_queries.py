@@ -12,6 +12,7 @@ from .graph_queries import path_of
 
 STALE_SECONDS = 14 * 86400
 SECTION_CHARS = 8000
+CHUNK, OVERVIEW, SPAN, BLOCK = 4000, 150, 4000, 64  # characters of a chunk, lines of an overview, of a symbol, of a block
 # What names a symbol in text.
 EXPLICIT = r"\b(?:function|class|method)::[^\s`]+"
 DOTTED = r"\b[A-Z][A-Za-z0-9_]+\.[a-zA-Z_][a-zA-Z0-9_]*\b"
@@ -83,12 +84,37 @@ def docs_map(spark, d):
     return known.groupBy("file_path").agg(F.count("*").alias("sections"), F.array_join(F.transform(rows, lambda r: r["title"]), " | ").alias("titles"))
 
 
-def chunks_for_index(spark, d):
-    """Text chunks to embed: a heading and the first 4000 characters of each symbol's docstring; methods count as functions."""
-    known = nodes(spark, d, "node_type", "name", "docstring", "file_path").where("node_type in ('class', 'function', 'method') and docstring is not null")
+def chunks(spark, d):
+    """Chunks to index: id, name, file_path, node_type and content, of symbols, documentation sections and files.
+
+    A symbol's chunk is a heading, its docstring and its code; a file's the heading, its outline and its first
+    OVERVIEW lines; each is cut at CHUNK characters with a mark. Methods count as functions.
+    """
+    known = nodes(spark, d, "node_type", "name", "docstring", "signature", "file_path", "line_start", "line_end", "content", "title")
     kind = F.when(F.col("node_type") == "method", "function").otherwise(F.col("node_type"))
-    text = F.substring(F.concat_ws("\n", F.concat_ws(" ", kind, "name", "file_path"), "docstring"), 1, 4000)
-    return known.select("id", kind.alias("kind"), text.alias("text")).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    cut_text = lambda c: F.when(F.length(c) > CHUNK, F.concat(F.substring(c, 1, CHUNK), F.lit("\n[cut]"))).otherwise(c)
+    symbols = known.where("node_type in ('class', 'function', 'method')")
+    # A chunk is text, so text is moved here, in blocks of lines that meet the spans reaching into them.
+    spans = symbols.where("line_start >= 1 and line_end >= line_start").select("id", F.col("file_path").alias("path"), "line_start", F.least("line_end", F.col("line_start") + SPAN - 1).alias("line_end"))
+    lines = file_facts(spark, d, lines=F.when(F.col("content").isNotNull(), F.transform(T.numbered(T.lines(F.col("content"))), lambda x: F.struct(x["n"].alias("line"), F.substring(x["text"], 1, CHUNK).alias("text")))))
+    blocks = lines.select(F.col("relative_path").alias("path"), F.explode("lines").alias("l")).select("path", F.floor(F.col("l.line") / BLOCK).alias("block"), "l")
+    blocks = blocks.groupBy("path", "block").agg(F.array_sort(F.collect_list("l")).alias("lines"))
+    wanted = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("line_start") / BLOCK), F.floor(F.col("line_end") / BLOCK))))
+    inside = F.filter("lines", lambda x: (x["line"] >= F.col("line_start")) & (x["line"] <= F.col("line_end")))
+    code = wanted.join(blocks, ["path", "block"]).select("id", inside.alias("ls")).groupBy("id").agg(F.flatten(F.array_sort(F.collect_list("ls"))).alias("ls"))
+    code = code.where("size(ls) > 0").select("id", F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("code"))
+    own = symbols.join(code, "id", "left").select("id", "name", "file_path", kind.alias("node_type"), F.concat_ws("\n", F.concat_ws(" ", kind, "name", "file_path"), "signature", "docstring", "code").alias("content"))
+    texts = known.where("node_type = 'doc_section'").select("id", "name", "file_path", "node_type", F.concat_ws("\n", "title", "content").alias("content"))
+    head = file_facts(spark, d, head=F.array_join(F.slice(T.lines(F.col("content")), 1, OVERVIEW), "\n")).select(F.col("relative_path").alias("file_path"), F.substring("head", 1, CHUNK).alias("head"))
+    overview = known.where("node_type = 'file'").select("id", "name", "file_path", "node_type").join(file_outline(spark, d), "file_path", "left").join(head, "file_path", "left")
+    overview = overview.select("id", "name", "file_path", "node_type", F.concat_ws("\n", F.concat_ws(" ", F.lit("file"), "file_path"), "outline", "head").alias("content"))
+    every = own.unionByName(texts).unionByName(overview)
+    return every.withColumn("content", cut_text(F.col("content")))
+
+
+def chunks_for_index(spark, d):
+    """Chunks and characters per kind."""
+    return chunks(spark, d).groupBy(F.col("node_type").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
 def file_outline(spark, d):
@@ -124,6 +150,13 @@ ORACLES = {
     "doc_coverage": sql("select split_part(file_path, '/', 1) repository, node_type, count(*) n, round(avg(case when trim(coalesce(docstring, '')) <> '' then 1.0 else 0.0 end), 6) coverage from cn where node_type in ('class', 'function', 'method') group by 1, 2"),
     "doc_missing_top": sql("select file_path, name, id from cn where node_type in ('function', 'method') and trim(coalesce(docstring, '')) = '' order by file_path, name, id limit 20"),
     "docs_map": sql("select file_path, count(*) sections, string_agg(title, ' | ' order by coalesce(line_start, 0), id, title) titles from cn where node_type = 'doc_section' group by 1"),
-    "chunks_for_index": sql("select kind, count(*) n, cast(sum(length(substr(concat_ws(chr(10), concat_ws(' ', kind, name, file_path), docstring), 1, 4000))) as bigint) chars from (select *, case when node_type = 'method' then 'function' else node_type end as kind from cn where node_type in ('class', 'function', 'method') and docstring is not null) group by 1"),
+    "chunks_for_index": sql(
+        r", fl as (select relative_path as path, regexp_split_to_array(regexp_replace(regexp_replace(content, '\r\n|\r', chr(10), 'g'), '\n$', ''), '\n') as ls from cf where content is not null), "
+        "ol as (select file_path, string_agg(name, ', ' order by rn2) filter (where rn2 <= 50) outline from (select *, row_number() over (partition by file_path order by line_start nulls last, id) rn2 from cn where node_type in ('class', 'function', 'method') and file_path is not null) group by 1), "
+        "ch as (select case when node_type = 'method' then 'function' else node_type end as kind, concat_ws(chr(10), concat_ws(' ', case when node_type = 'method' then 'function' else node_type end, name, cn.file_path), signature, docstring, case when line_start >= 1 and line_end >= line_start and line_start <= len(ls) then array_to_string(list_slice(ls, line_start, line_end), chr(10)) end) as t from cn left join fl on fl.path = cn.file_path where node_type in ('class', 'function', 'method') "
+        "union all select node_type, concat_ws(chr(10), title, content) from cn where node_type = 'doc_section' "
+        "union all select node_type, concat_ws(chr(10), concat_ws(' ', 'file', cn.file_path), outline, substr(array_to_string(list_slice(ls, 1, 150), chr(10)), 1, 4000)) from cn left join ol on ol.file_path = cn.file_path left join fl on fl.path = cn.file_path where node_type = 'file') "
+        "select kind, count(*) n, cast(sum(length(case when length(t) > 4000 then substr(t, 1, 4000) || chr(10) || '[cut]' else t end)) as bigint) chars from ch group by 1"
+    ),
     "file_outline": sql("select file_path, count(*) symbols, string_agg(name, ', ' order by rn2) filter (where rn2 <= 50) outline, greatest(count(*) - 50, 0) as more from (select *, row_number() over (partition by file_path order by line_start nulls last, id) rn2 from cn where node_type in ('class', 'function', 'method') and file_path is not null) group by 1"),
 }

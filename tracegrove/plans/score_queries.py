@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.comments import comments
 from ..operators import graph
 from ..operators.relational import first_by, positions
-from ..operators.skew import skew_join
+from ..operators.resolve import meet
 from ..schema import CONCURRENCY, ENTRY_DECORATORS, ENTRY_FILES, ENTRY_META, ENTRY_NAMES, LOGIC_LANGUAGE, LOGIC_WORDS, RISK, WEIGHTS
 from ..sources.tables import table
 from .base import edges, file_facts, file_rows, files, functions, nodes, sql
@@ -18,6 +18,13 @@ from .graph_queries import _rank, path_of
 
 CHURN_STATES = 2  # states of a file from which churn counts
 PERCENTILE, RATE, SAMPLE = 95, 0.05, 800
+AXES = ["structural", "behavioral", "semantic", "graph"]  # those that calibration weighs
+PROJECT_MARKS = {"@staticmethod": 0.5}  # a project's own decorators of entrypoints
+# Findings told from a line, by the codes of common linters.
+LINT = {
+    "E501": r"^.{121,}", "W291": r"[^ \t][ \t]+$", "W293": r"^[ \t]+$", "E711": r"[=!]= *None\b", "E712": r"[=!]= *(?:True|False)\b", "E722": r"^[ \t]*except[ \t]*:", "E703": r"^[^#\"']*;[ \t]*$",
+    "E731": r"^[ \t]*\w+ = lambda\b", "E401": r"^[ \t]*import \w[\w.]*, *\w", "W191": r"^ *\t",
+}
 
 
 
@@ -83,11 +90,13 @@ def todo_comment_scan(spark, d):
 
 
 def lint(spark, d):
-    """Findings in Python files: lines over 120 characters (an error) and white space at the end of a line (a warning)."""
-    code = lambda x: F.when(F.length(x) > 120, "E501").when(x.rlike(r"[ \t]$"), "W291")
-    found = F.filter(F.transform(T.numbered(T.lines(F.col("content"))), lambda x: F.struct(x["n"].alias("line"), code(x["text"]).alias("code"))), lambda x: x["code"].isNotNull())
+    """Findings in Python files, each line against each pattern of ``LINT``."""
+    codes = lambda x: F.filter(F.array(*[F.when(x["text"].rlike(p), F.lit(c)) for c, p in LINT.items()]), lambda c: c.isNotNull())
+    anything = "|".join(f"(?:{p})" for p in LINT.values())
+    lines = F.filter(T.numbered(T.lines(F.col("content"))), lambda x: x["text"].rlike(anything))
+    found = F.transform(lines, lambda x: F.struct(x["n"].alias("line"), codes(x).alias("codes")))
     rows = file_facts(spark, d, found=F.when(T.extension(F.col("relative_path")) == "py", found))
-    return rows.select(F.col("relative_path").alias("path"), F.explode("found").alias("f")).select("path", "f.*")
+    return rows.select(F.col("relative_path").alias("path"), F.explode("found").alias("f")).select("path", "f.line", F.explode("f.codes").alias("code"))
 
 
 def lint_structural_score(spark, d):
@@ -155,7 +164,7 @@ def hotspot_total_report(spark, d):
 
 
 def hotspot_high(spark, d):
-    return axes(spark, d).where(F.col("total") >= WEIGHTS["high"]).select("path", "total").orderBy(F.desc("total"), "path").limit(100)
+    return axes(spark, d).where(F.col("total") >= WEIGHTS["high"]).select("path", "total")
 
 
 def hotspot_in_scope_semijoin(spark, d):
@@ -165,19 +174,19 @@ def hotspot_in_scope_semijoin(spark, d):
 
 
 def hotspot_left_join_rank(spark, d):
-    """The nodes of highest degree with their file's churn score, best first, unknown scores last."""
+    """Nodes with their degree and their file's churn score; unknown scores are -1."""
     ranked = graph.degrees(edges(spark, d)).join(nodes(spark, d, "file_path", "relative_path"), "id").select("id", "degree", path_of().alias("path"))
     scored = ranked.join(churn_window_count(spark, d).select("path", "behavioral"), "path", "left")
     icon = F.when(F.col("behavioral") > 1, "high").when(F.col("behavioral") > 0, "some").otherwise("none")
-    return scored.select("id", "degree", F.coalesce("behavioral", F.lit(-1.0)).alias("score"), icon.alias("icon")).orderBy(F.desc("score"), F.desc("degree"), "id").limit(50)
+    return scored.select("id", "degree", F.coalesce("behavioral", F.lit(-1.0)).alias("score"), icon.alias("icon"))
 
 
 def function_issue_rangejoin(spark, d):
     """Weights of findings and marked comments per function that holds their line."""
     issues = todo_comment_scan(spark, d).select("path", "line", F.col("weight").alias("semantic"), F.lit(0.0).alias("structural"))
     issues = issues.unionByName(lint(spark, d).select("path", "line", F.lit(0.0).alias("semantic"), F.when(F.col("code").rlike("^[EF]"), WEIGHTS["error"]).otherwise(WEIGHTS["warning"]).alias("structural")))
-    spans = functions(spark, d, "file_path", "line_start", "line_end").where("line_start > 0 and line_end is not null").select("id", F.col("file_path").alias("path"), "line_start", "line_end")
-    held = skew_join(issues, spans, "path").where("line between line_start and line_end")
+    spans = functions(spark, d, "file_path", "line_start", "line_end").where("line_start > 0 and line_end is not null").select("id", F.col("file_path").alias("path"), F.col("line_start").alias("first"), F.col("line_end").alias("last"))
+    held = meet(issues, spans)
     return held.groupBy("id").agg(F.count("*").alias("issues"), F.sum("semantic").alias("semantic"), F.sum("structural").alias("structural"))
 
 
@@ -192,13 +201,34 @@ def file_degrees(spark, d):
     return links.groupBy("src").agg(F.count("*").cast("double").alias("behavioral")).select(F.lit("out").alias("axis"), "behavioral")
 
 
+def calibration(spark, d):
+    """What the distribution of scores recommends, over a stable sample of at most SAMPLE files.
+
+    The threshold is the n-th largest total, n being the share RATE of the files; per axis its share of all totals
+    and its percentile PERCENTILE by linear interpolation.
+    """
+    rows = axes(spark, d).withColumn("hash", F.sha2("path", 256)).withColumn("one", F.lit(1))
+    rows = graph.cut(rows)
+    total = rows.count()
+    if total > SAMPLE:
+        rows = positions(rows, "one", ["hash", "path"]).where((F.col("pos") - 1) % max(1, total // SAMPLE) == 0).orderBy("hash", "path").limit(SAMPLE)
+    rows = graph.cut(rows.select("path", "total", *AXES))
+    n = rows.count()
+    take = max(1, int(n * RATE))
+    every = F.sum("total")
+    shares = [F.round(F.when(every > 0, F.sum(a) / every).otherwise(0.0), 6).alias(f"share_{a}") for a in AXES]
+    marks = [F.round(F.percentile(a, F.lit(PERCENTILE / 100)), 2).alias(f"p_{a}") for a in AXES]
+    nth = rows.orderBy(F.desc("total"), "path").limit(take).agg(F.round(F.min("total"), 2).alias("threshold"))  # of the sample, so bounded
+    return rows.agg(F.count("*").alias("files"), *shares, *marks).join(nth, F.lit(True)).withColumn("n", F.lit(take).cast("long"))
+
+
 def calibration_threshold(spark, d):
-    """The n-th largest score, n being the share RATE of the files, and the percentile next to it."""
-    scores = lint_structural_score(spark, d)
+    """The n-th largest score of findings, n being the share RATE of all files that have any; no task sorts them whole."""
+    scores = graph.cut(lint_structural_score(spark, d).select("path", "structural").withColumn("down", -F.col("structural")).withColumn("one", F.lit(1)))
     n = scores.count()
     take = max(1, int(n * RATE))
-    nth = scores.orderBy(F.desc("structural"), "path").limit(take).agg(F.min("structural").alias("threshold"))
-    return nth.select("threshold", F.lit(take).cast("long").alias("n"), F.lit(n).cast("long").alias("files"))
+    placed = positions(scores, "one", ["down", "path"]).where(F.col("pos") == min(take, max(1, n)))
+    return placed.select(F.col("structural").alias("threshold"), F.lit(take).cast("long").alias("n"), F.lit(n).cast("long").alias("files"))
 
 
 def stable_hash_sample(spark, d):
@@ -219,7 +249,7 @@ def _entrypoints(spark, d):
     base = pick(ENTRY_NAMES, F.lower("name")) * F.when(F.col("node_type") == "method", 0.5).otherwise(1.0)
     at_main = F.lower("file_path").rlike(r"main\.py|app\.py|cli\.py")
     by_name = named.withColumn("base", F.when(at_main & (base > 0), F.least(F.lit(0.95), base + 0.3)).otherwise(base)).select("id", "base", F.lit(2).alias("prio"))
-    marks = [F.when(F.exists(F.coalesce("decorators", F.array().cast("array<string>")), _holds(k)), v).otherwise(0.0) for k, v in ENTRY_DECORATORS.items()]
+    marks = [F.when(F.exists(F.coalesce("decorators", F.array().cast("array<string>")), _holds(k)), v).otherwise(0.0) for k, v in (ENTRY_DECORATORS | PROJECT_MARKS).items()]
     metas = [F.when(F.coalesce(F.col("meta")[k], F.lit("false")).isin("true", "True", "1"), v).otherwise(0.0) for k, v in ENTRY_META.items()]
     by_mark = known.where("node_type in ('function', 'method', 'class')").withColumn("base", F.greatest(*marks, *metas)).select("id", "base", F.lit(3).alias("prio"))
     return first_by(by_file.unionByName(by_name).unionByName(by_mark).where("base > 0"), ["id"], [F.col("prio")])
@@ -230,16 +260,22 @@ def entrypoint_candidates(spark, d):
 
 
 def entrypoint_scores(spark, d):
-    """0.7 base + 0.3 min(1, reach / 100), the reach over calls within five steps, the node itself included.
+    """Every candidate by 0.7 base + 0.3 min(1, reach / 100), the reach over calls within five steps, the node itself included."""
+    return _scored_entrypoints(spark, d)
 
-    Candidates are the uncalled functions that call most: reach is counted per candidate in one search that
-    carries the root; only nodes new to a root go on.
-    """
+
+def _scored_entrypoints(spark, d):
+    found = graph.cut(_entrypoints(spark, d).select("id", "base"))
+    reach = _reach(edges(spark, d, "calls").select("src", "dst").distinct(), found)
+    score = F.round(0.7 * F.col("base") + 0.3 * F.least(F.lit(1.0), F.col("reach") / 100), 6)
+    return found.join(reach, "id").select("id", "reach", score.alias("score"))
+
+
+def entrypoint_reach(spark, d):
+    """How many nodes each uncalled function reaches over calls within five steps, itself included."""
     calls = graph.cut(edges(spark, d, "calls").select("src", "dst").distinct())
     uncalled = calls.select(F.col("src").alias("id")).distinct().join(calls.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
-    best = calls.join(uncalled.withColumnRenamed("id", "src"), "src", "left_semi").groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(50)
-    reach = _reach(calls, best.select(F.col("src").alias("id")))
-    return reach.select("id", "reach", F.round(0.7 * 0.5 + 0.3 * F.least(F.lit(1.0), F.col("reach") / 100), 6).alias("score"))
+    return _reach(calls, uncalled)
 
 
 def _reach(calls, starts):
@@ -257,10 +293,7 @@ def _reach(calls, starts):
 
 def entrypoint_scores_whole(spark, d):
     """The score of every candidate of ``entrypoint_candidates`` with its own base, and its place."""
-    found = graph.cut(_entrypoints(spark, d).select("id", "base"))
-    reach = _reach(edges(spark, d, "calls").select("src", "dst").distinct(), found)
-    score = F.round(0.7 * F.col("base") + 0.3 * F.least(F.lit(1.0), F.col("reach") / 100), 6)
-    scored = found.join(reach, "id").select("id", "reach", score.alias("score")).withColumn("one", F.lit(1)).withColumn("down", -F.col("score"))
+    scored = _scored_entrypoints(spark, d).withColumn("one", F.lit(1)).withColumn("down", -F.col("score"))
     return positions(scored, "one", ["down", "id"], "place").select("id", "reach", "score", "place")
 
 
@@ -268,7 +301,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         indent_depth, keyword_density, regex_marker_hits, todo_comment_scan, lint_structural_score, churn_window_count, events_churn, pagerank_files, hotspot_total_report, hotspot_high, hotspot_in_scope_semijoin,
-        hotspot_left_join_rank, function_issue_rangejoin, axis_percentiles, calibration_threshold, stable_hash_sample, entrypoint_candidates, entrypoint_scores, entrypoint_scores_whole,
+        hotspot_left_join_rank, function_issue_rangejoin, axis_percentiles, calibration, calibration_threshold, stable_hash_sample, entrypoint_candidates, entrypoint_scores, entrypoint_scores_whole, entrypoint_reach,
     )
 }
 
@@ -325,8 +358,8 @@ cm as (select path, cast(before_ + o as integer) as line, said from (select path
 _TODO = rf"""{_comment_sql()},
 td as (select path, line, kind, case kind when 'todo' then {WEIGHTS['todo']}::double when 'fixme' then {WEIGHTS['fixme']}::double else {WEIGHTS['hack']}::double end as weight
   from (select path, line, lower(regexp_extract(said, '(?i)(TODO|FIXME|HACK)', 1)) as kind from cm where regexp_matches(said, '(?i)TODO|FIXME|HACK')))"""
-_LINT = rf"""li as (select path, line, code from (select path, line, case when length(text) > 120 then 'E501' when regexp_matches(text, '[ \t]$') then 'W291' end as code from (
-  select relative_path as path, unnest(ls) as text, cast(generate_subscripts(ls, 1) as integer) as line from (select relative_path, {_sql_lines('content')} as ls from cf where {_EXT} = 'py' and content is not null))) where code is not null),
+_LINT = rf"""li as (select path, line, unnest(codes) as code from (select path, line, list_filter([{", ".join("case when regexp_matches(text, '" + p.replace("'", "''") + "') then '" + c + "' end" for c, p in LINT.items())}], lambda x: x is not null) as codes from (
+  select relative_path as path, unnest(ls) as text, cast(generate_subscripts(ls, 1) as integer) as line from (select relative_path, {_sql_lines('content')} as ls from cf where {_EXT} = 'py' and content is not null)))),
 ls as (select path, count(*) as findings, sum(case when regexp_matches(code, '^[EF]') then {WEIGHTS['error']}::double else {WEIGHTS['warning']}::double end) as structural from li group by 1)"""
 _CHURN = f"ch as (select relative_path as path, count(distinct mtime) as n, case when count(distinct mtime) >= {CHURN_STATES} then count(distinct mtime) * {WEIGHTS['churn']}::double else 0.0::double end as behavioral from files where relative_path is not null and mtime > 0 group by 1)"
 _LINKS = "ft as (select id, coalesce(relative_path, file_path) as file from cn where coalesce(relative_path, file_path) is not null), fl as (select distinct a.file as src, b.file as dst from le join ft a on a.id = le.src join ft b on b.id = le.dst where edge_type in ('imports', 'calls') and a.file <> b.file)"
@@ -343,10 +376,19 @@ ax as (select f.relative_path as path, coalesce(structural, 0) as structural, co
   left join (select dst, count(*) n from fl group by 1) i on i.dst = f.relative_path left join (select src, count(*) n from fl group by 1) o on o.src = f.relative_path left join fr on fr.path = f.relative_path),
 at2 as (select path, round(structural, 4) as structural, round(semantic, 4) as semantic, round(behavioral, 4) as behavioral, round(graph, 4) as graph, round(complexity, 4) as complexity, round(risk, 4) as risk,
   round(structural + semantic + behavioral + graph + complexity + risk, 4) as total from ax)"""
-_DECO = "greatest(" + ", ".join([f"case when len(list_filter(coalesce(decorators, []), lambda x: contains(lower(x), '{k}'))) > 0 then {v} else 0.0 end" for k, v in ENTRY_DECORATORS.items()] + [f"case when coalesce(meta['{k}'], 'false') in ('true', 'True', '1') then {v} else 0.0 end" for k, v in ENTRY_META.items()]) + ")"
+_DECO = "greatest(" + ", ".join([f"case when len(list_filter(coalesce(decorators, []), lambda x: contains(lower(x), '{k}'))) > 0 then {v} else 0.0 end" for k, v in (ENTRY_DECORATORS | PROJECT_MARKS).items()] + [f"case when coalesce(meta['{k}'], 'false') in ('true', 'True', '1') then {v} else 0.0 end" for k, v in ENTRY_META.items()]) + ")"
 _NAMED = "case lower(name) " + " ".join(f"when '{k}' then {v}" for k, v in ENTRY_NAMES.items()) + " else 0.0 end * case when node_type = 'method' then 0.5 else 1.0 end"
 _FILED = "case lower(regexp_extract(coalesce(relative_path, file_path), '([^/]*)$', 1)) " + " ".join(f"when '{k}' then {v}" for k, v in ENTRY_FILES.items()) + " else 0.0 end"
 
+_CANDIDATES = f"c3 as (select id, {_FILED} base, 1 prio from cn where node_type = 'file' union all select id, case when b > 0 and regexp_matches(lower(file_path), 'main\\.py|app\\.py|cli\\.py') then least(0.95, b + 0.3) else b end, 2 from (select *, {_NAMED} b from cn where node_type in ('function', 'method')) union all select id, {_DECO}, 3 from cn where node_type in ('function', 'method', 'class')), ep as (select id, base, prio from (select *, row_number() over (partition by id order by prio) rn2 from c3 where base > 0) where rn2 = 1)"
+
+
+def _reached(starts: str) -> str:
+    return f"ce2 as (select distinct src, dst from le where edge_type = 'calls'), w(root, id, k) as (select id, id, 0 from {starts} union select w.root, ce2.dst, k + 1 from w join ce2 on ce2.src = w.id where k < 5), wr as (select root as id, count(distinct id) reach from w group by 1)"
+
+
+_SCORED = f"{_CANDIDATES}, {_reached('ep')}, sc as (select ep.id, reach, round(0.7 * base + 0.3::double * least(1.0, reach / 100), 6)::double score from ep join wr using (id))"
+
 ORACLES = {
     "indent_depth": sql(f", {_CODE} select path, cast(coalesce(list_max({_DEPTHS}), 0) as integer) max_depth, cast(len(list_filter({_DEPTHS}, lambda x: x > 4)) as integer) deep_lines, cast(n_lines as integer) n_lines from cl"),
     "keyword_density": sql(f", {_CODE} select path, cast(hits as integer) hits, cast(n as integer) code_lines, round(case when n > 0 then hits / n else 0.0 end, 6) density from (select path, {_words_sql()} as hits, len(code) as n from cl)"),
@@ -357,13 +399,17 @@ ORACLES = {
     "events_churn": "select user_id, count(*) n from events where ts >= (select max(ts) from events) - interval 7 days group by 1",
     "pagerank_files": sql(f", {_FILE_RANK} select * from fr"),
     "hotspot_total_report": sql(f", {_AXES} select * from at2"),
-    "hotspot_high": sql(f", {_AXES} select path, total from at2 where total >= {WEIGHTS['high']} order by total desc, path limit 100"),
+    "hotspot_high": sql(f", {_AXES} select path, total from at2 where total >= {WEIGHTS['high']}"),
     "hotspot_in_scope_semijoin": sql(f", {_AXES} select path, total from at2 where path in (select regexp_replace(dst, '^file::', '') from le where edge_type = 'imports')"),
-    "hotspot_left_join_rank": sql(f", {_CHURN}, dg as (select id, count(*) degree from (select src as id from le union all select dst from le) group by 1) select id, degree, coalesce(behavioral, -1.0)::double as score, case when behavioral > 1 then 'high' when behavioral > 0 then 'some' else 'none' end as icon from dg join cn using (id) left join ch on ch.path = coalesce(relative_path, file_path) order by 3 desc, degree desc, id limit 50"),
+    "hotspot_left_join_rank": sql(f", {_CHURN}, dg as (select id, count(*) degree from (select src as id from le union all select dst from le) group by 1) select id, degree, coalesce(behavioral, -1.0)::double as score, case when behavioral > 1 then 'high' when behavioral > 0 then 'some' else 'none' end as icon from dg join cn using (id) left join ch on ch.path = coalesce(relative_path, file_path)"),
     "function_issue_rangejoin": sql(f", {_TODO}, {_LINT}, iss as (select path, line, weight as semantic, 0.0::double as structural from td union all select path, line, 0.0::double, case when regexp_matches(code, '^[EF]') then {WEIGHTS['error']}::double else {WEIGHTS['warning']}::double end from li) select id, count(*) issues, sum(semantic) semantic, sum(structural) structural from iss join cn on cn.file_path = iss.path and line between line_start and line_end where node_type in ('function', 'method') and line_start > 0 group by 1"),
     "axis_percentiles": sql(f", {_CHURN}, {_LINKS}, x as (select 'out' as axis, count(*)::double as v from fl group by src union all select 'churn', behavioral from ch) select axis, round(quantile_cont(v, 0.5), 6) p50, round(quantile_cont(v, 0.9), 6) p90, round(quantile_cont(v, 0.95), 6) p95 from x group by 1"),
     "calibration_threshold": sql(f", {_LINT}, k as (select greatest(1, cast(floor(count(*) * {RATE}) as bigint)) n, count(*) files from ls) select min(structural) threshold, max(n) n, max(files) files from (select structural, row_number() over (order by structural desc, path) rn from ls), k where rn <= n"),
     "stable_hash_sample": f"select relative_path from (select relative_path, h, row_number() over (order by h, relative_path) - 1 p, greatest(1, count(*) over () // {SAMPLE}) step from (select distinct relative_path, sha256(relative_path) h from files where relative_path is not null)) where p % step = 0 order by h, relative_path limit {SAMPLE}",
-    "entrypoint_candidates": sql(f", c3 as (select id, {_FILED} base, 1 prio from cn where node_type = 'file' union all select id, case when b > 0 and regexp_matches(lower(file_path), 'main\\.py|app\\.py|cli\\.py') then least(0.95, b + 0.3) else b end, 2 from (select *, {_NAMED} b from cn where node_type in ('function', 'method')) union all select id, {_DECO}, 3 from cn where node_type in ('function', 'method', 'class')) select id, round(base, 6)::double base, prio as strategy from (select *, row_number() over (partition by id order by prio) rn2 from c3 where base > 0) where rn2 = 1"),
-    "entrypoint_scores": sql(", ce2 as (select distinct src, dst from le where edge_type = 'calls'), rt as (select src from ce2 where src not in (select dst from ce2) group by src order by count(*) desc, src limit 50), w(root, id, k) as (select src, src, 0 from rt union select w.root, ce2.dst, k + 1 from w join ce2 on ce2.src = w.id where k < 5) select root as id, count(distinct id) reach, round(0.35 + 0.3::double * least(1.0, count(distinct id) / 100), 6) score from w group by 1"),
+    "entrypoint_candidates": sql(f", {_CANDIDATES} select id, round(base, 6)::double base, prio as strategy from ep"),
+    "entrypoint_scores": sql(f", {_SCORED} select id, reach, score from sc"),
+    "entrypoint_scores_whole": sql(f", {_SCORED} select id, reach, score, cast(row_number() over (order by -score, id) as integer) place from sc"),
+    "entrypoint_reach": sql(f", {_reached('(select distinct src as id from le where edge_type = %r and src not in (select dst from le where edge_type = %r))' % ('calls', 'calls'))} select id, reach from wr"),
+    "calibration": sql(f", {_AXES}, sm as (select * from (select *, row_number() over (order by sha256(path), path) - 1 as p, count(*) over () as n from at2) where n <= {SAMPLE} or p % greatest(1, n // {SAMPLE}) = 0 order by sha256(path), path limit {SAMPLE}), nn as (select greatest(1, cast(floor(count(*) * {RATE}) as bigint)) n from sm) "
+        "select count(*) files, " + ", ".join(f"round(sum({a}) / sum(total), 6) share_{a}, round(quantile_cont({a}, {PERCENTILE / 100}), 2) p_{a}" for a in AXES) + ", (select round(min(total), 2) from (select total, row_number() over (order by total desc, path) rn from sm), nn where rn <= n) threshold, (select n from nn) n from sm"),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -13,8 +15,9 @@ from ..session import cut
 from ..sources.tables import table
 from .base import file_facts, nodes, sql
 
-NAME, TEXT, PREFER = "record", "retry", "class"
-K, BLOCK = 10, 2000  # neighbours; query vectors broadcast at once
+NAME, TEXT, PREFER, REPOSITORY = "record", "retry", "class", "harborline"
+K = 10  # neighbours
+CHUNK, BLOCK = 50_000, 4_000  # rows and query vectors that meet in one task
 
 
 def _ranked(spark, d, query):
@@ -39,7 +42,7 @@ def resolve_symbol_scores(spark, d):
 
 
 def search_path_prefix(spark, d):
-    return _ranked(spark, d, NAME).where(F.col("file_path").startswith("harborline/")).orderBy(F.desc("exact"), "first_seq", "node_seq").limit(10).select("id", "name", "file_path")
+    return _ranked(spark, d, NAME).where(F.col("file_path").startswith(f"{REPOSITORY}/")).orderBy(F.desc("exact"), "first_seq", "node_seq").limit(10).select("id", "name", "file_path")
 
 
 def _hits(text):
@@ -60,50 +63,44 @@ def grep_counts(spark, d):
     return rows.groupBy(F.split("relative_path", "/")[0].alias("repository")).agg(F.sum("n").alias("n"))
 
 
-def _nearest(spark, rows, queries, k, metric, but_itself=True):
-    """Exact k nearest rows of each query vector, without the query itself if so wished.
+def _nearest(rows, queries, k, metric, but_itself=True):
+    """Exact k nearest rows of each query vector, without the query itself if so wished, in one job.
 
-    Queries are taken in blocks of ``BLOCK``: one block is collected and broadcast, its result is written to the
-    shared folder, and its broadcast freed before the next is collected. Each task keeps the k best of its own rows
-    per query, and one window merges the tasks' bests. Distances equal to six places are told apart by the id at
-    every cut, so rows and ranks do not depend on how the table is split.
+    Rows lie in chunks and queries in blocks by a hash of their id; every block meets every chunk in a task of its
+    own, which holds ``CHUNK`` rows and ``BLOCK`` queries at most about. It keeps the k best of its rows per query, and
+    one window merges them. Distances equal to six places are told apart by the id at every cut, so rows and ranks
+    do not depend on how the table is split. Null vectors are left out; several rows of one id are all neighbours.
     """
     shape = "query_id long, vec_id long, d double, r double"
-    wanted = queries.select("vec_id", "embedding").where("embedding is not null").withColumn("one", F.lit(1))
-    wanted = cut(positions(wanted, "one", ["vec_id"]).select("vec_id", "embedding", F.floor((F.col("pos") - 1) / BLOCK).alias("block")))
-    total, out = wanted.count(), None
+    rows = rows.where("embedding is not null").select("vec_id", "embedding")
+    queries = queries.where("embedding is not null").select("vec_id", "embedding")
+    n_rows, n_queries = rows.count(), queries.count()
+    chunks, blocks = max(4, -(-n_rows // CHUNK)), max(1, -(-n_queries // BLOCK))
+    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = rows.withColumn("chunk", part(chunks)).withColumn("block", each(blocks))
+    right = queries.withColumn("block", part(blocks)).withColumn("chunk", each(chunks))
+
+    def best(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        kept = [pd.DataFrame({"query_id": [], "vec_id": [], "d": [], "r": []})]
+        if len(own) and len(asked):
+            mine, m = own["vec_id"].to_numpy(), np.array(own["embedding"].tolist(), np.float64)
+            ids, vectors = asked["vec_id"].to_numpy(), np.array(asked["embedding"].tolist(), np.float64)
+            for a in range(0, len(ids), 64):
+                q = vectors[a : a + 64]
+                if metric == "l2":
+                    dist = np.stack([((m - x) ** 2).sum(axis=1) for x in q])
+                else:
+                    norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None, :]
+                    dist = -np.divide(q @ m.T, norm, out=np.zeros((len(q), len(m))), where=norm > 0)
+                if but_itself:
+                    dist[ids[a : a + 64][:, None] == mine[None, :]] = np.inf
+                kept.append(_nearest_of(ids[a : a + 64], mine, dist, k))
+        return pd.concat(kept[1:] or kept)
+
+    found = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(best, shape)
     w = Window.partitionBy("query_id").orderBy("r", "vec_id")
-    for block in range(-(-max(total, 1) // BLOCK)):
-        part = wanted.where(F.col("block") == block).collect()
-        held = spark.sparkContext.broadcast((np.array([r.vec_id for r in part], np.int64), np.array([r.embedding for r in part], np.float64)))
-
-        def best(batches, held=held):
-            ids, vectors = held.value
-            kept: list[pd.DataFrame] = []
-            for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                mine, m = batch["vec_id"].to_numpy(), np.array(batch["embedding"].tolist(), np.float64)
-                for a in range(0, len(ids), 256):
-                    q = vectors[a : a + 256]
-                    if metric == "l2":
-                        dist = np.stack([((m - x) ** 2).sum(axis=1) for x in q])
-                    else:
-                        norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None, :]
-                        dist = -np.divide(q @ m.T, norm, out=np.zeros((len(q), len(m))), where=norm > 0)
-                    if but_itself:
-                        dist[ids[a : a + 256][:, None] == mine[None, :]] = np.inf
-                    kept.append(_nearest_of(ids[a : a + 256], mine, dist, k))
-                if len(kept) > 50:
-                    kept = [_best(pd.concat(kept), k)]
-            if kept:
-                yield _best(pd.concat(kept), k)
-
-        found = rows.where("embedding is not null").select("vec_id", "embedding").mapInPandas(best, shape)
-        found = cut(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-        held.destroy()
-        out = found if out is None else out.unionByName(found)
-    return out
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _nearest_of(ids, mine, dist, k: int) -> pd.DataFrame:
@@ -120,21 +117,16 @@ def _nearest_of(ids, mine, dist, k: int) -> pd.DataFrame:
     return pd.DataFrame({"query_id": ids[q], "vec_id": mine[at], "d": dist[q, at], "r": r[q, at]})
 
 
-def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best of each query, distances equal to six places told apart by the id."""
-    return rows.sort_values(["query_id", "r", "vec_id"], kind="stable").groupby("query_id").head(k)
-
-
 def knn_l2_topk(spark, d):
     rows = table(spark, d, "embeddings")
-    found = _nearest(spark, rows, rows.where("vec_id % 100 = 0"), K, "l2")
+    found = _nearest(rows, rows.where("vec_id % 100 = 0"), K, "l2")
     return found.select("query_id", "vec_id", "rank", F.round("d", 4).alias("distance"), F.round(1 / (1 + F.col("d")), 5).alias("score"))
 
 
 def knn_filtered_type(spark, d):
     """The filter comes before the search."""
     rows = table(spark, d, "embeddings")
-    found = _nearest(spark, rows.where("label % 2 = 0"), rows.where("vec_id % 100 = 0"), K, "l2")
+    found = _nearest(rows.where("label % 2 = 0"), rows.where("vec_id % 100 = 0"), K, "l2")
     return found.select("query_id", "vec_id", "rank", F.round("d", 4).alias("distance"))
 
 
@@ -143,29 +135,40 @@ def cosine_router(spark, d):
     rows = table(spark, d, "embeddings").where("embedding is not null")
     parts = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     centres = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre"))
-    found = _nearest(spark, centres.select(F.col("label").cast("long").alias("vec_id"), F.col("centre").alias("embedding")), rows.where("vec_id % 100 = 0"), 1, "cosine", but_itself=False)
+    found = _nearest(centres.select(F.col("label").cast("long").alias("vec_id"), F.col("centre").alias("embedding")), rows.where("vec_id % 100 = 0"), 1, "cosine", but_itself=False)
     return found.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("label"), F.round(-F.col("d"), 6).alias("score")).where("score >= 0.1")
 
 
 def token_overlap_router(spark, d):
-    """Threads routed to the best intent by shared words: shared / greatest(6, words of the intent)."""
-    return _route_threads(spark, d, INTENTS)
+    """Threads routed by their title: the first intent of which it holds a phrase (0.9), else the one that shares most words.
+
+    The share is of the title's words of three characters or more, at least six; below 0.12 there is none. Of equal
+    shares the first intent counts.
+    """
+    title = F.lower(F.coalesce("title", F.lit("")))
+    words = F.array_distinct(F.regexp_extract_all(title, F.lit("[a-z0-9_]{3,}"), F.lit(0)))
+    rows = _threads(spark, d).select("id", title.alias("title"), words.alias("words"))
+    phrase = F.lit(None).cast("string")
+    for phrases, intent in reversed(PHRASES):
+        holds = F.lit(False)
+        for p in phrases:
+            holds = holds | F.contains("title", F.lit(p))
+        phrase = F.when(holds, intent).otherwise(phrase)
+    options = [F.struct((F.size(F.array_intersect("words", F.array(*map(F.lit, intent_words(name))))) / F.greatest(F.lit(6.0), F.size("words"))).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("intent")) for i, name in enumerate(INTENTS)]
+    best = F.greatest(*options)
+    score = F.when(F.col("phrase").isNotNull(), 0.9).otherwise(best["score"])
+    rows = rows.withColumn("phrase", phrase)
+    return rows.select("id", F.when(F.col("phrase").isNotNull(), F.col("phrase")).when(best["score"] >= 0.12, best["intent"]).otherwise("none").alias("intent"), F.round(score, 6).alias("score"))
 
 
 def token_overlap_router_whole(spark, d):
-    """The same over all intents of the project."""
-    return _route_threads(spark, d, INTENTS | MORE_INTENTS)
+    """How many threads go to each intent."""
+    return token_overlap_router(spark, d).groupBy("intent").agg(F.count("*").alias("threads"))
 
 
-def _route_threads(spark, d, intents):
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""))
-    threads = _threads(spark, d).select("id", words.alias("words"))
-    options = []
-    for i, (intent, text) in enumerate(intents.items()):
-        own = F.array(*[F.lit(w) for w in sorted(set(text.split()))])
-        options.append(F.struct((F.size(F.array_intersect("words", own)) / F.lit(float(max(6, len(set(text.split())))))).alias("score"), F.lit(-i).alias("order"), F.lit(intent).alias("intent")))
-    best = F.greatest(*options)
-    return threads.select("id", F.when(best["score"] >= 0.12, best["intent"]).otherwise("none").alias("intent"), F.round(best["score"], 6).alias("score"))
+def intent_words(name: str) -> list[str]:
+    """The words of an intent's name and description that tell something."""
+    return sorted(set(re.findall("[a-z0-9_]{3,}", f"intent.{name} {INTENTS[name]}")) - STOP)
 
 
 def _threads(spark, d):
@@ -174,27 +177,33 @@ def _threads(spark, d):
     return threads(spark, d)
 
 
+# Phrases that settle the intent, in order, and words that do not count.
+PHRASES = [
+    (("dead code", "unused", "unreachable"), "dead_code"), (("impact", "blast radius", "what breaks"), "change_impact"), (("dependency tree", "depends on"), "graph_dependency_tree"),
+    (("dependency path", "path between", "between"), "graph_path"), (("hotspot", "tension", "risk"), "hotspots_report"), (("overview", "repo map", "structure"), "codebase_overview"),
+    (("security", "auth", "cors", "token"), "security_review"), (("refactor", "cleanup"), "refactor_guidance"), (("architecture", "layering", "cycles"), "architecture_consistency"),
+    (("capabilities", "what can you do", "tools"), "mcp_capabilities"), (("find symbol", "definition of", "where is"), "symbol_lookup"),
+]
+STOP = frozenset("the and for with from into that this your you are how what when where".split())
 # What the intents are asked for.
 INTENTS = {
-    "change_impact": "what breaks impact change of if change caller",
-    "dead_code": "unused dead code never called remove",
-    "hotspots_report": "hotspots risky complex slow files fail",
-    "symbol_lookup": "where is find show docs for symbol",
-    "graph_path": "path between from to how reach",
-    "debug_troubleshoot": "why does fail error debug",
-}
-MORE_INTENTS = {  # the other intents of api.INTENTS; the SQL of token_overlap_router has the six above
     "architecture_consistency": "architecture consistency layering cycles boundary violations",
+    "change_impact": "what breaks impact change of if change caller",
     "change_plan": "plan roadmap next phase priorities technical",
     "codebase_overview": "codebase overview repository structure summary",
+    "dead_code": "unused dead code never called remove",
+    "debug_troubleshoot": "why does fail error debug stale broken trace question",
     "entrypoints_callgraph": "entrypoints call graph callgraph starting project",
     "execution_graph_dynamic": "runtime traces dynamic execution scenario trace",
     "execution_graph_static": "static execution graph calls happens run feature",
     "feature_slice": "feature slice related functions code handles",
     "graph_dependency_tree": "dependency tree dependencies inbound outbound depends",
+    "graph_path": "path between from to how reach",
+    "hotspots_report": "hotspots risky complex slow files fail",
     "mcp_capabilities": "capabilities tools intents available list mcp",
-    "refactor_guidance": "refactor guidance refactoring clean split",
+    "refactor_guidance": "refactor guidance refactoring clean split review",
     "security_review": "security review authentication authorization secrets exposure",
+    "symbol_lookup": "where is find show docs for symbol",
 }
 
 
@@ -251,11 +260,12 @@ def _knn(where: str) -> str:
 
 
 def _route() -> str:
-    cases = []
-    for i, (intent, text) in enumerate(INTENTS.items()):
-        words = sorted(set(text.split()))
-        cases.append(f"select id, {i} as o, '{intent}' as intent, len(list_intersect(w, {words})) / {float(max(6, len(words)))} as score from w")
-    return " union all ".join(cases)
+    phrase = "case " + " ".join("when " + " or ".join(f"contains(t, '{p}')" for p in phrases) + f" then '{intent}'" for phrases, intent in PHRASES) + " end"
+    shares = " union all ".join(f"select id, {i} as o, '{name}' as intent, len(list_intersect(w, {intent_words(name)})) / greatest(6.0, len(w)) as score from w" for i, name in enumerate(INTENTS))
+    return f"""th as (select * from (select *, row_number() over (partition by id order by updated_at desc) rn from chat_threads) where rn = 1 and deleted_at is null),
+w as (select id, lower(coalesce(title, '')) as t, list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9_]{{3,}}')) as w from th), ph as (select id, {phrase} as phrase from w), s as ({shares}),
+b as (select * from (select *, row_number() over (partition by id order by score desc, o) rn from s) where rn = 1),
+rt as (select id, case when phrase is not null then phrase when score >= 0.12 then intent else 'none' end as intent, round(case when phrase is not null then 0.9 else score end, 6)::double as score from b join ph using (id))"""
 
 
 _COS = """with r as (select label, generate_subscripts(embedding, 1) as i, unnest(embedding::double[]) as x from embeddings where embedding is not null),
@@ -271,12 +281,13 @@ ORACLES = {
     "name_search": sql(f"{_RANK} select id, name, node_type, exact from nm order by exact desc, first_seq, node_seq limit 10"),
     "name_search_functions": sql(f"{_RANK} select id, name from nm where node_type in ('function', 'method') order by exact desc, first_seq, node_seq limit 10"),
     "resolve_symbol_scores": sql(f"{_RANK} select id, name, round(case when name = '{NAME}' then 1.0 else 0.8 end + case when node_type = '{PREFER}' then 0.2 else 0.0 end, 6)::double score from nm order by score desc, first_seq, node_seq limit 10"),
-    "search_path_prefix": sql(f"{_RANK} select id, name, file_path from nm where starts_with(file_path, 'harborline/') order by exact desc, first_seq, node_seq limit 10"),
+    "search_path_prefix": sql(f"{_RANK} select id, name, file_path from nm where starts_with(file_path, '{REPOSITORY}/') order by exact desc, first_seq, node_seq limit 10"),
     "grep_documents": sql(f", l as (select relative_path, {_LINES.format('content')} ls from cf where contains(lower(content), '{TEXT}')), e as (select relative_path, unnest(ls) as line, generate_subscripts(ls, 1) as line_no from l) select relative_path, cast(line_no as integer) line_no, regexp_replace(line, '^[ \\t]+|[ \\t]+$', '', 'g') as line from e where contains(lower(line), '{TEXT}') order by relative_path, line_no limit 50"),
     "grep_counts": sql(f", l as (select relative_path, {_LINES.format('lower(content)')} ls from cf where contains(lower(content), '{TEXT}')) select split_part(relative_path, '/', 1) repository, cast(sum(len(list_filter(ls, lambda x: contains(x, '{TEXT}')))) as bigint) n from l group by 1"),
     "knn_l2_topk": _knn("true").format(", round(1 / (1 + d), 5) as score"),
     "knn_filtered_type": _knn("e.label % 2 = 0").format(""),
-    "token_overlap_router": "with th as (select * from (select *, row_number() over (partition by id order by updated_at desc) rn from chat_threads) where rn = 1 and deleted_at is null), w as (select id, list_distinct(list_filter(string_split_regex(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda x: x <> '')) w from th), s as (" + _route() + ") select id, case when score >= 0.12 then intent else 'none' end intent, round(score, 6) score from (select *, row_number() over (partition by id order by score desc, o) rn from s) where rn = 1",
+    "token_overlap_router": f"with {_route()} select id, intent, score from rt",
+    "token_overlap_router_whole": f"with {_route()} select intent, count(*) threads from rt group by 1",
     "seed_fusion_full_outer": sql(f"{_RANK}, sm as (select id, least(0.9, 0.3 + 0.1 * (len(string_split(lower(docstring), '{NAME}')) - 1)) sem from cn where contains(lower(docstring), '{NAME}')) select id, round(coalesce(sem, 0) + case when n.id2 is not null then 0.5 else 0.0 end, 6)::double score from (select coalesce(sm.id, nm.id) as id, sem, nm.id as id2 from sm full join nm on sm.id = nm.id) n order by score desc, id limit 50"),
     "snippet_normalise": r"select snippet, count(*) n from (select case when length(f) > 80 then substr(f, 1, 80) || '...' else f end as snippet from (select trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) f from documents where text is not null)) where length(snippet) > 0 group by 1 having count(*) > 1",
     "mermaid_safe_ids": sql(r"select safe2 as safe, count(*) n from (select case when length(s) > 30 then substr(s, 1, 20) || '_' || substr(md5(s), 1, 6) else s end as safe2 from (select regexp_replace(name, '[^\p{L}\p{N}]', '_', 'g') s from cn)) group by 1"),
