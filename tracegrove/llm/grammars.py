@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from functools import cache
 
+from .lexers import KEYWORDS
 from .peg import Grammar
 
+_CLASSES = ["NAME", "NUM", "STR", "CMD", "OBJ"]
+_SIGNS = "<> <= >= != || :: -> ->> := - + * / % < > [ ] , . = : ? @ & | ^ ~ !".split()
+
 PYTHON = r"""
 file <- stmt* EOF
 stmt <- compound / simple
@@ -25,33 +29,45 @@ stmt <- compound / simple
 -item <- expr ('as' target)?
 -typarams <- '[' typaram (',' typaram)* ','? ']'
 -typaram <- ('*' / '**')? NAME (':' expr)? ('=' expr)?
-params <- param (',' param)* ','?
--param <- '/' / '*' (NAME (':' starexpr)?)? / '**' NAME (':' expr)? / NAME (':' expr)? ('=' expr)?
+params <- plist ','?
+-plist <- plain (',' plain)* (',' '/')? (',' plain)* (',' given)* (',' '/')? (',' given)* (',' starpart)? / given (',' given)* (',' '/')? (',' given)* (',' starpart)? / starpart
+-plain <- NAME (':' expr)? !'='
+-given <- NAME (':' expr)? '=' expr
+-starpart <- '*' NAME (':' starexpr)? (',' (given / plain))* (',' kwpart)? / '*' (',' (given / plain))+ (',' kwpart)? / kwpart
+-kwpart <- '**' NAME (':' expr)?
 small <- 'pass' / 'break' / 'continue'
   / 'return' exprs? / 'raise' (expr ('from' expr)?)?
   / 'global' NAME (',' NAME)* / 'nonlocal' NAME (',' NAME)*
-  / 'del' exprs / 'assert' expr (',' expr)?
+  / 'del' deltarget (',' deltarget)* ','? / 'assert' expr (',' expr)?
   / 'import' dotted ('as' NAME)? (',' dotted ('as' NAME)?)*
   / 'from' ('.' / '...')* dotted? 'import' ('*' / '(' alias (',' alias)* ','? ')' / alias (',' alias)*)
-  / typealias / assignment / exprs
+  / typealias / exprs !assigns / assignment
+-assigns <- '=' / ':' / augmented
 -typealias <- NAME NAME typarams? '=' expr
 -alias <- NAME ('as' NAME)?
 -dotted <- NAME ('.' NAME)*
--assignment <- target ':' expr ('=' yielded)? / target augmented yielded / (lefts '=')+ yielded
+-deltarget <- single / '(' (deltarget (',' deltarget)* ','?)? ')' / '[' (deltarget (',' deltarget)* ','?)? ']'
+-assignment <- single ':' expr ('=' yielded)? / single augmented yielded / (lefts '=')+ yielded
 -lefts <- targets &'='
 -augmented <- '+=' / '-=' / '*=' / '/=' / '//=' / '%=' / '@=' / '&=' / '|=' / '^=' / '>>=' / '<<=' / '**='
 -yielded <- exprs
-targets <- startarget (',' startarget)* ','?
+targets <- startarget ',' (startarget (',' startarget)* ','?)? / target
 -startarget <- '*'? target
-target <- '(' targets? ')' trailer* !starts / '[' targets? ']' trailer* / primary
--starts <- '('
-exprs <- starexpr (',' starexpr)* ','?
+target <- single / '(' targets? ')' / '[' (startarget (',' startarget)* ','?)? ']'
+single <- atom (!(lasttrailer !trailstart) trailer)* lasttrailer !trailstart / NAME !trailstart / '(' single ')' !trailstart
+-lasttrailer <- '.' NAME / '[' subscript (',' subscript)* ','? ']'
+-trailstart <- '.' / '(' / '['
+exprs <- starexpr ',' (starexpr (',' starexpr)* ','?)? / named
+starlist <- starexpr (',' starexpr)* ','?
 -starexpr <- '*' or_bits / named
 named <- NAME ':=' expr / expr
 expr <- 'lambda' lparams? ':' expr / yieldexpr / disj ('if' disj 'else' expr)?
 -yieldexpr <- 'yield' ('from' expr / exprs)?
--lparams <- lparam (',' lparam)* ','?
--lparam <- '/' / '*' NAME? / '**' NAME / NAME ('=' expr)?
+-lparams <- llist ','?
+-llist <- lplain (',' lplain)* (',' '/')? (',' lplain)* (',' lgiven)* (',' '/')? (',' lgiven)* (',' lstar)? / lgiven (',' lgiven)* (',' '/')? (',' lgiven)* (',' lstar)? / lstar
+-lplain <- NAME !'='
+-lgiven <- NAME '=' expr
+-lstar <- '*' NAME (',' (lgiven / lplain))* (',' '**' NAME)? / '*' (',' (lgiven / lplain))+ (',' '**' NAME)? / '**' NAME
 -disj <- conj ('or' conj)*
 -conj <- inv ('and' inv)*
 inv <- 'not' inv / or_bits (compare or_bits)*
@@ -62,15 +78,19 @@ unary <- ('-' / '+' / '~')* 'await'? primary
 primary <- atom trailer*
 -trailer <- '.' NAME / '(' args? ')' / '[' subscript (',' subscript)* ','? ']'
 -subscript <- expr? ':' expr? (':' expr?)? / starexpr
-args <- arg (',' arg)* ','?
--arg <- '**' expr / '*' expr / NAME '=' expr / named comp*
+args <- named comp+ &')' / placed (',' placed)* (',' keyed)* (',' spread)* ','? / keyed (',' keyed)* (',' spread)* ','? / spread (',' spread)* ','?
+-placed <- '*' expr / named !'='
+-keyed <- NAME '=' expr / '*' expr
+-spread <- NAME '=' expr / '**' expr
 -comp <- 'async'? 'for' targets 'in' disj ('if' disj_noif)*
 -disj_noif <- NAME ':=' expr / disj
--atom <- NAME / NUM / STR+ / 'True' / 'False' / 'None' / '...'
+atom <- NAME / NUM / (STR / fstring)+ / 'True' / 'False' / 'None' / '...'
   / '(' (named comp+ / exprs)? ')'
-  / '[' (starexpr comp+ / exprs)? ']'
-  / '{' (entry comp+ / entry (',' entry)* ','?)? '}'
--entry <- '**' or_bits / starexpr (':' expr)?
+  / '[' (named comp+ / starlist)? ']'
+  / '{' (pair comp+ / pair (',' pair)* ','? / named comp+ / starlist)? '}'
+-pair <- '**' or_bits / expr ':' expr
+-fstring <- 'FSTART' field* 'FEND'
+-field <- 'F{' exprs '='? ('!' NAME)? ('F:' field*)? 'F}'
 """
 
 _SCRIPT = r"""
@@ -99,8 +119,9 @@ class <- DECORATORS ABSTRACT 'class' (!('implements' '{') name)? TYPARAMS ('exte
 member <- ';' / 'static' block / DECORATORS MEMBERMODS (method / field eos)
 -method <- ('async' &(key / '*'))? '*'? (('get' / 'set') &key)? key OPTMARK TYPARAMS '(' (param (',' param)* ','?)? ')' RETURNTYPE (block METHODEND)
 -field <- key FIELDTYPE ('=' expr)? INDEXSIG
-variables <- ('var' / 'const' / 'let') declarator (',' declarator)*
--declarator <- pattern BINDTYPE ('=' expr)?
+variables <- ('var' / 'let') declarator (',' declarator)* / 'const' ENUMNOT constant (',' constant)*
+-declarator <- name BINDTYPE ('=' expr)? / pattern BINDTYPE '=' expr
+-constant <- pattern BINDTYPE '=' expr
 -control <- 'if' '(' exprs ')' stmt ('else' stmt)?
   / 'for' 'await'? '(' ( ('var' / 'const' / 'let') pattern ('in' / 'of') exprs / unary ('in' / 'of') exprs / (variables / exprs)? ';' exprs? ';' exprs? ) ')' stmt
   / 'while' '(' exprs ')' stmt / 'do' stmt 'while' '(' exprs ')' ';'?
@@ -109,7 +130,12 @@ variables <- ('var' / 'const' / 'let') declarator (',' declarator)*
   / 'try' block ('catch' ('(' pattern OPTTYPE ')')? block ('finally' block)? / 'finally' block)
   / 'debugger' eos
 exprs <- expr (',' expr)*
-expr <- arrow / 'yield' !'=' ('*'? !%nl expr)? / conditional (assign expr)?
+expr <- arrow / 'yield' !'=' ('*'? !%nl expr)? / conditional NOTBANG !assign / lvalue assign expr
+lvalue <- primary (!(lasttail NONBANG &assign) tail)* lasttail NONBANG / lname
+-lname <- (name / array / object) NONBANG &assign / '(' lvalue_in CASTS ')'
+-lvalue_in <- primary (!(lasttail NONBANG castend) tail)* lasttail NONBANG / name / '(' lvalue_in CASTS ')'
+-lasttail <- '.' word / '[' exprs ']'
+-castend <- &(')' / CASTWORD)
 -assign <- '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '<<=' / '&=' / '|=' / '^=' / '&&=' / '||=' / '??=' / '>>>=' / '>' '>=' / '>' '>' '>='
 arrow <- ('async' !'=>')? (name / TYPARAMS '(' (param (',' param)* ','?)? ')' RETURNTYPE) '=>' (block / expr)
 conditional <- binary ('?' expr ':' expr)?
@@ -118,12 +144,13 @@ binary <- unary (operator unary CASTS)* CASTS (operator unary CASTS)*
 unary <- ('!' / '~' / '+' / '-' / '++' / '--' / 'typeof' / 'void' / 'delete' / 'await' !('=' / ';' / ')' / '.' / '=>'))* postfix
 postfix <- call (!%nl ('++' / '--'))?
 call <- primary tail*
--tail <- '.' word / '?.' (word / '[' exprs ']' / args / STR)? / '[' exprs ']' / TYCALL args / STR NONNULL
+-tail <- '.' word / '?.' (word / '[' exprs ']' / args / STR)? / '[' exprs ']' / TYCALL args / STR / template NONNULL
 -args <- '(' (arg (',' arg)* ','?)? ')'
 -arg <- '...'? expr
-primary <- function / class / 'new' ('.' NAME / newcall) / 'this' / 'super' / 'null' / 'true' / 'false' / NUM / STR / 'import' (args / '.' NAME)
+primary <- function / class / 'new' ('.' NAME / newcall) / 'this' / 'super' / 'null' / 'true' / 'false' / NUM / STR / template / 'import' (args / '.' NAME)
   / '(' exprs ')' / array / object / name
 -newcall <- 'new' newcall / primary ('.' word / '[' exprs ']')* TYARGS args?
+template <- 'FSTART' ('F{' exprs 'F}')* 'FEND'
 array <- '[' ','* (arg (',' arg?)*)? ']'
 object <- '{' (member_of (',' member_of)* ','?)? '}'
 -member_of <- '...' expr / key ':' expr / ('async' &(key / '*'))? '*'? (('get' / 'set') &key)? key TYPARAMS '(' (param (',' param)* ','?)? ')' RETURNTYPE block / name ('=' expr)?
@@ -133,14 +160,14 @@ _SOFT_JS = "async of get set static from as await yield"
 _SOFT_TS = _SOFT_JS + " type interface declare namespace module abstract readonly public private protected satisfies is asserts keyof infer override implements unique accessor"
 _PLAIN = {
     "CONTEXTUAL": " / ".join(f"'{w}'" for w in _SOFT_JS.split()), "RESERVED": _RESERVED, "TSDECL": "", "TSEXPORT": "", "TSDEFAULT": "", "TYPEONLY": "", "SPECTYPE": "", "TYPARAMS": "", "RETURNTYPE": "", "SIGEND": "", "DECORATORS": "('@' call)*", "MODIFIERS": "",
-    "OPTTYPE": "", "THISPARAM": "", "ABSTRACT": "", "TYARGS": "", "IMPLEMENTS": "", "MEMBERMODS": "('static' &(key / '*'))*", "OPTMARK": "", "METHODEND": "", "FIELDTYPE": "", "INDEXSIG": "", "BINDTYPE": "", "CASTS": "", "TYCALL": "", "NONNULL": "",
+    "OPTTYPE": "", "THISPARAM": "", "ABSTRACT": "", "TYARGS": "", "IMPLEMENTS": "", "MEMBERMODS": "('static' &(key / '*'))*", "OPTMARK": "", "METHODEND": "", "FIELDTYPE": "", "INDEXSIG": "", "BINDTYPE": "", "CASTS": "", "TYCALL": "", "NONNULL": "", "NONBANG": "", "NOTBANG": "", "CASTWORD": "')'", "ENUMNOT": "",
 }
 _TYPED = _PLAIN | {
     "CONTEXTUAL": " / ".join(f"'{w}'" for w in _SOFT_TS.split()), "TSDECL": "/ tsdecl", "TSEXPORT": "/ tsdecl / '=' exprs eos / 'as' 'namespace' name eos / 'import' name '=' exprs eos", "TSDEFAULT": "tsdecl /", "TYPEONLY": "('type' &(name !(',' / STR) / '{' / '*'))?", "SPECTYPE": "('type' &(word !','))?",
     "TYPARAMS": "typarams?", "RETURNTYPE": "(':' ('asserts' (name / 'this') ('is' type)? / (name / 'this') 'is' type / type))?", "SIGEND": "/ eos", "MODIFIERS": "(('public' / 'private' / 'protected' / 'readonly' / 'override') &(name / '[' / '{'))*", "OPTTYPE": "'?'? (':' type)?",
     "THISPARAM": "/ 'this'", "ABSTRACT": "'abstract'?", "TYARGS": "tyargs?", "IMPLEMENTS": "('implements' type (',' type)*)?", "MEMBERMODS": "(('static' / 'public' / 'private' / 'protected' / 'readonly' / 'override' / 'abstract' / 'declare' / 'accessor') &(key / '*'))*",
     "OPTMARK": "('?' / '!')?", "METHODEND": "/ eos", "FIELDTYPE": "('?' / '!')? (':' type)?", "INDEXSIG": "/ '[' name ':' type ']' ':' type", "BINDTYPE": "'!'? (':' type)?",
-    "CASTS": "(!%nl ('as' / 'satisfies') ('const' / type))*", "TYCALL": "(tyargs &'(')?", "NONNULL": "/ !%nl '!' !'='",
+    "CASTS": "(!%nl ('as' / 'satisfies') ('const' / type))*", "TYCALL": "(tyargs &'(')?", "NONNULL": "/ !%nl '!' !'='", "NONBANG": "('!' &assign)?", "NOTBANG": "!('!' '=')", "CASTWORD": "'as' / 'satisfies'", "ENUMNOT": "!'enum'",
 }
 _TYPES = r"""
 typarams <- '<' typaram (',' typaram)* ','? '>'
@@ -148,15 +175,17 @@ typarams <- '<' typaram (',' typaram)* ','? '>'
 tyargs <- '<' type (',' type)* ','? '>'
 type <- '|'? unite ('extends' type '?' type ':' type)?
 -unite <- '&'? posttype (('|' / '&') '&'? posttype)*
--posttype <- ('keyof' / 'infer' / 'readonly' / 'unique' / 'abstract') &(name / '{' / '(' / '[' / 'typeof') posttype / 'typeof' name ('.' word)* tyargs? / basetype (!%nl '[' type? ']')*
+-posttype <- ('keyof' / 'infer' / 'readonly' / 'unique' / 'abstract') &(name / '{' / '(' / '[' / 'typeof') posttype / 'typeof' ('import' '(' type ')' / name / 'this') ('.' word)* tyargs? (!%nl '[' type? ']')* / basetype (!%nl '[' type? ']')*
 basetype <- 'new'? typarams? '(' (param (',' param)* ','?)? ')' '=>' type / '(' type ')' / '[' (tupleitem (',' tupleitem)* ','?)? ']'
-  / '{' (tmember (';' / ',' / &'}' / %nl))* '}' / STR / '-'? NUM / 'void' / 'null' / 'true' / 'false' / 'this' / 'import' args ('.' word)* tyargs? / name ('.' word)* tyargs?
+  / '{' (tmember (';' / ',' / &'}' / %nl))* '}' / STR / 'FSTART' ('F{' type 'F}')* 'FEND' / '-'? NUM / 'void' / 'null' / 'true' / 'false' / 'this' / 'import' args ('.' word)* tyargs? / name ('.' word)* tyargs?
 -tupleitem <- '...'? (name '?'? ':')? type '?'?
 -signature <- typarams? '(' (param (',' param)* ','?)? ')' RETURNTYPE_
--tmember <- 'new'? signature / (('-' / '+')? 'readonly' &(key))? ('[' name (':' / 'in') type ('as' type)? ']' (('-' / '+')? '?')? ':' type / (('get' / 'set') &key)? key '?'? (signature / (':' type)?))
+-tmember <- 'new'? signature / (('-' / '+')? 'readonly' &(key / '['))? ('[' name (':' / 'in') type ('as' type)? ']' (('-' / '+')? '?')? ':' type / (('get' / 'set') &key)? key '?'? (signature / (':' type)?))
 -RETURN_RULE
 tsdecl <- 'interface' name typarams? ('extends' type (',' type)*)? '{' (tmember (';' / ',' / &'}' / %nl))* '}' / 'type' !%nl name typarams? '=' type eos / ('namespace' / 'module') (STR / name ('.' name)*) block
-  / 'const'? 'enum' name '{' (key ('=' expr)? (',' key ('=' expr)?)* ','?)? '}' / 'declare' (function / class / variables eos / tsdecl / name block) / 'abstract' class / 'import' name '=' exprs eos
+  / 'const'? 'enum' name '{' (key ('=' expr)? (',' key ('=' expr)?)* ','?)? '}' / 'declare' (function / class / ambient eos / ('namespace' / 'module') (STR / name ('.' name)*) (ablock / eos) / tsdecl / name ablock) / 'abstract' class / 'import' name '=' exprs eos
+-ambient <- ('var' / 'const' / 'let') !'enum' pattern (':' type)? ('=' expr)? (',' pattern (':' type)? ('=' expr)?)*
+-ablock <- '{' ('export'? ambient eos / stmt)* '}'
 """
 _TYPES = _TYPES.replace("-RETURN_RULE\n", "").replace("RETURNTYPE_", _TYPED["RETURNTYPE"])
 
@@ -171,7 +200,9 @@ _BRACE_BINARY = "'||' / '&&' / '|' / '^' / '&' / '==' / '!=' / '<=' / '>=' / '<<
 _ASSIGN = "'=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<='"
 
 JAVA = rf"""
-file <- (annotations 'package' dotted ';')? import* (type_decl / ';')* EOF
+file <- (annotations 'package' dotted ';')? import* (moduledecl / (type_decl / ';' / toplevel)*) EOF
+-moduledecl <- annotations (NAME &(NAME NAME))? NAME dotted '{{' (NAME ((NAME / 'static') &NAME)? dotted ((NAME / 'to' / 'with') dotted (',' dotted)*)? ';')* '}}'
+-toplevel <- mods typarams? ('void' / type) NAME '(' params? ')' throws? block / mods type vars ';'
 -import <- 'import' 'static'? NAME ('.' NAME)* ('.' '*')? ';' / ';'
 -dotted <- NAME ('.' NAME)*
 -annotations <- annotation*
@@ -206,13 +237,23 @@ stmt <- block / ';' / 'if' '(' expr ')' stmt ('else' stmt)? / 'while' '(' expr '
   / 'return' expr? ';' / 'break' NAME? ';' / 'continue' NAME? ';' / 'throw' expr ';'
   / 'try' ('(' resource (';' resource)* ';'? ')')? block ('catch' '(' mods type ('|' type)* NAME ')' block)* ('finally' block)?
   / switch / 'synchronized' '(' expr ')' block / 'assert' expr (':' expr)? ';'
-  / NAME ':' stmt / mods (class / interface / enum) / mods type vars ';' / record / NAME expr ';' / expr ';'
+  / NAME ':' stmt / mods (class / interface / enum) / mods type vars ';' / record / 'yield' expr ';' / stmtexpr ';'
+stmtexpr <- lvalue assignop expr / ('++' / '--') unary / switch / callchain &(';' / ',' / ')') / primary tail* ('++' / '--')
+-assignop <- {_ASSIGN} / '>>=' / '>' '>>=' / '>' '>=' / '>' '>' '>='
+lvalue <- primary (!(lasttail &assignop) tail)* lasttail &assignop / NAME &assignop / '(' lvalue_in ')'
+-lvalue_in <- primary (!(lasttail ')') tail)* lasttail / NAME / '(' lvalue_in ')'
+-lasttail <- '.' NAME !'(' / '[' expr ']'
+-callchain <- primary (!(lastcall &(';' / ',' / ')')) tail)* lastcall / new !tailstart / NAME args !tailstart / ('this' / 'super') args !tailstart
+-lastcall <- '.' tyargs? NAME args / '.' 'super' args / '.' 'new' NAME tyargs? args body? / '.' tyargs 'super' args
+-tailstart <- '.' / '[' / '::'
 -resource <- mods type NAME '=' expr / expr
 switch <- 'switch' '(' expr ')' '{{' (('case' label (',' label)* guard? / 'default') (':' stmt* / '->' (block / 'throw' expr ';' / expr ';')))* '}}'
--label <- 'default' / mods type NAME / cond
+-label <- 'default' / recordpat / mods type NAME / cond
+-recordpat <- type '(' (subpat (',' subpat)*)? ')' NAME?
+-subpat <- recordpat / mods type NAME
 -guard <- NAME expr
 exprs <- expr (',' expr)*
-expr <- lambda / cond (({_ASSIGN} / '>' '>=' / '>' '>' '>=') expr)?
+expr <- lambda / cond !assignop / lvalue assignop expr
 -lambda <- (NAME / '(' (NAME (',' NAME)* / params)? ')') '->' (block / expr)
 cond <- binary ('?' expr ':' expr)?
 binary <- unary ('instanceof' mods type NAME? ('(' params? ')')? / ({_BRACE_BINARY}) unary)*
@@ -227,7 +268,7 @@ primary <- NUM / STR / 'true' / 'false' / 'null' / 'this' args? / 'super' args?
 """
 
 CSHARP = rf"""
-file <- (extern / using)* attrs_global* (namespace_line? decl* / stmt*) EOF
+file <- (extern / using)* attrs_global* namespace_line? (decl / stmt)* EOF
 -extern <- 'extern' NAME NAME ';'
 -using <- NAME? 'using' 'static'? 'unsafe'? (NAME '=')? type ';'
 -attrs_global <- '[' NAME ':' attr (',' attr)* ']'
@@ -247,7 +288,7 @@ member <- ';' / attrs modset (type_decl / '~'? NAME '(' params? ')' (':' ('base'
   / ref_type 'operator' ('true' / 'false' / '!' / '~' / '++' / '--' / '==' / '!=' / binop) '(' params ')' tailbody
   / ref_type (type '.')? 'this' '[' params ']' (accessors / '=>' expr ';')
   / ref_type membername (typarams? '(' params? ')' wheres tailbody / accessors ('=' expr ';')? / '=>' expr ';' / ('=' (expr / init))? (',' NAME ('=' (expr / init))?)* ';'))
--modset <- ('public' / 'private' / 'protected' / 'internal' / 'static' / 'readonly' / 'abstract' / 'sealed' / 'virtual' / 'override' / 'extern' / 'unsafe' / 'volatile' / 'new' / 'const' / 'fixed' / 'async' / 'partial')*
+-modset <- ('public' / 'private' / 'protected' / 'internal' / 'static' / 'readonly' / 'abstract' / 'sealed' / 'virtual' / 'override' / 'extern' / 'unsafe' / 'volatile' / 'new' / 'const' / 'fixed' / 'async' / 'partial' / NAME &('public' / 'private' / 'protected' / 'internal' / 'static' / 'readonly' / ref_type membername ('{{' / ';' / '=')))*
 -membername <- NAME typarams? ('.' NAME typarams?)*
 -ref_type <- 'void' '*'* / 'ref' 'readonly'? type / type
 -accessors <- '{{' (attrs ('public' / 'private' / 'protected' / 'internal' / 'readonly')* NAME (';' / block / '=>' expr ';'))+ '}}'
@@ -259,25 +300,37 @@ type <- (prim / 'void' '*' / '(' type NAME? (',' type NAME?)+ ')' / NAME ('::' N
 tyargs <- '<' (type? (',' type?)*) '>'
 block <- '{{' stmt* '}}'
 stmt <- block / ';' / 'if' '(' expr ')' stmt ('else' stmt)? / 'while' '(' expr ')' stmt / 'do' stmt 'while' '(' expr ')' ';'
-  / 'for' '(' (local / exprs)? ';' expr? ';' exprs? ')' stmt / NAME? 'foreach' '(' (type / NAME) (NAME / '(' NAME (',' NAME)* ')') 'in' expr ')' stmt
+  / 'for' '(' (local / exprs)? ';' expr? ';' exprs? ')' stmt / 'await'? 'foreach' '(' (type / NAME) (NAME / '(' NAME (',' NAME)* ')') 'in' expr ')' stmt
   / 'return' ('ref'? expr)? ';' / 'break' ';' / 'continue' ';' / 'goto' ('case' expr / 'default' / NAME) ';' / 'throw' expr? ';'
   / 'try' block ('catch' ('(' type NAME? ')')? (NAME '(' expr ')')? block)* ('finally' block)?
   / 'switch' '(' expr ')' '{{' ((('case' casepat (NAME expr)? / 'default') ':')+ stmt+)* '}}'
-  / NAME? 'using' ('(' (local / expr) ')' stmt / local ';') / 'lock' '(' expr ')' stmt / ('checked' / 'unchecked' / 'unsafe') block / 'fixed' '(' local ')' stmt
-  / NAME ':' stmt / 'const' local ';' / localfn / local ';' / NAME ('return' expr? / 'break') ';' / exprs ';'
+  / 'await'? 'using' ('(' (local / expr) ')' stmt / local ';') / 'lock' '(' expr ')' stmt / ('checked' / 'unchecked' / 'unsafe') block / 'fixed' '(' local ')' stmt
+  / NAME ':' stmt / 'const' local ';' / localfn / local ';' / NAME ('return' expr? / 'break') ';' / stmtexpr ';'
+stmtexpr <- lvalue assignop ('ref'? expr) / ('++' / '--') unary / 'await'+ unary / callchain &(';' / ',' / ')') / primary tail* ('++' / '--') / new !tailstart / '(' stmtexpr ')' / 'throw' expr
+-assignop <- {_ASSIGN} / '??=' / '>' '>' '>' '>=' / '>' '>' '>=' / '>' '>='
+lvalue <- primary (!(lasttail &assignop) tail)* lasttail &assignop / deconstruct &assignop / NAME &assignop / '*' unary &assignop
+-deconstruct <- '(' decon (',' decon)+ ')' / NAME '(' NAME (',' NAME)* ')'
+-decon <- deconstruct / type NAME / (primary tail*)
+-lasttail <- ('.' / '?.' / '->' / '::') NAME tyargs_call? !'(' / '?'? '[' arglist ']'
+-callchain <- primary ('!'? !(lastcall '!'? &(';' / ',' / ')')) tail)* '!'? lastcall '!'?
+-lastcall <- '(' args? ')'
+-tailstart <- '.' / '?.' / '['
 -localfn <- attrs ('static' / 'unsafe' / 'extern' / 'async')* ref_type NAME typarams? '(' params? ')' wheres tailbody
 -local <- ('ref' 'readonly'?)? type NAME ('=' ('ref'? expr / init))? (',' NAME ('=' (expr / init))?)*
 init <- '{{' ((expr / init) (',' (expr / init))*)? ','? '}}'
 -casepat <- pattern
 pattern <- pat1 (NAME pat1)*
--pat1 <- NAME pat1 / ('<=' / '>=' / '<' / '>') binary / '(' pattern ')' / type NAME / type? '{{' (NAME ('.' NAME)* ':' pattern (',' NAME ('.' NAME)* ':' pattern)* ','?)? '}}' NAME? / type '(' (pattern (',' pattern)*)? ')' NAME? / binary
+-pat1 <- '[' (slice (',' slice)* ','?)? ']' NAME? / NAME pat1 / ('<=' / '>=' / '<' / '>') binary / '(' pattern ')' / type NAME / type? '{{' (NAME ('.' NAME)* ':' pattern (',' NAME ('.' NAME)* ':' pattern)* ','?)? '}}' NAME? / type '(' (pattern (',' pattern)*)? ')' NAME? / binary
+-slice <- '..' pattern? / pattern
 exprs <- expr (',' expr)*
-expr <- lambda / cond (({_ASSIGN} / '??=' / '>' '>=') ('ref'? expr))? / 'throw' expr
+expr <- query / lambda / cond !assignop / lvalue assignop ('ref'? expr) / 'throw' expr
+query <- NAME (type &NAME)? NAME 'in' expr clause+
+-clause <- NAME (type &NAME)? NAME 'in' expr (NAME expr NAME expr (NAME NAME)?)? / NAME NAME '=' expr / NAME NAME &clause / NAME expr NAME? (',' expr NAME?)* (NAME expr (NAME NAME)?)?
 -lambda <- ('static' / 'async')* (NAME / '(' (params / NAME (',' NAME)*)? ')') '=>' (block / 'ref'? expr) / NAME? 'delegate' ('(' params? ')')? block
 cond <- binary ('?' expr ':' expr)?
 binary <- unary ('is' 'not'? pattern / 'as' type / 'switch' '{{' (pattern (NAME expr)? '=>' expr (',' pattern (NAME expr)? '=>' expr)* ','?)? '}}' / NAME '{{' inits '}}' / binop unary)*
 -binop <- '??' / '..' / {_BRACE_BINARY}
-unary <- ('!' / '~' / '+' / '-' / '++' / '--' / '&' / '*' / '^' / NAME &(NAME / 'this' / 'base'))* (cast / postfix)
+unary <- ('!' / '~' / '+' / '-' / '++' / '--' / '&' / '*' / '^' / 'await')* (cast / postfix)
 -cast <- '(' prim ('?' / '[' ']')* ')' unary / '(' type ')' &('!' / '~' / '(' / NAME / NUM / STR / 'this' / 'new' / 'base' / 'null' / 'true' / 'false' / 'default' / 'typeof' / prim) unary
 postfix <- primary tail* ('++' / '--' / '!')* tail*
 -tail <- ('.' / '?.' / '->' / '::') NAME tyargs_call? / '?'? '[' arglist ']' / '(' args? ')'
@@ -285,9 +338,10 @@ postfix <- primary tail* ('++' / '--' / '!')* tail*
 -arglist <- arg (',' arg)*
 args <- arg (',' arg)*
 -arg <- (NAME ':')? ('ref' expr / 'out' (type NAME / expr) / 'in' expr / expr)
-primary <- NUM / STR+ / 'true' / 'false' / 'null' / 'this' / 'base' / '(' expr (',' expr)* ')' / '(' (NAME ':')? expr (',' (NAME ':')? expr)* ')' / new / 'typeof' '(' ('void' / type) ')' / 'sizeof' '(' type ')' / 'default' ('(' type ')')? / ('checked' / 'unchecked') '(' expr ')' / 'stackalloc' type init? / '[' (('..'? expr) (',' '..'? expr)*)? ','? ']' / prim / NAME tyargs_call?
+primary <- NUM / (STR / interpolated)+ / 'true' / 'false' / 'null' / 'this' / 'base' / '(' expr (',' expr)* ')' / '(' (NAME ':')? expr (',' (NAME ':')? expr)* ')' / new / 'typeof' '(' ('void' / type) ')' / 'sizeof' '(' type ')' / 'default' ('(' type ')')? / ('checked' / 'unchecked') '(' expr ')' / 'stackalloc' type init? / '[' (('..'? expr) (',' '..'? expr)*)? ','? ']' / prim / NAME tyargs_call?
 -new <- 'new' ('(' args? ')' objinit? / '[' ','* ']' init / objinit / newtype (('[' exprs ']' ('[' ','* ']')* / '[' ','* ']') init? / '(' args? ')' objinit? / objinit))
 -newtype <- (prim / NAME ('::' NAME)? tyargs? ('.' NAME tyargs?)*) '?'?
+-interpolated <- 'FSTART' ('F{{' expr (',' expr)? 'F:'? 'F}}')* 'FEND'
 -objinit <- '{{' inits '}}'
 -inits <- (initm (',' initm)* ','?)?
 -initm <- (NAME / '[' exprs ']') '=' (objinit / expr) / objinit / expr
@@ -295,17 +349,20 @@ primary <- NUM / STR+ / 'true' / 'false' / 'null' / 'this' / 'base' / '(' expr (
 
 C = rf"""
 file <- (external)* EOF
-external <- ';' / 'extern' STR ('{{' external* '}}' / external) / function / declaration
+external <- ';' / staticassert / asm ';' / 'extern' STR ('{{' external* '}}' / external) / function / declaration
 function <- specs declarator declaration* block
 declaration <- specs (initdecl (',' initdecl)*)? ';'
 specs <- (storage)* typespec (storage / builtin)* attribute*
--storage <- 'typedef' / 'extern' / 'static' / 'auto' / 'register' / 'inline' / 'const' / 'volatile' / 'restrict' / attribute
+-storage <- '_Alignas' '(' (typename / cond) ')' / 'typedef' / 'extern' / 'static' / 'auto' / 'register' / 'inline' / 'const' / 'volatile' / 'restrict' / attribute
+-staticassert <- ('_Static_assert' / 'static_assert') '(' cond (',' STR+)? ')' ';'
+-asm <- ('asm' / '__asm__' / '__asm') ('volatile' / 'goto' / 'inline' / NAME)* '(' (asmpart)* ')'
+-asmpart <- '(' asmpart* ')' / '[' asmpart* ']' / !(')' / ']') !EOF (NAME / NUM / STR / ':' / ',' / '=' / '+' / '-' / '*' / '&' / '.' / '->' / '%' / '#' / '|' / '<' / '>' / '(' / 'sizeof')
 -attribute <- ATTR / NAME '(' '(' balanced* ')' ')'
 -balanced <- '(' balanced* ')' / !')' !EOF ANY_TOKEN
 typespec <- builtin+ / ('struct' / 'union') attribute* (NAME? '{{' (field / ';')* '}}' / NAME) / 'enum' (NAME? '{{' enumerator (',' enumerator)* ','? '}}' / NAME) / NAME
--builtin <- 'void' / 'char' / 'short' / 'int' / 'long' / 'float' / 'double' / 'signed' / 'unsigned' / 'const' / 'volatile'
+-builtin <- 'void' / 'char' / 'short' / 'int' / 'long' / 'float' / 'double' / 'signed' / 'unsigned' / 'const' / 'volatile' / '_Complex'
 -enumerator <- NAME ('=' cond)?
-field <- specs (fdecl (',' fdecl)*)? ';'
+field <- staticassert / specs (fdecl (',' fdecl)*)? ';'
 -fdecl <- declarator (':' cond)? / ':' cond
 -initdecl <- declarator ('=' init)?
 init <- '{{' (initem (',' initem)*)? ','? '}}' / expr
@@ -321,7 +378,7 @@ block <- '{{' (stmt)* '}}'
 stmt <- block / ';' / 'if' '(' exprs ')' stmt ('else' stmt)? / 'while' '(' exprs ')' stmt / 'do' stmt 'while' '(' exprs ')' ';'
   / 'for' '(' (declaration / exprs? ';') exprs? ';' exprs? ')' stmt / 'switch' '(' exprs ')' stmt
   / 'case' cond ('...' cond)? ':' stmt? / 'default' ':' stmt? / 'return' exprs? ';' / 'break' ';' / 'continue' ';' / 'goto' NAME ';'
-  / NAME ':' stmt? / declaration / exprs ';'
+  / NAME ':' stmt? / staticassert / asm ';' / declaration / exprs ';'
 exprs <- expr (',' expr)*
 expr <- cond (({_ASSIGN} / '>>=') expr)?
 cond <- binary ('?' exprs? ':' cond)?
@@ -331,7 +388,7 @@ unary <- ('!' / '~' / '+' / '-' / '++' / '--' / '&' / '*' / '&&')* ('sizeof' ('(
 postfix <- primary postop*
 -postop <- '[' exprs ']' / '(' (carg (',' carg)*)? ')' / '.' NAME / '->' NAME / '++' / '--'
 -carg <- expr / typename
-primary <- NAME / NUM / (STR / NAME &STR)+ NAME? / '(' block ')' / '(' exprs ')'
+primary <- '_Generic' '(' expr (',' ('default' / typename) ':' expr)+ ')' / '_Alignof' '(' typename ')' / NAME / NUM / (STR / NAME &STR)+ NAME? / '(' block ')' / '(' exprs ')'
 """
 C = C.replace("ATTR / ", "").replace("ANY_TOKEN", "(NAME / NUM / STR / ',' / '=' / '.' / ';' / '*')")
 
@@ -357,14 +414,17 @@ type <- '*' type / '[' ('...' / expr)? ']' type / 'map' '[' type ']' type / 'cha
 -field <- ('*'? NAME ('.' NAME)? ('[' type ']')? STR? &(';' / '}}') / names type STR?)
 -imember <- NAME signature / constraint
 block <- '{{' (stmt ';')* stmt? '}}'
-stmt <- decl / 'return' exprs? / 'break' NAME? / 'continue' NAME? / 'goto' NAME / 'fallthrough' / 'defer' expr / 'go' expr
+stmt <- decl / 'return' exprs? / 'break' NAME? / 'continue' NAME? / 'goto' NAME / 'fallthrough' / ('defer' / 'go') gocall
   / if / for / switch / 'select' '{{' (('case' simple / 'default') ':' (stmt ';')* stmt?)* '}}' / block / NAME ':' !'=' (stmt)? / simple / EMPTY
 -if <- 'if' (simple_h? ';')? simple_h block ('else' (if / block))?
 -for <- 'for' ( (exprs_h ('=' / ':='))? 'range' expr_h / simple_h? ';' expr_h? ';' simple_h? / expr_h )? block
 -switch <- 'switch' (simple_h? ';' &(NAME / '{{' / NUM / STR / '(' / '&' / '*' / '!' / '-'))? simple_h? '{{' (('case' (types / exprs) / 'default') ':' (stmt ';')* stmt?)* '}}'
 -types <- type (',' type)*
-simple <- exprs (('=' / ':=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>=' / '&^=') ('range' expr / exprs) / '++' / '--' / '<-' expr)?
-simple_h <- exprs_h (('=' / ':=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>=' / '&^=') exprs_h / '++' / '--' / '<-' expr_h)?
+-gocall <- operand (!('(' callargs? ')' &(';' / '}}')) tail)* '(' callargs? ')'
+simple <- lhs (('=' / ':=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>=' / '&^=') ('range' expr / exprs)) / exprs ('++' / '--' / '<-' expr)?
+-lhs <- unary (',' unary)*
+-lhs_h <- unary_h (',' unary_h)*
+simple_h <- lhs_h (('=' / ':=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>=' / '&^=') exprs_h) / exprs_h ('++' / '--' / '<-' expr_h)?
 exprs <- expr (',' expr)*
 exprs_h <- expr_h (',' expr_h)*
 expr <- unary (binop unary)*
@@ -442,7 +502,7 @@ blocklike <- (NAME ':')? ('if' cond_expr block ('else' 'if' cond_expr block)* ('
 -arm <- attr* '|'? pattern ('if' expr)? '=>' (blocklike ','? / expr (',' / &'}}'))
 pattern <- '|'? pat1 ('|' pat1)*
 pat1 <- ('ref' / 'mut')+ NAME ('@' pat1)? / '_' / ('&' / '&&') 'mut'? pat1 / '(' (pattern (',' pattern)* ','?)? ')' / '[' (pattern (',' pattern)* ','?)? ']' / '..' / macro
-  / patlit (('..=' / '..' / '...') patlit?)? / ('..=' / '..') patlit / NAME '@' pat1
+  / NAME '@' pat1 / patlit (('..=' / '..' / '...') patlit?)? / ('..=' / '..') patlit / NAME '@' pat1
 -patlit <- '-'? NUM / STR / 'true' / 'false' / epath ('{{' (fieldpat (',' fieldpat)* ','?)? '}}' / '(' (pattern (',' pattern)* ','?)? ')')?
 -fieldpat <- attr* ('..' / (NAME / NUM) ':' pattern / 'ref'? 'mut'? NAME)
 expr <- jump / closure / range (({_ASSIGN} / '>' '>=') expr)?
@@ -481,16 +541,16 @@ expr <- command / assignment / ternary
 -lefts <- mleft (',' mleft)+
 -mleft <- '*'? left / '(' lefts ')'
 -rights <- '*'? ternary (',' '*'? ternary)*
-left <- primary
+left <- !((NUM / STR / 'nil' / 'true' / 'false' / 'self') '=') primary
 -command <- ('return' / 'break' / 'next') (!('if' / 'unless' / 'while' / 'until' / 'and' / 'or') rights)? / ('yield' / 'super') !('(' / '[') callargs / 'redo' / 'retry'
-  / primary_cmd !%nl &(NAME / NUM / STR / 'nil' / 'true' / 'false' / 'self' / '->' / '::' / 'not' / 'lambda' / 'proc' / 'defined?' / 'def' / 'case' / '@' / '[' / '*' / '&' / ':' / '-' / '!' / '{' / '__' / 'super') !(binop_amb) callargs doblock?
+  / primary_cmd !%nl &(NAME / NUM / STR / FSTART / 'nil' / 'true' / 'false' / 'self' / '->' / '::' / 'not' / 'lambda' / 'proc' / 'defined?' / 'def' / 'case' / '@' / '[' / '*' / '&' / ':' / '-' / '!' / '{' / '__' / 'super') !(binop_amb) callargs doblock?
 -binop_amb <- '[' / '{' / '*' / '&' / '-' / ':' / '::' / '!' !'='
 primary_cmd <- atom_cmd (('.' / '&.' / '::') name ('(' NL* args? NL* ')' braceblock?)? / '[' NL* args? NL* ']')*
--atom_cmd <- NAME ('(' NL* args? NL* ')')? / 'self' / STR / '(' stmts ')'
+-atom_cmd <- NAME ('(' NL* args? NL* ')')? / 'self' / STR / dstr / '(' stmts ')'
 -name <- NAME / 'class' / 'end' / 'then' / 'in' / 'begin'
 callargs <- arg (',' NL* arg)*
 args <- arg (',' NL* arg)* ','?
--arg <- '*' ternary / '**' ternary / '&' ternary? / NAME ':' NL* (!(',' / ')' / NL) not_expr)? / STR ':' NL* not_expr / not_expr ('=>' NL* not_expr)? / 'if' ':' not_expr / 'class' ':' not_expr
+-arg <- '...' / '*' ternary / '**' ternary / '&' ternary? / NAME ':' NL* (!(',' / ')' / NL) not_expr)? / STR ':' NL* not_expr / not_expr ('=>' NL* not_expr)? / 'if' ':' not_expr / 'class' ':' not_expr
 ternary <- range ('?' NL* expr NL* ':' NL* expr)?
 -range <- binary (('..' / '...') binary?)? / ('..' / '...') binary
 binary <- unary (binop NL* unary)*
@@ -509,39 +569,53 @@ params <- param (',' NL* param)* ','?
 body <- stmts (rescue)* ('else' stmts)? ('ensure' stmts)?
 -rescue <- 'rescue' (!('then' / NL / '=>') rights)? ('=>' left)? ('then' / sep) stmts
 -then <- 'then' / sep+ 'then'? 
--atom <- NUM / STR+ / 'nil' / 'true' / 'false' / 'self' / 'redo' / 'retry' / '(' stmts ')' / '[' NL* args? NL* ']' / '{' NL* (pair (',' NL* pair)* ','?)? NL* '}'
+-dstr <- 'FSTART' ('F{' stmts 'F}')* 'FEND'
+-atom <- NUM / (STR / dstr)+ / 'nil' / 'true' / 'false' / 'self' / 'redo' / 'retry' / '(' stmts ')' / '[' NL* args? NL* ']' / '{' NL* (pair (',' NL* pair)* ','?)? NL* '}'
   / 'def' (NL* (('self' / NAME) '.')? defname ('(' NL* params? NL* ')' / params)? ('=' NL* stmt / body 'end'))
   / 'class' ('<<' expr / cpath ('<' expr)?) sep body 'end' / 'module' cpath body 'end' / 'begin' body 'end'
   / ('if' / 'unless') not_expr then stmts ('elsif' not_expr then stmts)* ('else' stmts)? 'end'
-  / ('while' / 'until') not_expr ('do' / sep) stmts 'end' / 'for' lefts_for 'in' expr ('do' / sep) stmts 'end'
-  / 'case' expr? sep* (('when' / 'in') rights_when then stmts)+ ('else' stmts)? 'end'
+  / ('while' / 'until') not_expr (DOLOOP / sep) stmts 'end' / 'for' lefts_for 'in' expr (DOLOOP / sep) stmts 'end'
+  / 'case' expr? sep* ('when' rights_when then stmts)+ ('else' stmts)? 'end' / 'case' expr sep* ('in' rtop (('if' / 'unless') not_expr)? then stmts)+ ('else' stmts)? 'end'
   / '->' ('(' params? ')' / params)? block / 'yield' callparens? / 'super' callparens? block? / '::' NAME / 'return' / 'next' / 'break' / NAME block?
 -cpath <- '::'? NAME ('::' NAME)*
 -rights_when <- '*'? ternary (',' NL* '*'? ternary)*
+-rtop <- rpair (',' NL* rpair)* ','? / ritem (',' NL* ritem)* ','?
+-ritem <- '*' NAME? / rpat
+rpat <- ralt ('=>' NAME)?
+-ralt <- rone ('|' rone)*
+-rone <- '^' (NAME / '(' expr ')') / '[' NL* (ritem (',' NL* ritem)* ','?)? NL* ']' / '{' NL* (rpair (',' NL* rpair)* ','?)? NL* '}' / '(' rpat ')' / cpath ('(' NL* rtop? NL* ')' / '[' NL* rtop? NL* ']') / range
+-rpair <- '**' (NAME / 'nil') / (NAME / STR / 'if' / 'class' / 'end' / 'in' / 'do' / 'for') ':' (!(',' / '}' / ')' / NL / 'then' / 'if' / 'unless') rpat)?
 -lefts_for <- NAME (',' NAME)*
--defname <- NAME '='? / '[' ']' '='? / '<=>' / '==' / '===' / '=~' / '<=' / '>=' / '<<' / '>>' / '<' / '>' / '+' / '-' / '*' / '/' / '%' / '**' / '!' / '~' / '|' / '^' / '&' / name
+-defname <- NAME / '[' ']' '='? / '<=>' / '==' / '===' / '=~' / '<=' / '>=' / '<<' / '>>' / '<' / '>' / '+' / '-' / '*' / '/' / '%' / '**' / '!' / '~' / '|' / '^' / '&' / name
 -pair <- '**' ternary / (NAME / STR / 'if' / 'class' / 'end' / 'in' / 'do' / 'for') ':' NL* (!(',' / '}' / NL) not_expr)? / expr '=>' NL* expr
 """
 
 SQL = r"""
 file <- ';'* (stmt (';'+ / EOFNEXT))* EOF
-stmt <- select_stmt / insert / update / delete / create / alter / drop / 'truncate' 'table'? name (',' name)* / transaction / grant / NAMED
+stmt <- merge / 'CMD' part* / select_stmt / insert / update / delete / create / alter / drop / 'truncate' 'table'? name (',' name)* / transaction / grant / NAMED
 -transaction <- 'begin' NAME? / 'commit' NAME? / 'rollback' NAME? (NAME? 'to' NAME NAME?)?
--grant <- 'grant' words ('on' NAME? name) 'to' name (',' name)* / 'revoke' words ('on' NAME? name) 'from' name (',' name)*
+-grant <- 'grant' words 'on' ('table' name / NAME name !'(' &'to' / name) 'to' name (',' name)* / 'revoke' words ('on' NAME? name) 'from' name (',' name)*
+-part <- '(' part* ')' / body / !(';' / ')' / EOF / BAD) anytoken
+body <- 'begin' (body / 'end' ('if' / 'case') / ';' / '(' part* ')' / !('end' / 'begin' / EOF / BAD / ')') anytoken / 'case' (!('end' / EOF) (part / ';'))* 'end')* 'end'
+-anytoken <- ANYSQL
+merge <- 'merge' 'into'? name alias_u? 'using' primary_src 'on' expr ('when' 'not'? NAME ('by' NAME)? ('and' expr)? 'then' ('update' 'set' setitems / 'insert' ('(' names ')')? ('values' tuple / 'default' 'values') / 'delete' / NAME NAME))+ returning?
 -words <- word (',' word)*
 -word <- 'select' / 'insert' / 'update' / 'delete' / 'all' NAME? / NAME
 with <- 'with' 'recursive'? cte (',' cte)*
 -cte <- name ('(' names ')')? 'as' ('not'? 'materialized')? '(' stmt ')'
-select_stmt <- with? select_core (('union' / 'intersect' / 'except') ('all' / 'distinct')? select_core)* order? limit* / with (insert / update / delete)
+select_stmt <- with? select_core (('union' / 'intersect' / 'except') ('all' / 'distinct')? select_core)* order? limit* lock* / with (insert / update / delete)
 -order <- 'order' 'by' orderitem (',' orderitem)*
 -orderitem <- expr ('asc' / 'desc')? (NAME NAME)?
--limit <- 'limit' expr (',' expr)? / 'offset' expr NAME? / NAME NAME NUM? NAME NAME
-select_core <- 'select' ('all' / 'distinct' ('on' '(' exprs ')')?)? selitem (',' selitem)* ('from' source (',' source)*)? ('where' expr)? ('group' 'by' ('all' / exprs))? ('having' expr)? (NAME NAME 'as' '(' window ')' (',' NAME 'as' '(' window ')')*)?
+-lock <- 'for' ('update' / 'key' / NAME)+ (NAME? name (',' name)*)?
+-limit <- 'limit' expr (',' expr)? / 'offset' expr ('row' / 'rows' / NAME)? / 'fetch' NAME expr? ('row' / 'rows') (NAME / 'with')+
+select_core <- 'select' ('all' / 'distinct' ('on' '(' exprs ')')?)? (NAME NUM NAME?)? selitem (',' selitem)* ('from' source (',' source)*)? ('where' expr)? ('group' 'by' ('all' / gitem (',' gitem)*))? ('having' expr)? ('window' NAME 'as' '(' window ')' (',' NAME 'as' '(' window ')')*)?
   / 'values' tuple (',' tuple)* / '(' select_stmt ')' / 'table' name
+-gitem <- '(' ')' / NAME NAME '(' gitem (',' gitem)* ')' / expr
 -selitem <- '*' / name '.' '*' / expr ('as' (ident / STR) / ident)?
 -source <- primary_src (joinkind primary_src ('on' expr / 'using' '(' names ')')?)*
 -joinkind <- 'natural'? ('inner' / ('left' / 'right' / 'full') 'outer'? / 'cross')? 'join'
-primary_src <- NAME? '(' select_stmt ')' alias? / '(' source ')' alias? / name ('(' exprs? ')')? alias?
+primary_src <- NAME? '(' select_stmt ')' alias? / '(' source ')' alias? / name ('(' exprs? ')')? sample? alias?
+-sample <- NAME NAME '(' expr NAME? ')' (NAME '(' expr ')')?
 -alias <- 'as'? NAME ('(' names ')')?
 -ident <- NAME / 'row' / 'range' / 'rows' / 'replace' / 'key' / 'temp' / 'temporary' / 'current' / 'over' / 'partition' / 'to' / 'if' / 'begin' / 'grant' / 'left' / 'right' / 'truncate' / 'add' / 'check'
 name <- NAME (('.' / ':') (NAME / ident_dot))*
@@ -557,12 +631,12 @@ insert <- ('insert' ('or' (NAME / 'replace' / 'rollback'))? 'into' / 'replace' '
 update <- 'update' name alias_u? 'set' setitems ('from' source (',' source)*)? ('where' expr)? returning?
 -alias_u <- 'as'? NAME
 delete <- 'delete' 'from' name alias_u? ('using' source (',' source)*)? ('where' expr)? returning?
-create <- 'create' ('or' 'replace')? (('temp' / 'temporary' / NAME)? 'table' notexists? name ('(' element (',' element)* ','? ')' options / 'as' '('? select_stmt ')'?) options ('as' select_stmt)?
+create <- 'create' ('or' 'replace')? (OBJ part+ / ('temp' / 'temporary' / NAME)? 'table' notexists? name ('(' element (',' element)* ','? ')' options / 'as' '('? select_stmt ')'?) options ('as' select_stmt)?
   / ('temp' / 'temporary' / 'recursive' / 'materialized')* 'view' notexists? name ('(' names ')')? options 'as' select_stmt ('with' NAME? 'check'? NAME?)?
   / 'unique'? 'index' NAME? notexists? name? 'on' name ('using' NAME)? '(' orderitem (',' orderitem)* ')' options ('where' expr)?
   / NAME notexists? name (NAME / NUM / '=' / 'with' / STR / 'by' / 'default')*)
 -notexists <- 'if' 'not' 'exists'
--options <- (NAME '='? (NAME / NUM / STR) / 'default'? NAME 'set'? '='? NAME / 'with' '(' (NAME '=' (NAME / NUM / STR) ','?)* ')' / 'partition' 'by' NAME? '(' exprs ')' / NAME 'by' '(' exprs ')' / 'without' NAME / NAME)*
+-options <- (NAME '='? (NAME / NUM / STR) / 'default'? NAME 'set'? '='? NAME / 'with' '(' (NAME '=' (NAME / NUM / STR) ','?)* ')' / 'partition' 'by' ('range' / NAME)? '(' exprs ')' / NAME 'by' '(' exprs ')' / 'without' NAME / NAME)*
 element <- constraint / column
 column <- (NAME / STR / ident) type? colopt*
 type <- NAME (NAME !'(' / 'with' NAME NAME 'row'?)* ('(' (NUM / NAME / STR) (',' (NUM / STR / NAME))* ')')? (NAME / 'with' NAME NAME)* ('[' NUM? ']')* / NAME '<' type (',' type)* '>'
@@ -578,18 +652,19 @@ exprs <- expr (',' expr)*
 expr <- and_e ('or' and_e)*
 -and_e <- not_e ('and' not_e)*
 not_e <- 'not' not_e / compare
-compare <- add (('=' / '<>' / '!=' / '<=' / '>=' / '<' / '>' / '~') (('all' / NAME) &'(')? add / 'is' 'not'? ('null' / 'true' / 'false' / NAME / 'distinct' 'from' add) / 'not'? ('in' '(' (select_stmt / exprs) ')' / ('like' / 'ilike') add (NAME STR)? / 'between' add 'and' add))*
+compare <- add (('=' / '<>' / '!=' / '<=' / '>=' / '<' / '>' / '~' '*'? / '!' '~' '*'?) (('all' / NAME) &'(')? add / 'is' 'not'? ('null' / 'true' / 'false' / NAME / 'distinct' 'from' add) / 'not'? ('in' '(' (select_stmt / exprs) ')' / ('like' / 'ilike') add (NAME STR)? / 'between' add 'and' add))*
 add <- mul (('+' / '-' / '||' / '*' / '/' / '%' / '->' / '->>' / '&' / '|' / '^') mul)*
 -mul <- ('-' / '+')* cast
-cast <- primary ('::' type / '[' expr (':' expr)? ']' / '.' NAME)*
+cast <- primary ('::' type / '[' (expr (',' expr)*)? (':' expr?)? ']' / '.' NAME)*
 primary <- NUM / 'exists' '(' select_stmt ')' / 'case' expr? ('when' expr 'then' expr)+ ('else' expr)? 'end' / 'cast' '(' expr 'as' type ')' / '(' (select_stmt / exprs) ')' / 'null' / 'true' / 'false' / '?' / '*'
-  / NAME STR NAME? / STR+ / (name / 'replace' / 'left' / 'right' / 'if' / 'insert' / 'values') '(' ('distinct' / 'all')? (callarg (',' callarg)*)? order? ')' (NAME '(' ('where' expr / order) ')')? ('over' (NAME / '(' window ')'))? / name / ident
--callarg <- expr (('from' / 'as' / 'in' / 'using') (type / expr))? (('from') expr)? ('for' expr)?
+  / NAME STR NAME? / STR+ / (name / 'replace' / 'left' / 'right' / 'if' / 'insert' / 'values' / 'window') '(' ('distinct' / 'all')? (callarg (',' callarg)*)? order? ')' (NAME '(' ('where' expr / order) ')')? ('over' (NAME / '(' window ')'))? / name / ident
+-callarg <- expr (('from' / 'as' / 'in' / 'using') (type / expr))? ('from' expr)? ('for' expr)? (NAME STR)?
 window <- NAME? ('partition' 'by' exprs)? order? (('rows' / 'range') frame)?
 -frame <- 'between' bound 'and' bound / bound
 -bound <- 'unbounded' ('preceding' / 'following') / 'current' 'row' / expr ('preceding' / 'following')
 """
-SQL = SQL.replace("EOFNEXT", "&EOF").replace(" / NAMED", "").replace("'without' NAME / ", "").replace("('for' expr)?", "")
+SQL = SQL.replace("ANYSQL", " / ".join([*_CLASSES, *(f"'{w}'" for w in [*KEYWORDS["sql"].split(), "for", "fetch", "window", "merge", *_SIGNS])]))
+SQL = SQL.replace("EOFNEXT", "&EOF").replace(" / NAMED", "").replace("'without' NAME / ", "")
 
 TEXTS = {
     "python": PYTHON, "javascript": _script(_PLAIN), "typescript": _script(_TYPED, _TYPES), "java": JAVA, "csharp": CSHARP,

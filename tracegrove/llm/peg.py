@@ -14,6 +14,8 @@ from __future__ import annotations
 import re
 import sys
 
+MOST_FRAMES = 2_500_000  # rules that may be open at once, some hundred megabytes
+
 _TOKEN = re.compile(r"\s*(?:(#[^\n]*)|(-?[a-z_]\w*)\s*<-|('[^']+')|(%nl)|([A-Z_]+)|([a-z_]\w*)|([()*+?&!/]))")
 
 
@@ -204,9 +206,19 @@ class Grammar:
 
     def parse(self, kinds: list[str], breaks) -> int:
         """-1 if the start rule consumes ``kinds`` (which end with EOF), else the furthest failing token."""
-        if sys.getrecursionlimit() < 100_000:
-            sys.setrecursionlimit(100_000)
-        end, _ = self._fast(kinds, breaks)
-        if end == len(kinds):
-            return -1
-        return max(0, min(self._slow(kinds, breaks)[1], len(kinds) - 1))
+        # Rules call each other on the heap (Python calls Python without the C stack): the limit bounds memory only.
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, MOST_FRAMES))
+        try:
+            end, _ = self._fast(kinds, breaks)
+            if end == len(kinds):
+                return -1
+            return max(0, min(self._slow(kinds, breaks)[1], len(kinds) - 1))
+        except RecursionError:
+            raise TooDeep from None
+        finally:
+            sys.setrecursionlimit(limit)
+
+
+class TooDeep(Exception):
+    """The text nests deeper than the parser follows."""
