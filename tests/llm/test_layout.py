@@ -70,3 +70,21 @@ def test_copies_are_the_same_on_both_sides_of_the_limit(spark):
     order = lambda limit: sorted(map(str, L.classify_files(files, upstream, limit).collect()))
     want = order(L.UPSTREAM_BYTES)
     assert sum("vendored" in r for r in want) > 10 and order(1) == want
+
+
+def test_markers_at_the_foot():
+    assert L.reason("r/a.py", HAND + "\n# Code generated by x. DO NOT EDIT.\n") == "generated"
+    assert L.reason("r/a.js", "f(a, b);\ng(c);\n\n/*\n * @generated from x\n */") == "generated"
+    assert L.reason("r/a.py", HAND + "\n# Not generated: edit freely.\n") is None
+    assert L.reason("r/a.py", HAND + "\n# Code generated by x. DO NOT EDIT.\nf(1)\n") is None
+    assert L.reason("r/a.py", HAND + 'T = """\n# Code generated by x. DO NOT EDIT.\n"""\n') is None
+
+
+def test_every_language_has_limits_of_its_own():
+    line = "total = total + value_of(item, other);"
+    for language, limits in L.LIMITS.items():
+        packed = "a=b(c,d);" * (max(limits.longest, limits.mean) // 9 + 2)
+        assert L.by_layout(language, packed) == "minified"
+        assert L.by_layout(language, "\n".join([line] * 30)) is None
+        assert L.by_layout(language, "x = [" + "1, 22, 333, 4444,\n" * 60 + "]") == "data"
+    assert len(set(L.LIMITS.values())) >= 6
