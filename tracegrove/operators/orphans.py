@@ -3,10 +3,11 @@
 A reference is a non-null key, compared exactly. It is a direct orphan if (a) no row has the key, (b) the
 key's current row is removed, or (c) the key's earliest row is later than the reference.
 
-Cascade: the children of an orphan are inherited orphans. ``cascade`` goes down the foreign-key graph in
-rounds of semi-joins against the keys that fell in the round before, until no key falls: a node whose
-file's node is missing or removed falls, nodes that are held (``contains``) only by fallen nodes fall, and
-edges and messages that refer to fallen keys are inherited orphans.
+Cascade: the children of an orphan are inherited orphans. ``cascade`` begins with the direct orphans (round 0) and
+goes down the foreign-key graph in rounds of semi-joins against the keys that fell in the round before, until no
+key falls: a node whose file's node is missing or removed falls, nodes that are held (``contains``) only by fallen
+nodes fall, and edges that refer to fallen nodes are inherited orphans. Threads have no parent in these tables, so
+messages are direct orphans only.
 
 Each join is a key against one row per key; hot keys on the referring side are spread over tasks
 (``skew_join``). Null keys are no references; repeated rows of a reference count once; tables may be empty.
@@ -104,8 +105,15 @@ def fallen_nodes(nodes: DataFrame, edges: DataFrame, rounds: int | None = None)
 
 
 def cascade(edges: DataFrame, nodes: DataFrame, messages: DataFrame, threads: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Direct and inherited orphans: ref_table, ref_key, ref_field, at, kind, cause."""
+    """Direct and inherited orphans: ref_table, ref_key, ref_field, at, kind, cause.
+
+    It runs to its fixpoint; with ``rounds`` it raises if nodes still fall in the last of them. ``rounds=0`` asks for
+    round 0 alone, the direct orphans.
+    """
     direct = direct_orphans(edges, nodes, messages, threads)
+    if rounds == 0:
+        return direct.select("ref_table", "ref_key", "ref_field", "at", F.lit("direct").alias("kind"), "cause")
+    direct = cut(direct)
     fell = fallen_nodes(nodes, edges, rounds)
     own = edge_references(edges).dropDuplicates(["ref_key", "ref_field"])
     inherited = skew_join(own, fell.select("key"), "key").join(direct.where("ref_table = 'edges'").select("ref_key", "ref_field"), ["ref_key", "ref_field"], "left_anti")
