@@ -64,3 +64,52 @@ def test_operator(spark):
     code = {r.id: r.code for r in I.pairs(nodes, files).collect()}
     assert code["kept"] == "function f() {}" and code["crlf"] == "def f():\n  '''Never\n  zero.'''"
     assert I.documented(nodes.limit(0), files).count() == 0 and I.documented(nodes, files.limit(0)).count() == 0
+
+
+FORMS = {
+    "java": ('class A {\n  /** Doc one. */\n  @Override\n  @Deprecated(since = "1")\n  public <T> List<Map<String, T>> f(int a,\n      String b) throws X {\n    String s = "} // {";\n    if (a) { g(); }\n  }\n  // plain\n  abstract int h();\n  int x = f(1);\n}\n', [("f", 3, 5, 9, "/** Doc one. */"), ("h", 11, 11, 11, "// plain")]),
+    "csharp": ('class A {\n  /// <summary>Doc.</summary>\n  [Test, Case(1)]\n  public async Task<int> F(int a) {\n    var s = @"a ""}"" // {";\n    return 1;\n  }\n  // two\n  int G() => 3;\n}\n', [("F", 3, 4, 7, "/// <summary>Doc.</summary>"), ("G", 9, 9, 9, "// two")]),
+    "rust": ("/* a /* nested */ doc */\n#[inline]\n#[cfg(any(a,\n  b))]\npub(crate) async fn f<T>(x: &str) -> u8 {\n  let c = '{'; let s = r#\"}\"#;\n}\n/// d\nfn g();\n", [("f", 2, 5, 7, "/* a /* nested */ doc */"), ("g", 9, 9, 9, "/// d")]),
+    "go": ("// Doc of F.\nfunc (s *S) F(a int) (b int) {\n\tx := `}`\n}\n", [("F", 2, 2, 4, "// Doc of F.")]),
+    "ruby": ("=begin\nDoc here.\n=end\ndef f(a)\n  if a\n    b\n  end\n  c.each do |x|\n    y\n  end\nend\n# two\ndef g = 1\nclass A\n  # three\n  def self.h?; end\nend\n", [("f", 4, 4, 11, "=begin\nDoc here.\n=end"), ("g", 13, 13, 13, "# two"), ("h?", 16, 16, 16, "# three")]),
+    "c": ('/* Doc. */\nstatic int\nf(int a)\n{\n  char *s = "}";\n  return a;\n}\n// p\nint g(int);\n', [("f", 2, 2, 7, "/* Doc. */"), ("g", 9, 9, 9, "// p")]),
+    "javascript": ("/** D. */\nexport async function f(a, {b}) {\n  const s = `}${a}`;\n}\n// arrow\nconst g = (x) => {\n  return { a: 1 };\n};\nclass A {\n  // m\n  static async *m(a, b = f(1)) { if (a) { } }\n  /** no call */\n  run(x);\n}\n", [("f", 2, 2, 4, "/** D. */"), ("g", 6, 6, 8, "// arrow"), ("m", 11, 11, 11, "// m")]),
+    "typescript": ("/** D. */\n@Dec({\n  a: 1,\n})\nexport function f<T>(a: T): Map<string, T> {\n}\nclass A {\n  // m\n  private m(a: string): { x: number } {\n  }\n}\n", [("f", 2, 5, 6, "/** D. */"), ("m", 9, 9, 10, "// m")]),
+    "python": ('@a(1,\n   b=2)\n@c\ndef f(a, b=")"):\n    """Doc\nat margin.\n    """\n    if a:\n        x = [1,\n2]\n    return """\nz"""\n\nclass A:\n    # above\n    async def g(self): "one"\n    def h(self):\n        pass\n# end\nx = 1\n', [("f", 1, 4, 12, "Doc\nat margin.\n    "), ("g", 16, 16, 16, "one"), ("h", 17, 17, 18, None)]),
+    "sql": ("-- Doc.\nCREATE OR REPLACE FUNCTION f(a int) RETURNS int AS $$\n  SELECT 1; -- x\n$$ LANGUAGE sql;\n", [("f", 2, 2, 4, "-- Doc.")]),
+}
+
+
+@pytest.mark.parametrize("language", FORMS)
+def test_island_grammar(language):
+    text, want = FORMS[language]
+    found, _ = I.read(language, text)
+    assert [(d.name, d.top, d.line, d.end, d.doc) for d in found] == want
+    lines = text.split("\n")
+    for d in found:
+        assert I.code_by_line(language, text)[d.top] == {"last": d.end, "text": "\n".join(lines[d.top - 1 : d.end])}
+        assert d.doc is None or I.docs_by_line(language, text)[d.line] == d.doc
+
+
+def test_water_without_end_is_no_trap():
+    for language in I.GRAMMARS:
+        for text in ("", "/*", '"""', "'", "`", "$$", "=begin\n", "@", "#[", "[A", "def f(", "((((", "}}}}\n"):
+            I.read(language, text), I.docs_by_line(language, text), I.code_by_line(language, text)
+
+
+def test_given_lines_that_are_no_declaration(spark):
+    """Documentation is what stands above; the code is cut by the given lines."""
+    files = spark.createDataFrame([("r/a.js", 1.0, "// Never zero.\nx = 1;\ny = 2;\n// Counts rows.\nfunction f() {\n}\n")], "relative_path string, mtime double, content string")
+    nodes = spark.createDataFrame([node(1, "odd", None, a=2, b=3), node(2, "whole", None, a=5, b=6), node(3, "part", None, a=5, b=5)], NODES)
+    got = {r.id: (r.documentation, r.code) for r in I.pairs(nodes, files).collect()}
+    assert got == {"odd": ("// Never zero.", "x = 1;\ny = 2;"), "whole": ("// Counts rows.", "function f() {\n}"), "part": ("// Counts rows.", "function f() {")}
+
+
+@pytest.mark.parametrize("doc", ["Version: returns the schema revision.", "Go: blocks until drained.", "Introduced together with the retry queue and requires it to be running.", "Type: picks the smaller one."])
+def test_labels_hide_nothing(doc):
+    assert I.said("merge_open_queue", None, doc)
+
+
+@pytest.mark.parametrize("doc", ["go:generate x", "type: ignore", "pragma: no cover", "version: 1.2.3", "since: v2", "date: 2025-01-02"])
+def test_pragmas_say_nothing(doc):
+    assert not I.said("merge_open_queue", None, doc)

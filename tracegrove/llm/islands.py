@@ -1,10 +1,18 @@
 """Problem 3: functions paired with their documentation.
 
-An island grammar per language: of a source file only comments, strings, annotations, signatures and
-balanced bodies are parsed; everything else is water and skipped. The island scan of a file gives, per
-line, the documentation that belongs to a declaration starting there: in Python the string that opens the
-body, elsewhere the comment directly above. It runs before any shuffle; the join carries documentation
-only, and code only where pairs are asked for.
+An island grammar per language (``GRAMMARS``): of a source file only these islands are read, all else is water
+and skipped:
+
+    declaration <- documentation? annotation* signature body
+    documentation <- block comment / run of line comments     (directly above the first line)
+    body <- balanced braces / indented block (Python, opened by the documentation string) / until its end (Ruby)
+
+Comments, strings and brackets are islands too, so that nothing inside a string or a comment is taken for a
+signature and bodies balance. The grammar gives each declaration's lines, documentation and code; a node meets
+its declaration by the first line (of the signature or of the annotations above it). Where a node's first line
+is no declaration that the grammar knows, the comment directly above that line is its documentation.
+
+Files are read before any shuffle; the join carries documentation, and code only where pairs are asked for.
 
 Documentation is told from noise by what it says: lines of pragmas, licences, rulers, place-holders, to-dos,
 tags without text, types and commented-out code are dropped; of the rest the words that the name, the
@@ -13,13 +21,14 @@ remains must contain a word.
 
 Defined cases: current row of a node id: greatest ``node_seq``; of a file: greatest ``mtime``, then content
 hash. Null lines, lines outside the current content, removed nodes, null content: not found. An empty
-docstring counts as given and says nothing.
+docstring counts as given and says nothing. A comment or string that never ends is water from there on.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,17 +37,43 @@ from pyspark.sql import types as T
 
 from ..operators.relational import current_rows
 from ..operators.skew import skew_join
+from ..session import cut
 from .invalid_sources import language_of
 
 _STRING = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
-_C_LIKE = re.compile(rf'(?P<block>/\*(?s:.*?)\*/)|(?P<line>//[^\n]*)|`(?:[^`\\]|\\.)*`|{_STRING}')
-_RUST = re.compile(r"(?P<block>/\*(?s:.*?)\*/)|(?P<line>//[^\n]*)|\"(?:[^\"\\]|\\(?s:.))*\"|'(?:[^'\\\n]|\\[^\n]{1,8})'")
-_HASH = re.compile(rf"(?P<line>#[^\n]*)|{_STRING}")
-_SQL = re.compile(r"(?P<block>/\*(?s:.*?)\*/)|(?P<line>--[^\n]*)|'(?:[^']|'')*'")
-_PYTHON = re.compile(rf'(?P<line>\#[^\n]*)|(?P<string>(?i:[rbuf]{{0,2}})(?:"""(?:[^\\]|\\(?s:.))*?"""|\'\'\'(?:[^\\]|\\(?s:.))*?\'\'\'|{_STRING}))|(?m:^)[ \t]*(?P<def>(?:async[ \t]+)?def[ \t]+\w+|class[ \t]+\w+)')
-_SCANS = {"python": _PYTHON, "ruby": _HASH, "rust": _RUST, "sql": _SQL}
+_BLOCK, _SLASHES, _HASHES = r"(?P<block>/\*(?s:.*?)\*/)", r"(?P<line>//[^\n]*)", r"(?P<line>\#[^\n]*)"
+_BRACES = r"(?P<open>[({\[])|(?P<close>[)}\]])|(?P<stop>;)"
+_AT = r"(?m:^)[ \t]*(?P<note>@(?!interface\b)[\w.]+)"
+_WORDS = r"(?:[A-Za-z_][\w.]*(?:<[^<>(){};\n]*(?:<[^<>(){};\n]*>[^<>(){};\n]*)*>)?(?:\[\])*[?*&]*[ \t*&]+)"
+_NO_HEAD = r"(?!(?:return|if|else|for|foreach|while|switch|catch|throw|new|do|case|await|yield|in|using|lock|typeof|delete|goto|assert|package|import)\b)"
+
+
+class Island(NamedTuple):
+    """What is read of a language's files, and how its bodies end: by braces, by indentation or by the word end."""
+
+    scan: re.Pattern
+    ends: str = "braces"
+
+
+def _islands(*parts: str, ends: str = "braces") -> Island:
+    return Island(re.compile("|".join(parts)), ends)
+
+
+# A signature (``head``) begins a line; its name is followed by parameters. Where a name alone could be a call, ``{`` must follow.
+GRAMMARS = {
+    "python": _islands(_HASHES, r'(?P<string>(?i:[rbuft]{0,3})(?:"""(?:[^\\]|\\(?s:.))*?"""|\'\'\'(?:[^\\]|\\(?s:.))*?\'\'\'|' + _STRING + "))", _AT, r"(?m:^)[ \t]*(?P<head>(?:async[ \t]+)?def[ \t]+(?P<name>\w+))", r"(?P<open>[({\[])|(?P<close>[)}\]])|(?P<stop>:)", ends="indent"),
+    "javascript": _islands(_BLOCK, _SLASHES, r"`(?:[^`\\]|\\(?s:.))*`", _STRING, _AT, r"(?m:^)[ \t]*(?P<head>(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function\b[ \t]*\*?[ \t]*(?P<name>[\w$]+)|(?:(?:static|async|get|set)[ \t]+|\*[ \t]*)*" + _NO_HEAD + r"(?P<name2>#?[\w$]+)(?=\([^()\n;]*(?:\([^()\n]*\)[^()\n;]*)*\)[ \t]*\{)|(?:export[ \t]+)?(?:const|let|var)[ \t]+(?P<name3>[\w$]+)[ \t]*=[ \t]*(?:async[ \t]*)?(?=\([^()\n]*\)[ \t]*=>|function\b|[\w$]+[ \t]*=>))", _BRACES),
+    "typescript": _islands(_BLOCK, _SLASHES, r"`(?:[^`\\]|\\(?s:.))*`", _STRING, _AT, r"(?m:^)[ \t]*(?P<head>(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function\b[ \t]*\*?[ \t]*(?P<name>[\w$]+)|(?:(?:public|private|protected|static|readonly|abstract|override|async|get|set)[ \t]+|\*[ \t]*)*" + _NO_HEAD + r"(?P<name2>#?[\w$]+)(?=\??(?:<[^()\n]*>)?\([^()\n;]*(?:\([^()\n]*\)[^()\n;]*)*\)[ \t]*(?::[^\n;={}]*(?:\{[^\n{}]*\}[^\n;={}]*)*)?[{;])|(?:export[ \t]+)?(?:const|let|var)[ \t]+(?P<name3>[\w$]+)[^=\n]*=[ \t]*(?:async[ \t]*)?(?=(?:<[^()\n]*>)?\([^()\n]*\)[^=\n]*=>|function\b|[\w$]+[ \t]*=>))", _BRACES),
+    "java": _islands(_BLOCK, _SLASHES, r'"""(?s:.*?)(?<!\\)"""', _STRING, _AT, r"(?m:^)[ \t]*(?P<head>(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)[ \t]+)*(?:<[^(){};]*>[ \t]*)?" + _NO_HEAD + _WORDS + r"*" + _NO_HEAD + r"(?P<name>\w+)[ \t]*)(?=\()", _BRACES),
+    "csharp": _islands(_BLOCK, _SLASHES, r'\$?@\$?"(?:[^"]|"")*"|\$*"""(?s:.*?)"""', r"\$?(?:" + _STRING + ")", r"(?m:^)[ \t]*(?P<note>\[(?=[A-Za-z_][\w.]*(?:[(:,\]]| )))", r"(?m:^)[ \t]*(?P<head>(?:(?:public|private|protected|internal|static|sealed|abstract|virtual|override|async|unsafe|extern|partial|readonly|new|required)[ \t]+)*" + _NO_HEAD + _WORDS + r"*" + _NO_HEAD + r"(?P<name>\w+)(?:<[^<>(){};\n]*>)?[ \t]*)(?=\()", _BRACES),
+    "c": _islands(_BLOCK, _SLASHES, _STRING, r"(?m:^)[ \t]*\#(?:[^\n\\]|\\(?s:.))*", r"(?m:^)(?P<head>" + _NO_HEAD + r"(?:[A-Za-z_]\w*(?:[ \t*]+|\n(?=[A-Za-z_])))+" + _NO_HEAD + r"(?P<name>\w+)[ \t]*)(?=\()", _BRACES),
+    "go": _islands(_BLOCK, _SLASHES, r"`[^`]*`", _STRING, r"(?m:^)(?P<head>func[ \t]+(?:\([^()\n]*\)[ \t]*)?(?P<name>\w+))", _BRACES),
+    "rust": _islands(r"(?P<nested>/\*)", _SLASHES, r'b?r(?P<h>\#*)"(?s:.*?)"(?P=h)|"(?:[^"\\]|\\(?s:.))*"|\'(?:[^\'\\\n]|\\[^\n]{1,8})\'', r"(?m:^)[ \t]*(?P<note>\#!?\[)", r"(?m:^)[ \t]*(?P<head>(?:pub(?:\([^()\n]*\))?[ \t]+)?(?:(?:default|const|async|unsafe|extern(?:[ \t]+\"[^\"\n]*\")?)[ \t]+)*fn[ \t]+(?P<name>\w+))", _BRACES),
+    "ruby": _islands(r"(?P<block>(?m:^)=begin\b(?s:.*?)(?m:^)=end\b[^\n]*)", _HASHES, _STRING, r"(?m:^)[ \t]*(?P<head>(?:(?:private|public|protected|module_function)[ \t]+)?def[ \t]+(?:self\.|\w+\.)?(?P<name>[\w]+[?!=]?|[-+*/%<>=!~\[\]&|^]+))", r"(?m:^)[ \t]*(?P<word>(?:class|module|if|unless|case|begin)\b(?![^\n]*\bend[ \t]*(?:\n|\Z))|(?:while|until|for)\b[^\n]*)|(?P<late>=[ \t]*(?:if|unless|case|begin|while)\b|\bdo\b(?=[ \t]*(?:\|[^|\n]*\|)?[ \t]*(?:\n|\Z)))|(?m:^)[ \t]*(?P<end>end)\b", ends="word"),
+    "sql": _islands(_BLOCK, r"(?P<line>--[^\n]*)", r"\$(?P<h>(?:[A-Za-z_]\w*)?)\$(?s:.*?)\$(?P=h)\$", r"'(?:[^']|'')*'", r"(?mi:^)[ \t]*(?P<head>(?i:create[ \t]+(?:or[ \t]+replace[ \t]+)?(?:function|procedure))[ \t]+(?P<name>[\w.]+))", r"(?P<open>\()|(?P<close>\))|(?P<stop>;)", ends="stop"),
+}
+_RUST_EDGE = re.compile(r"/\*|\*/")
 _OPENS = re.compile(r'[ \t]*(?:\#[^\n]*)?(?:\n[ \t]*(?:\#[^\n]*)?)*(?P<q>(?i:[ru]{0,2})(?:"""(?:[^\\]|\\(?s:.))*?"""|\'\'\'(?:[^\\]|\\(?s:.))*?\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'))')
-_ABOVE = re.compile(r"^[ \t]*(?:@[\w.]+(?:\([^\n]*\))?|#\[[^\n]*\]|\[[^\n]*\])[ \t]*$")
 
 
 def _lines(text: str) -> str:
@@ -50,85 +85,160 @@ def line_count(text: str) -> int:
     return text.count("\n") + (not text.endswith("\n")) if text else 0
 
 
-def _python_docs(text: str) -> dict[int, str]:
-    """Documentation per line of a ``def`` and of the first decorator above it."""
-    docs: dict[int, str] = {}
-    lines = text.split("\n")
-    line, seen = 1, 0
-    for m in _PYTHON.finditer(text):
-        if not m.group("def") or m.group("def").startswith("class"):
-            continue
-        start = m.start("def")
-        line += text.count("\n", seen, start)
-        seen = start
-        end = _signature_end(text, m.end())
-        if end < 0:
-            continue
-        q = _OPENS.match(text, end)
-        if q:
-            raw = q.group("q").lstrip("rRuU")
-            body = raw[3:-3] if raw[:3] in ('"""', "'''") else raw[1:-1]
-            top = line
-            while top > 1 and _ABOVE.match(lines[top - 2]):
-                top -= 1
-            for n in {line, top}:
-                docs[n] = body
-    return docs
-
-
-def _signature_end(text: str, at: int) -> int:
-    """Behind the colon that ends a Python signature: brackets balanced, strings skipped."""
-    depth = 0
-    for m in _SIGNATURE.finditer(text, at):
-        c = m.group()
-        if c in "([{":
-            depth += 1
-        elif c in ")]}":
-            depth -= 1
-        elif c == ":" and depth <= 0:
-            return m.end()
-        elif c == "\n" and depth <= 0:
-            return -1
-    return -1
+class Declaration:
+    """A function as the grammar found it: its name, lines, the first line of its annotations, and its documentation."""
 
+    __slots__ = ("name", "top", "line", "end", "doc", "depth", "indent", "heading")
 
-_SIGNATURE = re.compile(rf"[()\[\]{{}}:\n]|{_STRING}|#[^\n]*")
+    def __init__(self, name: str, top: int, line: int, doc: str | None, depth: int, indent: int):
+        self.name, self.top, self.line, self.end, self.doc, self.depth, self.indent = name, top, line, None, doc, depth, indent
+        self.heading = True  # its body has not begun
 
 
-def comment_docs(language: str, text: str) -> dict[int, str]:
-    """The comment that ends directly above each line; runs of line comments are one comment."""
-    docs: dict[int, str] = {}
-    line, seen = 1, 0
-    run_start = run_end = -1
-    run: list[str] = []
-    for m in _SCANS.get(language, _C_LIKE).finditer(text):
+def _unnested(text: str, at: int) -> int:
+    """Behind the comment that begins at ``at`` and may hold others; the end of the text if it never ends."""
+    depth = 0
+    for m in _RUST_EDGE.finditer(text, at):
+        depth += 1 if m.group() == "/*" else -1
+        if not depth:
+            return m.end()
+    return len(text)
+
+
+def read(language: str, text: str) -> tuple[list[Declaration], dict[int, str]]:
+    """The declarations of the text (with \\n line ends), and the comment that ends directly above each line."""
+    scan, ends = GRAMMARS[language]
+    found: list[Declaration] = []
+    open_: list[Declaration] = []  # declarations whose body has not ended
+    above: dict[int, str] = {}
+    run: list[str] = []  # line comments that follow each other
+    run_end = note = note_end = -1  # lines: end of the run, first of the annotations, where the last of them ends
+    note_depth = note_stop = -1  # brackets open where an annotation began; where its name ends
+    depth, line, seen, at = 0, 1, 0, 0
+    while m := scan.search(text, at):
         kind = m.lastgroup
-        if kind not in ("block", "line"):
+        at = max(m.end(), at + 1)
+        if kind in _SKIPPED:
             continue
-        start = m.start()
-        if text[text.rfind("\n", 0, start) + 1 : start].strip():
-            continue  # behind code
+        start = m.start(kind)
         line += text.count("\n", seen, start)
         seen = start
-        end = line + m.group().count("\n")
-        if kind == "line" and run and run_end == line - 1:
-            run.append(m.group())
-        else:
-            run_start, run = line, [m.group()]
-        run_end = end
-        docs.pop(end, None) if kind == "line" and len(run) > 1 else None
-        docs[end + 1] = "\n".join(run)
-        if kind == "block":
-            run = []
-    return docs
+        if kind == "nested":
+            at = _unnested(text, start)
+        if kind in ("block", "line", "nested"):
+            if text[text.rfind("\n", 0, start) + 1 : start].strip():
+                continue  # behind code
+            body = text[start:at]
+            last = line + body.count("\n")
+            if kind == "line" and run and run_end == line - 1:
+                run.append(body)
+                above.pop(last, None)
+            else:
+                run = [body]
+            run_end = last
+            above[last + 1] = "\n".join(run)
+            if kind != "line":
+                run = []
+        elif kind == "note":
+            if note < 0 or note_end < line - 1 or above.get(line) is not None:
+                note = line
+            note_end, note_stop = line, m.end()
+            if m.group(kind).endswith("["):
+                note_depth = depth
+                depth += 1
+        elif kind == "head":
+            name = next(m.group(g) for g in _NAMES if g in m.re.groupindex and m.group(g))
+            top = note if note > 0 and note_end in (line - 1, line) and note_depth < 0 else line
+            column = start - text.rfind("\n", 0, start) - 1
+            if not (open_ and open_[-1].heading and ends == "braces"):
+                made = Declaration(name, top, line, above.get(top), depth, column)
+                found.append(made)
+                if ends == "word" and _ENDLESS.match(text, at):
+                    made.end, made.heading = line, False
+                else:
+                    open_.append(made)
+                    if ends == "word":
+                        made.heading = False
+                        depth += 1
+            note = -1
+        elif kind in ("open", "word"):
+            if kind == "open" and m.group("open") == "{" and open_ and open_[-1].heading and open_[-1].depth == depth:
+                open_[-1].heading = False
+            if start == note_stop:
+                note_depth = depth
+            depth += 1
+        elif kind == "late":
+            depth += 1
+        elif kind in ("close", "end"):
+            depth = max(0, depth - 1)
+            if note_depth == depth:
+                note_depth, note_end = -1, line
+            if (kind != "close" or m.group("close") == "}") and open_ and not open_[-1].heading and open_[-1].depth >= depth and ends in ("braces", "word"):
+                if ends == "braces" and _MORE_BODY.match(text, at):  # that was a type in the signature
+                    open_[-1].heading = True
+                else:
+                    open_.pop().end = line
+        elif kind == "stop" and open_ and open_[-1].heading and open_[-1].depth == depth:
+            if ends == "indent":
+                open_[-1].heading = False
+                q = _OPENS.match(text, m.end())
+                if q:
+                    raw = q.group("q").lstrip("rRuU")
+                    open_[-1].doc = raw[3:-3] if raw[:3] in ('"""', "\'\'\'") else raw[1:-1]
+            else:  # without a body
+                open_.pop().end = line
+    if ends == "indent":
+        _indented_ends(text, found)
+    return found, above
+
+
+_SKIPPED = frozenset([None, "string", "h"])
+_NAMES = ("name", "name2", "name3")
+_MORE_BODY = re.compile(r"(?:\[\])*[ \t]*\{")
+_ENDLESS = re.compile(r"[ \t]*(?:\([^()\n]*\))?[ \t]*=(?![=~>])|[^\n]*\bend[ \t]*(?=\n|\Z)")
+_PYTHON_WATER = re.compile(r'(?i:[rbuft]{0,3})(?:"""(?:[^\\]|\\(?s:.))*?"""|\'\'\'(?:[^\\]|\\(?s:.))*?\'\'\'|' + _STRING + r")|\#[^\n]*")
+
+
+def _blank(m: re.Match) -> str:
+    """A comment as blanks; a string as one mark, and another (no line of its own) where it ends on a later line."""
+    text = m.group()
+    if text[0] == "#":
+        return " " * len(text)
+    inner = re.sub(r"[^\n]", " ", text[1:])
+    return "x" + (inner[:-1] + "\0" if "\n" in inner else inner)
+
+
+def _indented_ends(text: str, found: list[Declaration]) -> None:
+    """The last line of each Python declaration: before the next line of code that is not indented further."""
+    if not found:
+        return
+    bare = _PYTHON_WATER.sub(_blank, text)
+    lines, depth = bare.split("\n"), 0
+    starts = {d.line: d for d in found}
+    stack: list[Declaration] = []
+    last = 0
+    for n, line in enumerate(lines, 1):
+        body = line.strip()
+        if body and depth == 0 and body[0] != "\0":
+            width = len(line) - len(line.lstrip())
+            while stack and stack[-1].indent >= width and stack[-1].line < n:
+                stack.pop().end = last
+            if n in starts:
+                stack.append(starts[n])
+        if body:
+            last = n
+            depth = max(0, depth + sum(map(line.count, "([{")) - sum(map(line.count, ")]}")))
+    for d in stack:
+        d.end = last
 
 
 def docs_by_line(language: str, text: str) -> dict[int, str]:
-    """For each line on which a declaration may start, the documentation in the file; also behind annotations."""
-    if language == "python":
-        docs = comment_docs("python", text) | _python_docs(text) if "def" in text else {}
-    else:
-        docs = comment_docs(language, text)
+    """For each line on which a declaration may start, the documentation in the file: the grammar's, else the comment above."""
+    found, above = read(language, text)
+    docs = above
+    for d in found:
+        if d.doc is not None:
+            docs[d.line] = docs[d.top] = d.doc
     return docs
 
 
@@ -147,9 +257,10 @@ _NOTHING = re.compile(
     r"|see (?:base|super|parent) ?class|see (?:above|below)|see @\w+|(?:inherited|inherits) .*|\{@inheritdoc\}|@inheritdoc|@override"
     r"|@(?:since|author|version|see|deprecated|generated|internal|ignore|suppress\w*|todo|api|package|module|date|copyright|license)\b.*"
     r"|<summary>\s*</summary>|</?\w+>"
-    r"|(?:pylint|noqa|eslint|tslint|nolint|clang-format|type|mypy|flake8|rubocop|prettier|istanbul|checkstyle|nosonar|pragma|jshint|jscs|go|golangci|swiftlint|phpcs|yapf|isort|fmt|rustfmt|coverage|@ts)\s*[:!-].*|(?:noqa|nosonar|nolint|eslint-\S+.*|clang-format.*)"
+    r"|(?:pylint|noqa|eslint|tslint|nolint|clang-format|mypy|flake8|rubocop|prettier|istanbul|checkstyle|nosonar|jshint|jscs|golangci|swiftlint|phpcs|yapf|isort|rustfmt|@ts)\s*[!:-].*"
+    r"|(?:type|pragma|fmt|coverage)\s*[:!-]\s*(?:ignore|no|off|on|skip|once|warning|disable|enable)\b.*|go:\S+.*|(?:noqa|nosonar|nolint|eslint-\S+.*|clang-format.*)"
     r"|copyright\b.*|\(c\) .*|all rights reserved.*|licen[sc]ed under.*|spdx-.*|part of \S+|this file is part of.*"
-    r"|auto-?generated\b.*|this stub was created.*|to change it, edit the template.*|created (?:on )?[\d/-]+.*|(?:author|date|since|version|created by|modified)\s*:.*|generated by.*"
+    r"|auto-?generated\b.*|this stub was created.*|to change it, edit the template.*|created (?:on )?[\d/-]+.*|(?:author|created by)\s*:.*|(?:date|since|version|modified)\s*:\s*v?\d[\w./:-]*(?: by .*)?|generated by.*"
     r"|\(?see \S+ #?\d+\)?|#\d+|[A-Z]+-\d+"
     r"|(?:args|arguments|parameters|params|returns?|raises|throws|yields|examples?|notes?|attributes|see also)\s*:?"
     rf"|:?(?:r?type|returns?)\b[^\w]*{_TYPE}?|{_TYPE}|\(?(?:{_TYPE}[, ]*)*\)?\s*->\s*{_TYPE}"
@@ -159,7 +270,7 @@ _NOTHING = re.compile(
 _CODE = re.compile(r"^[\w.\[\]]+\s*[-+*/|&]?:?=\s*\S.*$|^(?:return|if|for|while|else|elif|end|break|continue|throw|raise|import|let|var|const|def|fn|func)\b[^.]*[\w)\]>;:{}=+\-*/%<]$|^[\w.]+\([^)]*\);?$|^[{}();]+$")
 _UNSPACED = r"฀-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"  # scripts without spaces: each character is a piece
 _PIECES = re.compile(rf"[A-Z]+(?![a-z])|[A-Z]?[a-zß-öø-ÿ]+|(?=\w)[{_UNSPACED}]|[^\W\d_A-Za-zÀ-ÿ{_UNSPACED}]+|\d+")
-# Words that tell nothing about what a function does.
+# Words that tell nothing about what a function does.
 EMPTY = frozenset("a an the this that these those it its is are be of for to in on with by and or from as at into function method functions methods procedure routine helper class module returns return given which will does do just simply used uses".split())
 
 
@@ -225,17 +336,34 @@ def said(name: str | None, signature: str | None, doc: str | None, class_name: s
 
 
 FACTS = "relative_path string, mtime double, order_hash long, n_lines int, docs map<int,string>"
-
-
-def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        n_lines, docs = [], []
-        for path, text in zip(batch["relative_path"], batch["content"]):
-            language = language_of(path)
-            text = _lines(text) if text is not None else None
-            n_lines.append(line_count(text) if text is not None else None)
-            docs.append(docs_by_line(language, text) if language and text else {})
-        yield batch[["relative_path", "mtime", "order_hash"]].assign(n_lines=pd.array(n_lines, "Int32"), docs=docs)
+CODE = "code map<int,struct<last:int,text:string>>"
+
+
+def _facts(with_code: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n_lines, docs, code = [], [], []
+            for path, text in zip(batch["relative_path"], batch["content"]):
+                language = language_of(path)
+                text = _lines(text) if text is not None else None
+                n_lines.append(line_count(text) if text is not None else None)
+                docs.append(docs_by_line(language, text) if language and text else {})
+                if with_code:
+                    code.append(code_by_line(language, text) if language and text else {})
+            out = batch[["relative_path", "mtime", "order_hash"]].assign(n_lines=pd.array(n_lines, "Int32"), docs=docs)
+            yield out.assign(code=code) if with_code else out
+
+    return run
+
+
+def code_by_line(language: str, text: str) -> dict[int, dict]:
+    """For each first line of a declaration its last line and its code."""
+    lines, out = text.split("\n"), {}
+    for d in read(language, text)[0]:
+        if d.end:
+            for first in {d.top, d.line}:
+                out[first] = {"last": d.end, "text": "\n".join(lines[first - 1 : d.end])}
+    return out
 
 
 @F.pandas_udf(T.BooleanType())
@@ -250,19 +378,33 @@ def functions(nodes: DataFrame) -> DataFrame:
     return now.where("node_type in ('function', 'method') and removed_at is null and line_start >= 1 and line_end >= line_start and file_path is not null")
 
 
-def documented(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """Functions whose documentation says something: id, name, file_path, lines, signature, documentation."""
+def _documented(nodes: DataFrame, files: DataFrame, with_code: bool) -> DataFrame:
     rows = files.where("relative_path is not null").select("relative_path", "mtime", F.xxhash64("content").alias("order_hash"), "content")
-    facts = current_rows(rows.mapInPandas(_facts, FACTS), "relative_path", [F.col("mtime"), F.col("order_hash")], ["n_lines", "docs"])
+    facts = rows.mapInPandas(_facts(with_code), f"{FACTS}, {CODE}" if with_code else FACTS)
+    facts = current_rows(facts, "relative_path", [F.col("mtime"), F.col("order_hash")], ["n_lines", "docs", *(["code"] if with_code else [])])
     joined = skew_join(functions(nodes), facts.withColumnRenamed("relative_path", "file_path"), "file_path")
     inside = joined.where("line_end <= n_lines").withColumn("documentation", F.coalesce("docstring", F.col("docs")[F.col("line_start")]))
-    return inside.where(F.col("documentation").isNotNull() & _said("name", "signature", "documentation", "class_name")).select("id", "name", "node_type", "file_path", "line_start", "line_end", "signature", "documentation")
+    return inside.where(F.col("documentation").isNotNull() & _said("name", "signature", "documentation", "class_name"))
+
+
+def documented(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Functions whose documentation says something: id, name, file_path, lines, signature, documentation."""
+    return _documented(nodes, files, False).select("id", "name", "node_type", "file_path", "line_start", "line_end", "signature", "documentation")
 
 
 def pairs(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """Code and documentation of each documented function."""
-    current = current_rows(files.where("relative_path is not null"), "relative_path", [F.col("mtime"), F.xxhash64("content")], ["content"])
+    """Code and documentation of each documented function.
+
+    The code is cut where the file is read, by the grammar's spans. Of functions whose given lines are others, the
+    lines are cut from the current content of their files, which alone are read again and moved.
+    """
+    found = _documented(nodes, files, True).withColumn("span", F.col("code")[F.col("line_start")])
+    found = cut(found.select("id", "name", "file_path", "line_start", "line_end", "documentation", F.when(F.col("span.last") == F.col("line_end"), F.col("span.text")).alias("code")))
+    rest = found.where("code is null").drop("code")
+    paths = rest.select(F.col("file_path").alias("relative_path")).distinct()
+    own = files.where("relative_path is not null").join(paths, "relative_path", "left_semi")
+    current = current_rows(own, "relative_path", [F.col("mtime"), F.xxhash64("content")], ["content"])
     lines = F.split(F.regexp_replace(F.regexp_replace("content", "^\ufeff", ""), r"\r\n?", "\n"), "\n")
-    found = skew_join(documented(nodes, files), current.withColumnRenamed("relative_path", "file_path"), "file_path")
     code = F.array_join(F.slice(lines, F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
-    return found.select("id", "name", "file_path", "line_start", "line_end", "documentation", code.alias("code"))
+    rest = rest.join(current.withColumnRenamed("relative_path", "file_path"), "file_path").select("id", "name", "file_path", "line_start", "line_end", "documentation", code.alias("code"))
+    return found.where("code is not null").unionByName(rest)
