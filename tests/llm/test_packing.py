@@ -53,3 +53,22 @@ def test_best_fit_takes_the_tightest_and_closes_the_fullest():
     assert [p.put(6), p.put(7), p.put(3), p.put(4)] == [0, 1, 1, 0] and sorted(p.closed) == [0, 1]
     p = P.Packer(10, 2)
     assert [p.put(8), p.put(6), p.put(9)] == [0, 1, 2] and p.closed == [0]
+
+
+def test_rounds_in_many_tasks(spark):
+    """Few items a task: a tree of rounds, every piece placed once, no overflow, and the same bins each time."""
+    rd = random.Random(9)
+    docs = spark.createDataFrame([(i, "a " * rd.randint(1, 40)) for i in range(400)], "doc_id long, text string").repartition(8)
+    kinds = [("k", 60), ("m", 200)]
+    sizes = spark.createDataFrame(kinds, "container_kind string, capacity long")
+    runs = []
+    for _ in range(2):
+        rows = P.pack(docs, sizes, most=4, items=20).collect()
+        used = {}
+        for r in rows:
+            used[r.container_kind, r.container_id] = used.get((r.container_kind, r.container_id), 0) + r.n_tokens
+        assert all(n <= dict(kinds)[k] for (k, _), n in used.items())
+        assert sorted((r.container_kind, r.doc_id) for r in rows) == sorted((k, i) for k, _ in kinds for i in range(400))
+        assert any(c.startswith("m1.1.") for _, c in used)
+        runs.append(sorted((r.container_kind, r.container_id, r.doc_id) for r in rows))
+    assert runs[0] == runs[1]

@@ -75,3 +75,27 @@ def test_whole_table_against_library(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     want = {r.doc_id: REFERENCE.encode_ordinary(r.text or "") for r in docs.collect()}
     assert {r.doc_id: r.ids for r in T.encode(docs, ["doc_id"]).collect()} == want
+
+
+def test_equal_hashes_give_no_wrong_ids(monkeypatch):
+    """With a hash that is the same for all slices, every id is still right."""
+    monkeypatch.setattr(T.Encoder, "_keys", lambda self, points, starts, stops: (stops - starts).astype(np.uint64))
+    encoder, texts = T.Encoder(), ["one two six ten", "red dog cat one", "\u00e9\u00e9 two  red", ""]
+    for _ in range(2):
+        ids, counts = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [REFERENCE.encode_ordinary(t) for t in texts]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=60), st.integers(0, 60), st.integers(0, 60), st.integers(3, 50))
+def test_offsets_decode_any_stretch(text, a, b, block):
+    ids, starts, lengths = ENCODER.offsets(text, block)
+    assert ids == REFERENCE.encode_ordinary(text) and sum(lengths) == len(ids)
+    a, b = sorted((min(a, len(text)), min(b, len(text))))
+    assert T.decode_stretch(ids, starts, lengths, a, b) == text[a:b]
+
+
+def test_offsets_operator(spark):
+    df = spark.createDataFrame([(1, "hi there"), (2, None), (3, "")], "doc_id long, text string").selectExpr("*", "'c' as ids", "1 as starts")
+    got = {r.doc_id: (r.ids, r.starts, r.lengths) for r in T.encode_with_offsets(df, ["doc_id"]).collect()}
+    assert got == {1: ([5303, 612], [0, 2], [1, 1]), 2: ([], [], []), 3: ([], [], [])}

@@ -6,8 +6,10 @@ from the item's size on. If none takes it and ``OPEN`` bins are open, the fulles
 opens. A full bin closes at once.
 
 Each task packs the documents of its own partition where they were counted, for all capacities together.
-The bins still open at its end are items of a second round (their documents stay together), packed by few
-tasks after one shuffle of at most ``OPEN`` rows a task and capacity.
+The bins still open at its end are items of the next round (their documents stay together), which packs them in
+tasks of about ``ITEMS`` each; what these leave open (``OPEN`` bins a task and capacity at most) goes to the round
+after it, until one task is left. A round reads its items in a fixed order, and its result is written before it is
+used, so a task that is run again gives the same bins.
 
 A document larger than the capacity is cut into pieces that fill containers, and a last piece that is an
 item like any other. Defined cases: null and empty texts are items of size 0 and are placed too; capacities
@@ -27,6 +29,7 @@ from ..session import cut
 from .tokens import token_counts
 
 OPEN = 256  # bins that a packer keeps open
+ITEMS = 20_000  # open bins that one task of a later round packs
 KINDS = 1000  # kinds of container at most; the table of kinds is small by nature
 PLACED = "container_kind string, capacity long, bin string, doc_id long, piece int, start long, n_tokens long, closed boolean"
 
@@ -107,22 +110,26 @@ def _first_round(kinds: list[tuple[str, int]], most: int):
 _NAMES = ["container_kind", "capacity", "bin", "doc_id", "piece", "start", "n_tokens", "closed"]
 
 
-def _second_round(most: int):
+def _later_round(number: int, most: int):
+    """Packs bins (read in a fixed order) into larger ones; the last rows tell how much of each open bin is used."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
         packers: dict[tuple[str, int], Packer] = {}
+        closed: set[str] = set()
+        rows: list[tuple] = []
         for batch in batches:
-            out = []
             for kind, capacity, name, used in zip(batch["container_kind"], batch["capacity"], batch["bin"], batch["used"]):
                 packer = packers.setdefault((kind, capacity), Packer(int(capacity), most))
-                out.append((kind, name, f"m{task}.{packer.put(int(used))}"))
+                rows.append((kind, capacity, name, f"m{number}.{task}.{packer.put(int(used))}", int(used)))
+                closed |= {f"{kind}\0m{number}.{task}.{c}" for c in packer.closed}
                 packer.closed.clear()
-            yield pd.DataFrame(out, columns=["container_kind", "bin", "merged"])
+        yield pd.DataFrame([(*r, f"{r[0]}\0{r[3]}" in closed) for r in rows], columns=["container_kind", "capacity", "bin", "merged", "used", "closed"])
 
     return run
 
 
-def pack(documents: DataFrame, containers: DataFrame, path: str | None = None, most: int = OPEN) -> DataFrame:
+def pack(documents: DataFrame, containers: DataFrame, path: str | None = None, most: int = OPEN, items: int = ITEMS) -> DataFrame:
     """One row per placed piece: container_kind, container_id, doc_id, piece, start, n_tokens."""
     rows = containers.where("capacity >= 1 and container_kind is not null").select("container_kind", "capacity").distinct().limit(KINDS + 1).collect()
     if len(rows) > KINDS:
@@ -130,10 +137,26 @@ def pack(documents: DataFrame, containers: DataFrame, path: str | None = None, m
     kinds = sorted((r.container_kind, int(r.capacity)) for r in rows)
     sizes = token_counts(documents, ["doc_id"], path=path)
     placed = cut(sizes.mapInPandas(_first_round(kinds, most), PLACED))  # read three times below: written once, so that no text is counted twice
-    left = placed.where("not closed").groupBy("container_kind", "capacity", "bin").agg(F.sum("n_tokens").alias("used"))
-    merged = left.repartition(F.col("container_kind"), F.pmod(F.xxhash64("bin"), F.lit(4))).mapInPandas(_second_round(most), "container_kind string, bin string, merged string")
-    whole = placed.where("not closed").join(merged, ["container_kind", "bin"]).withColumn("bin", F.col("merged")).drop("merged")
-    out = placed.where("closed").unionByName(whole)
+    left = cut(placed.where("not closed").groupBy("container_kind", "capacity", "bin").agg(F.sum("n_tokens").alias("used")))
+    n, number, names = left.count(), 0, None
+    each = max(items, 4 * most * len(kinds))  # a task leaves a quarter of its items open at most
+    while n:
+        parts, number = -(-n // each), number + 1
+        dealt = left.repartition(parts, F.pmod(F.xxhash64("bin"), F.lit(parts))).sortWithinPartitions("container_kind", "capacity", F.desc("used"), "bin")
+        merged = cut(dealt.mapInPandas(_later_round(number, most), "container_kind string, capacity long, bin string, merged string, used long, closed boolean"))
+        step = merged.select("container_kind", F.col("bin").alias("now"), "merged")
+        if names is None:
+            names = step.select("container_kind", F.col("now").alias("bin"), F.col("merged").alias("now"))
+        else:
+            names = names.join(step, ["container_kind", "now"], "left").select("container_kind", "bin", F.coalesce("merged", "now").alias("now"))
+        if parts == 1:
+            break
+        left = cut(merged.where("not closed").groupBy("container_kind", "capacity", F.col("merged").alias("bin")).agg(F.sum("used").alias("used")))
+        n = left.count()
+    out = placed.where("closed")
+    if names is not None:
+        whole = placed.where("not closed").join(names, ["container_kind", "bin"]).withColumn("bin", F.col("now")).drop("now")
+        out = out.unionByName(whole)
     return out.select("container_kind", F.col("bin").alias("container_id"), "doc_id", "piece", "start", "n_tokens")
 
 

@@ -7,7 +7,10 @@ composing them form a small monoid, so a run of text is one monoid element and c
 look-up. Text is laid out in columns, each column is scanned with all others side by side, the columns'
 totals are composed, and that gives the state before every character, hence every slice's start.
 
-Slices are merged by rank (``merge``) once each and kept in a cache per task. Ids never depend on the batch.
+Slices are merged by rank (``merge``) once each and kept in a cache per task. A slice is looked up by a hash of its
+code points and then held against the code points of the one that was kept, so equal hashes of different slices give
+no wrong ids. Ids never depend on the batch. The slices' offsets are retained (``encode_with_offsets``): with them
+any stretch of a text is decoded from its own ids alone.
 
 Defined cases: null and empty text give no ids; text that looks like a special token is ordinary text.
 """
@@ -15,14 +18,15 @@ Defined cases: null and empty text give no ids; text that looks like a special t
 from __future__ import annotations
 
 import base64
+import bisect
 import os
-import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,6 +225,7 @@ class Encoder:
     def _forget(self):
         self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and the slice of each
         self.ids, self.first = [], [0]  # ids of slice k: ids[first[k] : first[k + 1]]
+        self.points, self.begin = [], [0]  # code points of slice k, as ids
 
     def slices(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The joined texts and their code points, where each slice starts and stops, and how many each text has."""
@@ -235,24 +240,16 @@ class Encoder:
 
     def _numbers(self, joined: str, points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """The number of each slice; new ones are merged and added."""
-        size = 1 << max(20, (len(points) + 1).bit_length())
-        up, down = _powers(size)
-        total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=total[1:])
-        key = (total[stops] - total[starts]) * down[starts]
-        key ^= key >> np.uint64(29)
-        long = stops - starts > LONGEST_KNOWN
-        key[long] = np.flatnonzero(long).astype(np.uint64) | np.uint64(1 << 63)  # one key each, forgotten below
+        key = self._keys(points, starts, stops)
         at = np.searchsorted(self.hashes, key)
         hit = self.hashes[np.minimum(at, len(self.hashes) - 1)] == key if len(self.hashes) else np.zeros(len(key), bool)
+        long = stops - starts > LONGEST_KNOWN
+        key[long] = np.flatnonzero(long).astype(np.uint64) | np.uint64(1 << 63)  # one key each, forgotten below
         new, where = np.unique(key[~hit | long], return_index=True)
         number = np.empty(len(key), np.int64)
         if len(new):
             place = np.flatnonzero(~hit | long)[where]
-            fresh = np.arange(len(new)) + len(self.first) - 1
-            for i, j in zip(starts[place].tolist(), stops[place].tolist()):
-                self.ids += merge(joined[i:j].encode("utf-8", "replace"), self.rank)
-                self.first.append(len(self.ids))
+            fresh = self._add(joined, points, starts[place], stops[place])
             number[~hit | long] = fresh[np.searchsorted(new, key[~hit | long])]
         hit &= ~long
         number[hit] = self.numbers[at[hit]]
@@ -261,8 +258,45 @@ class Encoder:
             hashes, numbers = np.concatenate([self.hashes, new[keep]]), np.concatenate([self.numbers, fresh[keep]])
             order = np.argsort(hashes)
             self.hashes, self.numbers = hashes[order], numbers[order]
+        wrong = np.flatnonzero(~self._same(points, starts, stops, number))
+        if len(wrong):  # another slice has the same hash: these are merged each time
+            number[wrong] = self._add(joined, points, starts[wrong], stops[wrong])
         return number
 
+    def _keys(self, points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """A hash of each slice's code points."""
+        size = 1 << max(20, (len(points) + 1).bit_length())
+        up, down = _powers(size)
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=total[1:])
+        key = (total[stops] - total[starts]) * down[starts]
+        return key ^ (key >> np.uint64(29))
+
+    def _add(self, joined: str, points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Merges slices and keeps them; their numbers."""
+        fresh = np.arange(len(starts)) + len(self.first) - 1
+        for i, j in zip(starts.tolist(), stops.tolist()):
+            self.ids += merge(joined[i:j].encode("utf-8", "replace"), self.rank)
+            self.first.append(len(self.ids))
+            self.points.append(points[i:j])
+            self.begin.append(self.begin[-1] + j - i)
+        return fresh
+
+    def _same(self, points: np.ndarray, starts: np.ndarray, stops: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether each slice is the one kept under its number, code point by code point."""
+        if len(self.points) > 1:
+            self.points = [np.concatenate(self.points)]
+        kept, begin = self.points[0] if self.points else points[:0], np.array(self.begin, np.int64)
+        lengths = stops - starts
+        same = begin[number + 1] - begin[number] == lengths
+        at = np.flatnonzero(same)
+        n = lengths[at]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        differs = kept[np.repeat(begin[number[at]], n) + within] != points[np.repeat(starts[at], n) + within]
+        if differs.any():
+            same[np.repeat(at, n)[differs]] = False
+        return same
+
     def encode(self, texts: list[str], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and how many each text has. Longer texts than ``block`` are scanned in parts."""
         if not any(len(t) > block for t in texts):
@@ -274,6 +308,22 @@ class Encoder:
             counts.append(sum(map(len, parts)))
         return np.concatenate(ids), np.array(counts, np.int64)
 
+    def offsets(self, text: str, block: int = BLOCK) -> tuple[list[int], list[int], list[int]]:
+        """The ids of a text, where each of its slices begins (in code points), and how many ids each slice has."""
+        ids, begins, lengths, base = [], [], [], 0
+        for part in cut_long(text, block):
+            if len(self.first) > CACHED:
+                self._forget()
+            joined, points, starts, stops, _ = self.slices([part])
+            number = self._numbers(joined, points, starts, stops)
+            first = np.array(self.first, np.int64)
+            for k in number.tolist():
+                ids += self.ids[first[k] : first[k + 1]]
+            lengths += np.diff(first)[number].tolist()
+            begins += (starts + base).tolist()
+            base += len(part)
+        return ids, begins, lengths
+
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.first) > CACHED:
             self._forget()
@@ -286,19 +336,27 @@ class Encoder:
         return ids, np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
 
 
-_SAFE = re.compile(r"(?<=\S)(?=[ \n\t])")
+def _safe(text: str, at: int, block: int) -> int:
+    """The first place from ``at`` on where a blank, tab or line feed follows something that is not white, or the end."""
+    while at < len(text):
+        kind = classes()[np.frombuffer(text[at - 1 : at + block].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        points = np.frombuffer(text[at : at + block].encode("utf-32-le", "surrogatepass"), np.uint32)
+        white = (kind == SPACE) | (kind == WHITE)
+        found = np.flatnonzero(np.isin(points, [9, 10, 32]) & ~white[:-1])
+        if len(found):
+            return at + int(found[0])
+        at += block
+    return len(text)
 
 
 def cut_long(text: str, block: int) -> list[str]:
     """Parts of about ``block`` code points, cut before white space that follows something else: a slice starts there whatever comes before."""
     parts, at = [], 0
     while len(text) - at > block:
-        m = _SAFE.search(text, at + block)
-        if not m or m.start() >= len(text):
-            break
-        parts.append(text[at : m.start()])
-        at = m.start()
-    return [*parts, text[at:]]
+        end = _safe(text, at + block, block)
+        parts.append(text[at:end])
+        at = end
+    return [*parts, text[at:]] if at < len(text) or not parts else parts
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -314,7 +372,7 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def _encoding(path: str, lengths_only: bool, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(_local(path))
         for batch in batches:
             keep = [c for c in batch.schema.names if c != text]
             texts = [t or "" for t in batch.column(text).to_pylist()]
@@ -333,18 +391,59 @@ def vocabulary_path(path: str | None = None) -> str:
     return path or os.environ.get("TOKENIZER_PATH") or VOCABULARY
 
 
+def _shipped(df: DataFrame, path: str | None) -> str:
+    """The vocabulary's path, once Spark has sent the file to every executor under its name."""
+    path = vocabulary_path(path)
+    context = df.sparkSession.sparkContext
+    if os.path.exists(path) and not any(os.path.basename(f) == os.path.basename(path) for f in context.listFiles):
+        context.addFile(path)
+    return path
+
+
+def _local(path: str) -> str:
+    """Where a task finds the vocabulary: what was sent to it, else the path itself."""
+    sent = SparkFiles.get(os.path.basename(path))
+    return sent if os.path.exists(sent) else path
+
+
+def _shape(df: DataFrame, text: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text)
+
+
 def encode(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """``keep`` and ``ids``, one row per row of ``df``."""
     rows = df.select(*keep, F.col(text))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
-    return rows.mapInArrow(_encoding(vocabulary_path(path), False, text), f"{shape}, ids array<int>")
+    return rows.mapInArrow(_encoding(_shipped(df, path), False, text), f"{_shape(rows, text)}, ids array<int>")
+
+
+def encode_with_offsets(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
+    """``keep``, ``ids``, and of each slice its first code point (``starts``) and its number of ids (``lengths``)."""
+    rows, path = df.select(*keep, F.col(text)), _shipped(df, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(_local(path))
+        for batch in batches:
+            found = [encoder.offsets(t or "") for t in batch.column(text).to_pylist()]
+            kept = [c for c in batch.schema.names if c != text]
+            columns = [pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, "ids", "starts", "lengths"])
+
+    return rows.mapInArrow(run, f"{_shape(rows, text)}, ids array<int>, starts array<int>, lengths array<int>")
 
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """``keep`` and ``n_tokens``, one row per row of ``df``."""
     rows = df.select(*keep, F.col(text))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
-    return rows.mapInArrow(_encoding(vocabulary_path(path), True, text), f"{shape}, n_tokens long")
+    return rows.mapInArrow(_encoding(_shipped(df, path), True, text), f"{_shape(rows, text)}, n_tokens long")
+
+
+def decode_stretch(ids: list[int], starts: list[int], lengths: list[int], begin: int, end: int, path: str | None = None) -> str:
+    """The code points ``begin`` to ``end`` of a text, from the ids of the slices that reach into them alone."""
+    first = max(0, bisect.bisect_right(starts, begin) - 1)
+    last = bisect.bisect_left(starts, end)
+    before = sum(lengths[:first])
+    text = decode(ids[before : before + sum(lengths[first:last])], path)
+    return text[begin - starts[first] : end - starts[first]] if starts else ""
 
 
 def decode(ids: list[int], path: str | None = None) -> str:
