@@ -289,12 +289,15 @@ class Encoder:
         kept, begin = self.points[0] if self.points else points[:0], np.array(self.begin, np.int64)
         lengths = stops - starts
         same = begin[number + 1] - begin[number] == lengths
-        at = np.flatnonzero(same)
-        n = lengths[at]
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        differs = kept[np.repeat(begin[number[at]], n) + within] != points[np.repeat(starts[at], n) + within]
-        if differs.any():
-            same[np.repeat(at, n)[differs]] = False
+        # ``shift`` leads from a place in the text to its place among what is kept; 32 bits hold both.
+        for a in range(0, len(number), 100_000):
+            part = np.flatnonzero(same[a : a + 100_000]) + a
+            n = lengths[part]
+            place = np.arange(int(n.sum()), dtype=np.int32) + np.repeat((starts[part] - (np.cumsum(n) - n)).astype(np.int32), n)
+            shift = np.repeat((begin[number[part]] - starts[part]).astype(np.int32), n)
+            differs = kept[place + shift] != points[place]
+            if differs.any():
+                same[np.repeat(part, n)[differs]] = False
         return same
 
     def encode(self, texts: list[str], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
