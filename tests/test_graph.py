@@ -71,12 +71,12 @@ def test_tree_marks_recursion(spark):
 def test_pagerank(spark):
     pairs = [(a, b) for a, b in random_pairs(5) if a and b]
     names = sorted({x for p in pairs for x in p} | {"alone"})
-    rank = {r.id: r.rank for r in graph.pagerank(frame(spark, pairs), ids(spark, names), iterations=15).collect()}
+    rank = {r.id: r.rank for r in graph.pagerank(frame(spark, pairs), ids(spark, names), tolerance=1e-12, rounds=200).collect()}
     want, n = dict.fromkeys(names, 1 / len(names)), len(names)
     out = defaultdict(list)
     for a, b in pairs:
         out[a].append(b)
-    for _ in range(15):
+    for _ in range(200):
         new = dict.fromkeys(names, 0.15 / n + 0.85 * sum(want[x] for x in names if not out[x]) / n)
         for a, bs in out.items():
             for b in bs:
@@ -104,4 +104,11 @@ def test_contract_degrees_budget(spark):
     assert sorted((r.src, r.dst, r.weight) for r in graph.contract(e, groups).collect()) == [("x", "y", 2), ("y", "x", 1)]
     assert {r.id: r.degree for r in graph.degrees(e).collect()} == {"a": 6, "b": 3, "c": 1}
     rows = spark.createDataFrame([("a", 3), ("b", 3), ("c", 5), ("d", 1)], "id string, cost int")
-    assert [r.id for r in graph.budget_cut(rows, [F.col("id")], "cost", 7).collect()] == ["a", "b"]
+    assert sorted(r.id for r in graph.budget_cut(rows.withColumn("one", F.lit(1)), ["id"], "cost", 7, "one").collect()) == ["a", "b"]
+
+
+def test_a_search_for_one_node_stops_there(spark):
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(9)]
+    got = {r.id: r.hops for r in graph.shortest_paths(frame(spark, pairs), ids(spark, ["n0"]), stop_at="n2").collect()}
+    assert got == {"n0": 0, "n1": 1, "n2": 2}
+    assert graph.shortest_paths(frame(spark, pairs), ids(spark, ["n0"]), stop_at="n0").count() == 1

@@ -11,7 +11,7 @@ from tracegrove.operators import orphans, resolve
 from tracegrove.operators.relational import current_rows, first_by, positions
 from tracegrove.operators.skew import skew_join
 from tracegrove.schema import bounded
-from tracegrove.sources import extract, scan
+from tracegrove.sources import extract, references, scan
 from tracegrove.streaming.debounce import KeptCurrent, change_feed, debounced
 
 T = datetime(2025, 1, 1)
@@ -66,13 +66,16 @@ def test_orphans(spark):
 
 def test_import_resolution(spark):
     files = spark.createDataFrame([("r/a/x.js", 'import * as y from "./y";\nimport z from "lib";\n'), ("r/a/y.ts", ""), ("r/m.py", "import a.n\nfrom q import z\n"), ("r/a/n.py", "def f():\n    return g(1)\n\ndef g(x):\n    return 1\n"), ("r/a/b.c", '#include "c.h"\n'), ("r/c.h", ""), ("r/n", None)], "relative_path string, content string")
-    assert sorted((r.path, r.target) for r in resolve.resolve_imports(files).collect()) == [("r/a/b.c", "r/c.h"), ("r/a/x.js", "r/a/y.ts"), ("r/m.py", "r/a/n.py")]
+    rows = [(r.relative_path, *x) for r in files.collect() for x in references.imports(r.relative_path, r.content or "")]
+    imports = spark.createDataFrame(rows, "path string, " + references.IMPORTS)
+    found = resolve.resolve_imports(imports, files.select(F.col("relative_path").alias("path")), spark.createDataFrame([], "root string, module string"))
+    assert sorted((r.path, r.target) for r in found.where("target is not null").collect()) == [("r/a/b.c", "r/c.h"), ("r/a/x.js", "r/a/y.ts"), ("r/m.py", "r/a/n.py")]
 
 
 def test_call_cascade(spark):
     known = spark.createDataFrame([("A.foo", "foo", "A.py", None), ("B.foo", "foo", "B.py", None), ("C.bar", "bar", "A.py", "C"), ("B.bar", "bar", "B.py", None), ("one", "one", "Z.py", None), ("I.q", "q", "I.py", None), ("J.q", "q", "J.py", None)], "id string, name string, file_path string, class_name string")
-    calls = spark.createDataFrame([("A.foo", "foo", "A.py", None), ("C.test", "bar", "A.py", "C"), ("A.foo", "one", "A.py", None), ("A.foo", "q", "A.py", None), ("A.foo", "no", "A.py", None)], "source string, callee string, file_path string, class_name string")
-    imported = spark.createDataFrame([("A.py", "I.py")], "path string, target string")
+    calls = spark.createDataFrame([("A.foo", "foo", "A.py", None), ("C.test", "bar", "A.py", "C"), ("A.foo", "one", "A.py", None), ("A.foo", "q", "A.py", None), ("A.foo", "no", "A.py", None)], "source string, callee string, path string, class_name string").withColumn("receiver", F.lit(None).cast("string"))
+    imported = spark.createDataFrame([("A.py", 1, None, "I.py", None)], "file string, seq long, symbol string, at string, alias string")
     got = {(r.source, r.callee): (r.target, r.tier) for r in resolve.resolve_calls(calls, known, imported).collect()}
     assert got == {("A.foo", "foo"): ("A.foo", 3), ("C.test", "bar"): ("C.bar", 3), ("A.foo", "one"): ("one", 2), ("A.foo", "q"): ("I.q", 1)}
 
@@ -82,9 +85,10 @@ def test_extractors(spark):
     assert [(s[0], s[1], s[2], s[-1]) for s in python] == [("class", "A", None, False), ("method", "m", "A", False), ("function", "main", None, True)]
     assert extract.python_symbols("def (") == []
     files = spark.createDataFrame([("a.sql", "CREATE TABLE s.t (a INT); -- x;\nINSERT INTO s.d SELECT * FROM s.t JOIN u ON 1=1;"), ("b.go", "package p\n\ntype T struct {\n}\n\nfunc (t *T) M() {\n}\n"), ("c.rs", None)], "relative_path string, content string")
-    rows = [(r.kind, sorted(r.writes), sorted(r.reads)) for r in extract.sql_statements(files).orderBy("ordinal").collect()]
+    rows = [(kind, sorted(writes), sorted(reads)) for _, kind, writes, reads, _ in extract.sql_rows("a.sql", files.where("relative_path = 'a.sql'").first().content)]
     assert rows == [("CREATE", ["s.t"], ["s.t"]), ("INSERT", ["s.d"], ["s.d", "s.t", "u"])]
-    assert sorted((r.kind, r.name) for r in extract.extract_declarations(files).collect()) == [("class", "T"), ("function", "M")]
+    found = files.select(F.explode(extract.declarations(F.col("relative_path"), F.col("content"))).alias("f")).select("f.*")
+    assert sorted((r.kind, r.name) for r in found.collect()) == [("class", "T"), ("function", "M")]
 
 
 def test_scan_and_snapshot(spark, tmp_path):
@@ -93,7 +97,7 @@ def test_scan_and_snapshot(spark, tmp_path):
         (tree / name).parent.mkdir(parents=True, exist_ok=True)
         (tree / name).write_bytes(text)
     got = scan.scan_tree(spark, str(tree), ["py", "js"], ["*.min.js"])
-    assert [r.relative_path for r in got.collect()] == ["a.py", "sub/c.PY"]
+    assert sorted(r.relative_path for r in got.collect()) == ["a.py", "sub/c.PY"]
     nodes = spark.createDataFrame([("a", "file"), ("b", "class")], "id string, node_type string")
     edges = spark.createDataFrame([("a", "b", "contains")], "src string, dst string, edge_type string")
     scan.save_snapshot(nodes, edges, str(tmp_path / "snap"))
@@ -143,6 +147,16 @@ def test_project(spark, data, tmp_path):
     assert info.n_callers >= 1 and first.src in (info.callers or []) or info.n_callers > 10
     index = str(tmp_path / "index")
     assert p.build_index(index).count() == p.build_index(index).count() > 0
+    assert p.index_meta(index).first().width == 64 and p.index_meta(index + "x") is None
+    assert p.semantic_search(name, 3, index).count() == 3
+    assert p.symbol_info(name).first().id and p.symbol_info("no such name at all").count() == 0
+    assert p.intent("graph_dependency_tree", query="no such name at all")["tree"].count() == 0 and p.intent("graph_path", source="no such name", target=name)["path"].count() == 0
+    path = p.files("mtime").orderBy("relative_path").first().relative_path
+    assert p.read_file_raw(path, 10).select("truncated").count() == 1 and p.read_file_span(path, 2, 1).first().base_line == 1
+    with pytest.raises(ValueError):
+        p.read_file("../x")
+    with pytest.raises(PermissionError):
+        p.read_file("a/node_modules/x.js")
     report = spark.createDataFrame([("a", 1.0), ("b", 9.5)], "path string, total double")
     assert summarize_hotspots(report) == "- b: 9.50\n- a: 1.00" and summarize_hotspots(report.limit(0)) == "No hotspots."
     assert "find_path" in search_tools("shortest path")

@@ -236,7 +236,7 @@ class Project:
         hidden = self.spark.range(1).select(scan.ignored(F.lit(plain), scan.IGNORED)).first()[0]
         if hidden:
             raise PermissionError(f"{path!r} is ignored")
-        return base.file_facts(self.spark, self.folder, using=None, **facts, _where=F.col("relative_path") == plain).where("_where").drop("_where")
+        return base.file_facts(self.spark, self.folder, **facts).where(F.col("relative_path") == plain)  # the filter reaches the scan
 
     def read_span(self, path: str, start: int, end: int) -> DataFrame:
         return self._text(path, span=scan.span(F.col("content"), start, end))

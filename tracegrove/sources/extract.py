@@ -80,10 +80,11 @@ STATEMENTS = "ordinal int, kind string, writes array<string>, reads array<string
 _SQL_TOKEN = re.compile(r"--[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|(?P<keep>'(?:[^']|'')*'|\"[^\"\n]*\"|`[^`\n]*`)|(?P<end>;)")
 _NAME = r"((?:[A-Za-z_]\w*|\"[^\"\n]+\"|`[^`\n]+`)(?:\.(?:[A-Za-z_]\w*|\"[^\"\n]+\"|`[^`\n]+`))*)"
 _WRITES = re.compile(rf"(?i)\b(?:insert\s+(?:or\s+\w+\s+)?into|merge\s+into|create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:materialized\s+)?(?:table|view)(?:\s+if\s+not\s+exists)?|^\s*update|delete\s+from)\s+{_NAME}")
-_READS = re.compile(rf"(?i)\b(?:from|join|using)\s+(?!\s*select\b){_NAME}(?P<more>(?:\s+(?:as\s+)?\w+)?(?:\s*,\s*{_NAME}(?:\s+(?:as\s+)?(?!where\b|join\b|on\b|group\b|order\b)\w+)?)*)")
+_NO_ALIAS = r"(?!(?:where|join|on|group|order|set|left|right|inner|outer|full|cross|natural|having|limit|union|intersect|except|select|values|using|when|returning|for|window|fetch|offset)\b)"
+_READS = re.compile(rf"(?i)\b(?:from|join|using)\s+(?!\s*select\b){_NAME}(?P<more>(?:\s+(?:as\s+)?{_NO_ALIAS}\w+)?(?:\s*,\s*{_NAME}(?:\s+(?:as\s+)?{_NO_ALIAS}\w+)?)*)")
 _WITH = re.compile(r"(?i)(?:\bwith\s+(?:recursive\s+)?|\)\s*,\s*)([A-Za-z_]\w*)\s*(?:\([^()]*\)\s*)?as\s*(?:(?:not\s+)?materialized\s*)?\(")
 _COLUMN = re.compile(r"(?i)\bas\s+\w+|(?<![\w.:@$])([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)(?!\s*\(|[\w.])")
-_SOURCE = re.compile(rf"(?i)\b(?:from|join|into|update|table|view)\s+{_NAME}(?:\s+(?:as\s+)?(?!(?:where|join|on|group|order|set|left|right|inner|outer|full|cross|having|limit|union|select|values|using)\b)\w+)?")
+_SOURCE = re.compile(rf"(?i)\b(?:from|join|into|update|table|view)\s+{_NAME}(?:\s+(?:as\s+)?{_NO_ALIAS}\w+)?")
 _EXPRESSIONS = re.compile(r"(?is)\b(?:select|where|set|on|having)\b.*")
 # Words of statements that are no columns.
 _SQL_WORDS = frozenset("select from where group by having order limit offset union intersect except all distinct insert into values update set delete create table view as and or not in is null like ilike between exists case when then else end join inner left right full outer cross on using asc desc over partition rows range unbounded preceding following current row true false with recursive default returning conflict do nothing nulls first last interval date timestamp".split())

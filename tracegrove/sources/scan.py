@@ -54,8 +54,11 @@ def read_ignore_rules(spark: SparkSession, root: str) -> list[str]:
     out = []
     for name in IGNORE_FILES:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            out += [r.value for r in spark.read.text(f"{root.rstrip('/')}/{name}").collect()]
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):  # Spark's readers pass over names that begin with a dot
+            stream = fs.open(path)
+            out += spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+            stream.close()
     return out
 
 
