@@ -5,8 +5,14 @@ Every tool gives a lazy DataFrame. Requests are held against the bounds of ``sch
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .functions import text as T
 from .operators import graph
@@ -290,13 +296,21 @@ VECTOR = 64
 SEARCHED = ("class", "function", "method", "doc_section", "file")
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _vectors(texts: pd.Series) -> pd.Series:
+    out = []
+    for text in texts:
+        words = re.findall("[a-z0-9]+", re.sub("([a-z])([A-Z])", r"\1 \2", text or "").lower())
+        places = np.fromiter((zlib.crc32(w.encode()) % (2 * VECTOR) for w in words), np.int64, len(words))
+        counts = np.bincount(places, minlength=2 * VECTOR).astype(float)
+        v = counts[:VECTOR] - counts[VECTOR:]
+        out.append(v / (np.linalg.norm(v) or 1.0))
+    return pd.Series(out)
+
+
 def hashed_vector(text) -> F.Column:
-    """Unit vector of hashed words: each word adds or takes one at its place."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")), "[^a-z0-9]+"), lambda w: w != "")
-    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(VECTOR * 2)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(VECTOR - 1)), lambda i: (F.size(F.filter(places, lambda p: p == i)) - F.size(F.filter(places, lambda p: p == i + VECTOR))).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm == 0, counts).otherwise(F.transform(counts, lambda x: x / norm))
+    """Unit vector of hashed words: each word adds or takes one at its place; no words give zeros."""
+    return _vectors(text)
 
 
 def _seeds(p: Project, query: str, most: int = 10) -> list[str]:
