@@ -14,7 +14,7 @@ from ..session import cut
 from .relational import running_sums
 
 HOT, SALTS = 50_000, 16
-TOLERANCE, ROUNDS, STEP = 1e-6, 100, 5  # of ranks
+TOLERANCE, ROUNDS, STEP = 1e-4, 100, 5  # of ranks
 
 
 class Adjacency:
@@ -126,18 +126,24 @@ def pagerank(edges: DataFrame, ids: DataFrame, damping: float = 0.85, tolerance:
     out = links.groupBy("src").agg(F.sum("n").alias("out"))
     shares = cut(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")))
     nodes = cut(ids.select("id").where("id is not null").distinct())
-    y = nodes.withColumn("y", F.lit(1.0))
+    shares = shares.join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").join(nodes.withColumnRenamed("id", "src"), "src", "left_semi")
+    shares = cut(shares.repartition("src"))
+    n = nodes.count()
+    # y is 1 and what comes in, ``z``; of the 1 of every sender the same share comes each round (``steady``), so only
+    # nodes that receive are carried from round to round.
+    steady = cut(shares.groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("v")))
+    z = steady.select("id", F.lit(0.0).alias("z"))
     for _ in range(rounds // step):
-        new = y.select("id", "y")
+        new = z.select("id", "z")
         for _ in range(step):
-            came = shares.join(new.select(F.col("id").alias("src"), "y"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("y") * F.col("share")).alias("came"))
-            new = nodes.join(came, "id", "left").select("id", (1 + damping * F.coalesce("came", F.lit(0.0))).alias("y"))
-        y = cut(new.join(y.select("id", F.col("y").alias("old")), "id").select("id", "y", F.abs(F.col("y") - F.col("old")).alias("change")))
-        sums = y.agg(F.sum("change").alias("change"), F.sum("y").alias("all")).first()
-        if not sums["all"] or sums["change"] < tolerance * sums["all"]:
+            came = shares.join(new.select(F.col("id").alias("src"), "z"), "src").select(F.col("dst").alias("id"), (F.col("z") * F.col("share")).alias("v"))
+            new = came.unionByName(steady).groupBy("id").agg((damping * F.sum("v")).alias("z"))
+        z = cut(new.join(z.select("id", F.col("z").alias("old")), "id").select("id", "z", F.abs(F.col("z") - F.col("old")).alias("change")))
+        sums = z.agg(F.sum("change").alias("change"), F.sum("z").alias("all")).first()
+        if (sums["change"] or 0.0) < tolerance * (n + (sums["all"] or 0.0)) or not n:
             break
-    total = y.agg(F.sum("y")).first()[0] or 1.0
-    return y.select("id", (F.col("y") / total).alias("rank"))
+    total = n + (z.agg(F.sum("z")).first()[0] or 0.0) or 1.0
+    return nodes.join(z.select("id", "z"), "id", "left").select("id", ((1 + F.coalesce("z", F.lit(0.0))) / total).alias("rank"))
 
 
 def contract(edges: DataFrame, groups: DataFrame) -> DataFrame:
