@@ -96,5 +96,6 @@ ORACLES = {
     "chat_list_messages": f"{_T} select thread_id, id, {_M} as moment, lower(role) as role from ms where deleted_at is null and thread_id in (select id from th where project_path = '{PROJECT}')",
     "chat_clone": f"{_T} select 'copy-' || thread_id as id, title || ' (copy)' as title, least(count(*), 1000) messages from ms join (select id as tid, title from th where summary is not null) t on t.tid = ms.thread_id where deleted_at is null group by 1, 2",
     "chat_soft_delete": f"{_T} select project_path, count(*) threads from th where id in (select thread_id from ms where deleted_at is null and thread_id is not null) group by 1",
+    "chat_evidence": "select readable, count(*) n from (select case when json_valid(evidence_json) then len(list_filter(json_extract_string(evidence_json, '$[*].id'), lambda x: x is not null)) > 0 else false end as readable from (select distinct id, evidence_json from chat_messages where evidence_json is not null)) group by 1",
     "chat_scope_context": f"{_T} select project_path is not null as scoped, pinned_context is not null as pinned, summary is not null as summarised, count(*) n from th group by 1, 2, 3",
 }
