@@ -71,7 +71,7 @@ def test_tree_marks_recursion(spark):
 def test_pagerank(spark):
     pairs = [(a, b) for a, b in random_pairs(5) if a and b]
     names = sorted({x for p in pairs for x in p} | {"alone"})
-    rank = {r.id: r.rank for r in graph.pagerank(frame(spark, pairs), ids(spark, names), tolerance=1e-13, rounds=400).collect()}
+    rank = {r.id: r.rank for r in graph.pagerank(frame(spark, pairs), ids(spark, names), tolerance=1e-11, rounds=200).collect()}
     want, n = dict.fromkeys(names, 1 / len(names)), len(names)
     out = defaultdict(list)
     for a, b in pairs:
