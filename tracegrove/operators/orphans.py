@@ -3,8 +3,8 @@
 A reference is a non-null key, compared exactly. It is a direct orphan if (a) no row has the key, (b) the
 key's current row is removed, or (c) the key's earliest row is later than the reference.
 
-Cascade: the children of an orphan are inherited orphans. ``cascade`` begins with the direct orphans (round 0) and
-goes down the foreign-key graph in rounds of semi-joins against the keys that fell in the round before, until no
+Cascade: the children of an orphan are inherited orphans. ``cascade`` begins with the parents that do not live (round 0)
+and goes down the foreign-key graph in rounds of semi-joins against the keys that fell in the round before, until no
 key falls: a node whose file's node is missing or removed falls, nodes that are held (``contains``) only by fallen
 nodes fall, and edges that refer to fallen nodes are inherited orphans. Threads have no parent in these tables, so
 messages are direct orphans only.
@@ -17,10 +17,10 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import kept, scratch_path
 from .skew import skew_join
 
 
@@ -60,65 +60,69 @@ def message_references(messages: DataFrame) -> DataFrame:
 
 
 def orphans_of(references: DataFrame, keys: DataFrame) -> DataFrame:
-    """References without a living row at their time, with the cause: missing, removed or late."""
+    """References without a living row at their time, with the cause: missing, removed or late; else ``parent`` if ``keys`` has a column ``fell`` that says so."""
     joined = skew_join(references, keys.withColumn("known", F.lit(True)), "key", "left")
     cause = F.when(F.col("known").isNull(), "missing").when(F.col("removed"), "removed").when(F.col("since") > F.col("at"), "late")
+    cause = cause.when(F.col("fell"), "parent") if "fell" in keys.columns else cause
     return joined.withColumn("cause", cause).where(F.col("cause").isNotNull()).select(*references.columns, "cause")
 
 
-def direct_orphans(edges: DataFrame, nodes: DataFrame, messages: DataFrame, threads: DataFrame) -> DataFrame:
-    """All direct orphans: ref_table, ref_key, ref_field, key, at, cause; a row sent again counts once."""
-    ends = orphans_of(edge_references(edges), node_keys(nodes))
+def _orphans(edges: DataFrame, keys: DataFrame, messages: DataFrame, threads: DataFrame) -> DataFrame:
+    """Orphans of both tables; a row sent again counts once. Of one key ``parent`` meets ``late`` alone, which comes first."""
+    ends = orphans_of(edge_references(edges), keys)
     ends = ends.groupBy("ref_table", "ref_key", "ref_field", "key").agg(F.min("at").alias("at"), F.min("cause").alias("cause"))
     return ends.unionByName(orphans_of(message_references(messages), thread_keys(threads)))
 
 
+def direct_orphans(edges: DataFrame, nodes: DataFrame, messages: DataFrame, threads: DataFrame) -> DataFrame:
+    """All direct orphans: ref_table, ref_key, ref_field, key, at, cause; a row sent again counts once."""
+    return _orphans(edges, node_keys(nodes), messages, threads)
+
+
 def fallen_nodes(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Living nodes that inherit orphanhood: key and round. Semi-joins down the parents until nothing falls.
 
     A node's parent is the node of its file (``file::`` + file_path, for nodes that are no file), and each
     node that contains it. It falls in the round after one in which its file fell or all that contain it fell.
+    With ``rounds`` it raises if nodes still fall in the last of them.
     """
-    current = nodes.where("id is not null").groupBy(F.col("id").alias("key")).agg(F.max_by(F.struct("node_type", "file_path", F.col("removed_at").isNotNull().alias("removed")), "node_seq").alias("row"))
-    living = current.where("not row.removed").select("key", "row.node_type", "row.file_path")
-    by_file = living.where("node_type <> 'file' and file_path is not null").select("key", F.concat(F.lit("file::"), "file_path").alias("parent"), F.lit("file").alias("kind"))
-    held = edges.where("edge_type = 'contains' and src is not null and dst is not null and src <> dst").select(F.col("dst").alias("key"), F.col("src").alias("parent")).distinct().join(living.select("key"), "key", "left_semi")
-    links = cut(by_file.unionByName(held.withColumn("kind", F.lit("holder"))))
-    alive = living.select(F.col("key").alias("parent"))
-    dead = links.select("parent").distinct().join(alive, "parent", "left_anti")  # round 0: parents without a living row
-    fell = cut(links.join(dead, "parent", "left_semi").groupBy("key").agg(F.max((F.col("kind") == "file").cast("int")).alias("by_file"), F.count("*").alias("n")))
-    holders = links.where("kind = 'holder'").groupBy("key").agg(F.count("*").alias("holders"))
-    down = fell.join(holders, "key", "left").where("by_file = 1 or n >= coalesce(holders, 0)").select("key", F.lit(1).alias("round"))
-    down = fresh = cut(down)
-    for number in count(2) if rounds is None else range(2, rounds + 1):
-        lost = down.select(F.col("key").alias("parent"))
-        touched = links.join(fresh.select(F.col("key").alias("parent")), "parent", "left_semi").select("key").distinct().join(down.select("key"), "key", "left_anti")
-        state = links.join(touched, "key", "left_semi").join(lost.unionByName(dead).distinct(), "parent", "left_semi").groupBy("key").agg(F.max((F.col("kind") == "file").cast("int")).alias("by_file"), F.sum((F.col("kind") == "holder").cast("int")).alias("n"))
-        fresh = cut(state.join(holders, "key", "left").where("by_file = 1 or n >= holders").select("key", F.lit(number).alias("round")))
+    parent = F.when(F.col("node_type") != "file", F.concat(F.lit("file::"), "file_path")).alias("parent")
+    current = nodes.where("id is not null").groupBy(F.col("id").alias("key")).agg(F.max_by(F.struct(parent, F.col("removed_at").isNotNull().alias("removed")), "node_seq").alias("row"))
+    living = kept(current.where("not row.removed").select("key", "row.parent"))
+    alive = living.select("key")
+    held = edges.where("edge_type = 'contains' and src is not null and dst is not null and src <> dst").select(F.col("dst").alias("key"), F.col("src").alias("parent")).join(alive, "key", "left_semi").distinct()
+    # A link to the file lets a node fall by itself (0); links to holders only if there are as many lost ones as holders.
+    links = kept(living.where("parent is not null").withColumn("holders", F.lit(0).cast("long")).unionByName(held.withColumn("holders", F.count("*").over(Window.partitionBy("key")))))
+    lost, fallen = (scratch_path(nodes.sparkSession, name) for name in ("lost", "fallen"))
+    down = None
+    hits = links.join(alive.withColumnRenamed("key", "parent"), "parent", "left_anti")  # parents without a living row
+    for number in count(1) if rounds is None else range(1, rounds + 1):
+        hits = kept(hits.select("key", "holders"), lost)
+        falling = hits.groupBy("key").agg(F.count("*").alias("lost"), F.min("holders").alias("holders")).where("lost >= holders").select("key")
+        falling = falling if down is None else falling.join(down, "key", "left_anti")
+        down = kept(falling.select("key", F.lit(number).alias("round")), fallen)
+        fresh = down.where(F.col("round") == number).select(F.col("key").alias("parent"))
         if not fresh.take(1):
-            break
-        down = cut(down.unionByName(fresh))
-    else:
-        if fresh.take(1):
-            raise RuntimeError(f"nodes still fell in the last of {rounds} rounds")
-    return down
+            return down
+        hits = links.join(fresh, "parent", "left_semi")
+    raise RuntimeError(f"nodes still fell in the last of {rounds} rounds")
 
 
-def cascade(edges: DataFrame, nodes: DataFrame, messages: DataFrame, threads: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Direct and inherited orphans: ref_table, ref_key, ref_field, at, kind, cause.
+def cascade(edges: DataFrame, nodes: DataFrame, messages: DataFrame, threads: DataFrame) -> DataFrame:
+    """Direct and inherited orphans: ref_table, ref_key, ref_field, at, kind, cause. It runs to its fixpoint.
 
-    It runs to its fixpoint; with ``rounds`` it raises if nodes still fall in the last of them. ``rounds=0`` asks for
-    round 0 alone, the direct orphans.
+    One join of the references with the state of their keys, fallen ones included, tells both kinds. A reference
+    with a direct cause is no inherited orphan; where rows of one reference differ, its least key counts.
     """
-    direct = direct_orphans(edges, nodes, messages, threads)
-    if rounds == 0:
-        return direct.select("ref_table", "ref_key", "ref_field", "at", F.lit("direct").alias("kind"), "cause")
-    direct = cut(direct)
-    fell = fallen_nodes(nodes, edges, rounds)
-    own = edge_references(edges).dropDuplicates(["ref_key", "ref_field"])
-    inherited = skew_join(own, fell.select("key"), "key").join(direct.where("ref_table = 'edges'").select("ref_key", "ref_field"), ["ref_key", "ref_field"], "left_anti")
-    fields = ["ref_table", "ref_key", "ref_field", "at", "kind", "cause"]
-    return direct.withColumn("kind", F.lit("direct")).select(*fields).unionByName(inherited.withColumn("kind", F.lit("inherited")).withColumn("cause", F.lit("parent")).select(*fields))
+    fell = fallen_nodes(nodes, edges).select("key", F.lit(True).alias("fell"))
+    found = kept(_orphans(edges, node_keys(nodes).join(fell, "key", "left"), messages, threads))
+    direct = found.where("cause <> 'parent'")
+    ref = ["ref_table", "ref_key", "ref_field"]
+    heirs = found.where("cause = 'parent'").select(*ref, "key").join(direct.select(*ref), ref, "left_anti")
+    own = edge_references(edges).join(heirs.select(*ref).distinct(), ref, "left_semi").groupBy(*ref).agg(F.min("key").alias("key"), F.min("at").alias("at"))
+    inherited = own.join(heirs, [*ref, "key"], "left_semi").withColumn("cause", F.lit("parent"))
+    fields = [*ref, "at", "kind", "cause"]
+    return direct.withColumn("kind", F.lit("direct")).select(*fields).unionByName(inherited.withColumn("kind", F.lit("inherited")).select(*fields))
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

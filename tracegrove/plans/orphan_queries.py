@@ -13,8 +13,8 @@ def _tables(spark: SparkSession, d: str) -> list[DataFrame]:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Round 0 of the cascade."""
-    return orphans.cascade(*_tables(spark, d), rounds=0).select("ref_table", "ref_key", "ref_field")
+    """The direct orphans of the whole cascade; inherited ones are no cases."""
+    return orphans.cascade(*_tables(spark, d)).where("kind = 'direct'").select("ref_table", "ref_key", "ref_field")
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:

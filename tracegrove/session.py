@@ -30,6 +30,9 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str)
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``. One is made only where it is unset (tests)."""
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get()
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -49,3 +52,10 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, for a table written there."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` added to the table at ``path`` (a fresh one) and read from there: smaller than ``cut``'s rows, and of known size."""
+    path = path or scratch_path(df.sparkSession, "kept")
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
